@@ -13,8 +13,9 @@ matches.
 
 All of it is DataFrame operations. Benchmark-side tables are broadcast by Spark
 only while their files are below its broadcast threshold; beyond it the same
-joins shuffle. Documents are told apart by (doc_id, text hash): repeated rows
-share their postings and each get the result.
+joins shuffle. Keys of candidates are broadcast only when counted few enough.
+Documents are told apart by (doc_id, text hash): repeated rows share their
+postings and each get the result.
 
 Defined results: a null or wordless text has no words, hits or items and is
 clean; an item without words has no window; null item ids are written as empty;
@@ -81,50 +82,57 @@ def proximity_matches(met: DataFrame, items: DataFrame, slack: int = 5, least: i
     return hit.filter(F.col("n") >= least).groupBy("key", "item").agg(F.max(F.struct("n", -F.col("diag"))).alias("best")).select("key", "item", (-F.col("best.col2")).alias("diag"), F.col("best.n").alias("n"))
 
 
+#: Keys that may be broadcast (about 64 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """key and text of docs: rows of one id and text are one document."""
-    return docs.select(F.struct(F.col("doc_id").cast("long").alias("id"), text_key().alias("t")).alias("key"), "text")
+    """docs as `row`, with key and text: rows of one id and text are one document."""
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.lit(":"), F.hex(text_key()))))
+    return docs.select(F.struct("*").alias("row"), key.alias("key"), "text")
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: bool = False) -> DataFrame:
-    """n_words, hits (array of item words' ids and hit positions) of every row of docs; with carry, under the row itself in `row`."""
-    items = stored(benchmark_items(benchmark), "items")
-    source = keyed(docs)
-    terms = items.select(F.explode("words").alias("term")).distinct()
-    frequency = stored(document_frequencies(source, stored(terms, "terms")), "frequency")
-    anchor = stored(anchors(items, frequency, window), "anchors")
-    index = stored(postings(source, stored(anchor.select("term").distinct(), "anchor-terms")), "postings")
-    found = candidates(diagonals(index, anchor), items)
-    per_doc = stored(found.groupBy("key").agg(F.collect_list(F.struct("diag", "words", "ids")).alias("cands")), "candidates")
-    # No candidate is not the same as no such row: the join keeps every row of docs.
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), "text") if carry else docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = rows.withColumn("k", F.md5(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("-")), F.hex(text_key()))))
-    per_doc = per_doc.select(F.md5(F.concat_ws(":", F.coalesce(F.col("key.id").cast("string"), F.lit("-")), F.hex("key.t"))).alias("k"), "cands")
-    joined = rows.join(per_doc, "k", "left").withColumn("w", words_of(F.col("text")))
+def with_keys(left: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Joins on key with a written table of few keys: broadcast if they are counted few enough, else shuffled."""
+    return left.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", how)
+
+
+def verified(rows: DataFrame, found: DataFrame, window: int) -> DataFrame:
+    """key, n_hit, items of the candidates (key, diag, words, ids) that rows (key, text) bear out word by word."""
+    per_doc = found.groupBy("key").agg(F.collect_list(F.struct("diag", "words", "ids")).alias("cands"))
+    joined = rows.select("key", "text").dropDuplicates(["key"]).join(per_doc, "key").select("key", "cands", words_of(F.col("text")).alias("w"))
     length = f"least({window}, size(c.words))"
-    starts = (
-        f"filter(sequence(greatest(0, -c.diag), least(size(c.words), size(w) - c.diag) - {length}), "
-        f"s -> slice(w, s + c.diag + 1, {length}) = slice(c.words, s + 1, {length}))"
-    )
-    fits = f"size(c.words) >= {length} + greatest(0, -c.diag) and least(size(c.words), size(w) - c.diag) - {length} >= greatest(0, -c.diag)"
-    hit = F.expr(
-        f"transform(filter(cands, c -> {fits}), c -> named_struct('ids', c.ids, 'at', "
-        f"flatten(transform({starts}, s -> sequence(s + c.diag, s + c.diag + {length} - 1)))))"
-    )
-    hits = F.expr("filter(hits, h -> size(h.at) > 0)")
-    out = joined.withColumn("hits", F.when(F.col("cands").isNotNull(), hit)).withColumn("hits", F.when(F.col("hits").isNotNull(), hits))
-    out = out.withColumn("n_words", F.size("w").cast("long")).withColumn("n_hit", F.when(F.col("hits").isNull(), F.lit(0)).otherwise(F.expr("size(array_distinct(flatten(hits.at)))")).cast("long"))
-    out = out.withColumn("items", F.when(F.col("hits").isNull(), F.expr("array('')")).otherwise(F.expr("array_sort(array_distinct(flatten(hits.ids)))")))
-    out = out.withColumn("items", F.when(F.col("n_hit") == 0, F.expr("cast(array() as array<string>)")).otherwise(F.col("items")))
+    lo, hi = "greatest(0, -c.diag)", f"(least(size(c.words), size(w) - c.diag) - {length})"
+    starts = f"filter(sequence({lo}, {hi}), s -> slice(w, s + c.diag + 1, {length}) = slice(c.words, s + 1, {length}))"
+    hits = f"transform(filter(cands, c -> {hi} >= {lo}), c -> named_struct('ids', c.ids, 'at', flatten(transform({starts}, s -> sequence(s + c.diag, s + c.diag + {length} - 1)))))"
+    out = joined.select("key", F.expr(hits).alias("hits")).select("key", F.expr("filter(hits, h -> size(h.at) > 0)").alias("hits")).filter("size(hits) > 0")
+    return out.select("key", F.expr("size(array_distinct(flatten(hits.at)))").cast("long").alias("n_hit"), F.expr("array_sort(array_distinct(flatten(hits.ids)))").alias("items"))
+
+
+def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """row, n_words, n_hit, items, contaminated of every row of docs.
+
+    Texts are scanned, not shuffled, except those of candidates.
+    """
+    items = stored(benchmark_items(benchmark), "items")
+    rows = keyed(docs)
+    terms = stored(items.select(F.explode("words").alias("term")).distinct(), "terms")
+    anchor = stored(anchors(items, document_frequencies(rows, terms), window), "anchors")
+    index = stored(postings(rows, stored(anchor.select("term").distinct(), "anchor-terms")), "postings")
+    found = stored(candidates(diagonals(index, anchor), items).select("key", "diag", "words", "ids"), "candidates")
+    likely = with_keys(rows, stored(found.select("key").distinct(), "candidate-keys"), "left_semi")
+    hits = stored(verified(likely, found, window), "hits")
+    out = with_keys(rows.select("row", "key", F.size(words_of(F.col("text"))).cast("long").alias("n_words")), hits, "left")
+    out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("items", F.coalesce("items", F.expr("cast(array() as array<string>)")))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs."""
-    found = matched(docs, benchmark, window)
-    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    found = matched(docs.select("doc_id", "text"), benchmark, window)
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    return matched(docs, benchmark, window, carry=True).filter(~F.col("contaminated")).select("row.*")
+    return matched(docs, benchmark, window).filter(~F.col("contaminated")).select("row.*")
