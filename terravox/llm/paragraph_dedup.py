@@ -28,11 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import near
-from .common import hashed_words, in_chunks, mix64, shingle_hashes, stored, text_key, text_or_empty, utf8_list
-from .jaccard_join import row_key
+from .common import hashed_words, in_chunks, mix64, shingle_hashes, stored, text_or_empty, utf8_list
 
 
-def tune(similarity: float, recall: float, rows: int = 4) -> tuple[int, int]:
+def tune(similarity: float, recall: float, rows: int = 2) -> tuple[int, int]:
     """(bands, rows): the fewest bands of that many rows that let a pair at the threshold collide with chance `recall`."""
     bands = 1
     while 1 - (1 - similarity**rows) ** bands < recall:
@@ -40,10 +39,15 @@ def tune(similarity: float, recall: float, rows: int = 4) -> tuple[int, int]:
     return bands, rows
 
 
+#: Stands for a null doc_id.
+NO_ID = -(1 << 63)
+#: Rows of about a hundred bytes that may be broadcast.
+BROADCAST_ROWS = 400_000
+
 _UNITS = T.StructType(
     [
-        T.StructField("k", T.StringType()),
-        T.StructField("doc_id", T.LongType()),
+        T.StructField("d", T.LongType()),
+        T.StructField("tk", T.LongType()),
         T.StructField("start", T.IntegerType()),
         T.StructField("end", T.IntegerType()),
         T.StructField("words", T.IntegerType()),
@@ -56,7 +60,7 @@ _UNITS = T.StructType(
 
 
 def paragraphs(docs: DataFrame, bands: int, rows: int, least: int, long_line: int, width: int = 5) -> DataFrame:
-    """The lines and sentences of docs (k, doc_id, text): place, hash and, of a line of `least` words, its bands."""
+    """The lines and sentences of docs (d, tk, text): place, hash and, of a line of `least` words, its bands."""
 
     def run(batches):
         for batch in batches:
@@ -68,7 +72,7 @@ def paragraphs(docs: DataFrame, bands: int, rows: int, least: int, long_line: in
                     lists = pa.array(keys, pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int32()) for x in (start, end, words, first)), pa.array(unit.view(np.int64)), pa.array(unit2.view(np.int64)), lists], names=[f.name for f in _UNITS])
 
-    return docs.select("k", "doc_id", "text").mapInArrow(run, _UNITS)
+    return docs.select("d", "tk", "text").mapInArrow(run, _UNITS)
 
 
 def _units(texts: list[bytes], bands: int, rows: int, least: int, long_line: int, width: int):
@@ -129,49 +133,52 @@ def _rows(h, start, end, first, owner, cut, keys, only=None):
     return (*out, keys)
 
 
-def repeated_passages(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.999, least: int = 20, long_line: int = 40, passage: int = 40, gap: int = 8) -> DataFrame:
-    """doc_id, start, end, n_words, class_id, occurrence, removed: a row for each repeated passage of docs.
+def repeated_passages(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.999, least: int = 20, long_line: int = 40, passage: int = 30, gap: int = 8) -> DataFrame:
+    """doc_id, start, end, n_words, class_id, removed: a row for each repeated passage of docs.
 
     Passages are within one text; start and end are bytes. A passage is removed
     unless all of its paragraphs are the first of their clusters.
     """
     bands, rows = tune(similarity, recall)
-    source = docs.select(row_key(F.col("doc_id").cast("long"), text_key()).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text_or_empty()).alias("tk"), text_or_empty().alias("text"))
     units = stored(paragraphs(source, bands, rows, least, long_line, width), "units")
-    sid = F.unhex(F.concat(F.lpad(F.hex("unit"), 16, "0"), F.lpad(F.hex("unit2"), 16, "0")))
-    # Equal paragraphs are one set: its first occurrence and how many there are.
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "start")
-    sets = stored(units.groupBy("unit", "unit2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max(F.col("bands").isNotNull()).alias("line")).filter("n > 1 or line"), "sets")
-    lines = units.filter("bands is not null").select("k", "doc_id", "start", "end", "unit", "unit2", "bands")
-    firsts = lines.join(sets.filter("line").select("unit", "unit2", "first"), ["unit", "unit2"]).filter((F.col("k") == F.col("first.k")) & (F.col("start") == F.col("first.start")))
-    keyed = firsts.select(sid.alias("sid"), "k", "start", "end", F.explode(F.array_distinct("bands")).alias("bucket")).dropDuplicates(["sid", "bucket"])
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    leaves = stored(keyed.join(sizes, "bucket"), "leaves")
-    kept = stored(near.distinct_leaves(leaves.select("bucket", "sid", "size")), "leaves")
-    wanted = stored(leaves.join(kept.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("k", "start", "end")).alias("p")).groupBy("p.k").agg(F.collect_list(F.struct("sid", "p.start", "p.end")).alias("ps")), "wanted")
-    texts = source.select("k", "text").join(wanted, "k").select(F.encode("text", "UTF-8").alias("b"), F.explode("ps").alias("p"))
+    # Equal paragraphs are one set: its first occurrence, how many there are and, of lines, the bands.
+    sets = units.groupBy("unit", "unit2").agg(F.min(F.struct("d", "tk", "start", "end")).alias("first"), F.count("*").alias("n"), F.max("bands").alias("bands")).filter("n > 1 or bands is not null")
+    sets = stored(sets.withColumn("sid", F.unhex(F.concat(F.lpad(F.hex("unit"), 16, "0"), F.lpad(F.hex("unit2"), 16, "0")))), "sets")
+    keyed = sets.filter("bands is not null").select("sid", F.explode(F.array_distinct("bands")).alias("bucket"))
+    leaves = stored(keyed.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).filter("size > 1"), "leaves")
+    leaves = stored(near.distinct_leaves(leaves), "leaves")
+    wanted = leaves.select("sid").distinct().join(sets.select("sid", "first"), "sid").groupBy("first.d", "first.tk").agg(F.collect_list(F.struct("sid", "first.start", "first.end")).alias("ps"))
+    texts = few(source, stored(wanted, "wanted"), ["d", "tk"])
+    texts = texts.select(F.encode("text", "UTF-8").alias("b"), F.explode("ps").alias("p"))
     texts = texts.select("p.sid", F.expr("decode(substring(b, p.start + 1, p.end - p.start), 'UTF-8')").alias("text"))
-    edges = stored(near.verified(kept, near.shingle_sets(texts, width), similarity), "links")
+    edges = stored(near.verified(leaves, stored(near.shingle_sets(texts, width), "shingles"), similarity), "links")
     label = near.components(edges, "sid", "root")
     # Cluster of each paragraph that occurs twice or is like another one.
-    named = sets.withColumn("sid", sid).join(label.withColumnRenamed("node", "sid"), "sid", "left").filter("n > 1 or component is not null")
-    named = named.withColumn("component", F.coalesce("component", "sid"))
-    first = named.groupBy("component").agg(F.min("first").alias("keep"))
-    clusters = stored(named.join(first, "component").select("unit", "unit2", "keep"), "clusters")
-    hit = units.join(clusters, ["unit", "unit2"]).select("k", "doc_id", "start", "end", "words", "first_word", "keep")
-    return _passages(hit, passage, gap)
+    named = sets.select("unit", "unit2", "sid", "first", "n").join(label.withColumnRenamed("node", "sid"), "sid", "left").filter("n > 1 or component is not null")
+    named = stored(named.select("unit", "unit2", "first", F.coalesce("component", "sid").alias("component")), "named")
+    keep = named.groupBy("component").agg(F.min("first").alias("keep"))
+    clusters = stored(named.join(keep, "component").select("unit", "unit2", "keep"), "clusters")
+    hit = few(units.select("d", "tk", "start", "end", "words", "first_word", "unit", "unit2"), clusters, ["unit", "unit2"])
+    return _passages(hit.drop("unit", "unit2"), passage, gap)
+
+
+def few(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Joins with a written table: broadcast if it is counted to have few rows, else shuffled."""
+    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on)
 
 
 def _passages(hit: DataFrame, passage: int, gap: int) -> DataFrame:
     """Joins neighbouring clustered paragraphs of a text to passages."""
-    by_text = Window.partitionBy("k", "row").orderBy("first_word", F.desc("words"))
+    by_text = Window.partitionBy("d", "tk", "row").orderBy("first_word", F.desc("words"))
     last = F.col("first_word") + F.col("words")
     before = F.max(last).over(by_text.rowsBetween(Window.unboundedPreceding, -1))
     # A repeated row brings its paragraphs again; `row` numbers the copies of one place.
-    numbered = hit.withColumn("row", F.row_number().over(Window.partitionBy("k", "start", "end").orderBy(F.lit(0))))
+    numbered = hit.withColumn("row", F.row_number().over(Window.partitionBy("d", "tk", "start", "end").orderBy(F.lit(0))))
     runs = numbered.withColumn("before", before).withColumn("new", (F.col("before").isNull() | (F.col("first_word") - F.col("before") >= gap)).cast("int"))
     fresh = F.greatest(F.lit(0), last - F.greatest(F.col("first_word"), F.coalesce("before", F.lit(0))))
     runs = runs.withColumn("fresh", fresh).withColumn("run", F.sum("new").over(by_text))
-    own = (F.col("keep.k") == F.col("k")) & (F.col("keep.start") == F.col("start")) & (F.col("row") == 1)
-    out = runs.groupBy("k", "row", "run").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("fresh").cast("long").alias("n_words"), F.min("keep.doc_id").alias("class_id"), F.max(~own).alias("removed"))
-    return out.filter(F.col("n_words") >= passage).select("doc_id", "start", "end", "n_words", "class_id", "removed")
+    own = (F.col("keep.d") == F.col("d")) & (F.col("keep.tk") == F.col("tk")) & (F.col("keep.start") == F.col("start")) & (F.col("row") == 1)
+    out = runs.groupBy("d", "tk", "row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("fresh").cast("long").alias("n_words"), F.min("keep.d").alias("class_id"), F.max(~own).alias("removed"))
+    real = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c if c != "d" else "doc_id")
+    return out.filter(F.col("n_words") >= passage).select(real("d"), "start", "end", "n_words", real("class_id"), "removed")
