@@ -30,12 +30,12 @@ from pyspark.sql import types as T
 from .common import stored
 
 #: Control strings that texts may not hold bare: this template's and common others'.
-CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 ROLES = ("system", "user", "assistant", "tool")
 END = "<|end|>"
 
-_ESCAPE = re.compile(r"\\|" + "|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL) + r"|[<\[](?=\\)")
-_UNESCAPE = re.compile(r"([<\[\\])\\", re.S)
+_ESCAPE = re.compile(r"\\|" + "|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL) + r"|[<\[|](?=\\)")
+_UNESCAPE = re.compile(r"([<\[\\|])\\", re.S)
 
 
 def escape(text: str) -> str:

@@ -165,39 +165,83 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def _byte_symbols() -> list[str]:
+    """The printable characters that byte-level vocabularies write bytes as."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+
+
 class UnitEncoder:
     """Ids of whole texts by the tokenizers library, which is asked once for each distinct unit.
 
     A unit is what stands between ASCII white space. The tokenizer's words never
     hold white space and its normaliser works on either side of it separately,
-    so a text's ids are its units' ids one after the other. At most `kept` units
-    are remembered; the memory starts afresh beyond that.
+    so a text's ids are its units' ids one after the other. A unit of Latin
+    letters, with or without punctuation behind, is one or two of the
+    tokenizer's words: those go straight to its model. All others go through
+    the whole tokenizer. At most `kept` units are remembered; the memory starts
+    afresh beyond that.
     """
 
-    def __init__(self, path: str, kept: int = 400_000, longest: int = 64):
+    TAIL = ".,;:!?%$*#&|)"
+
+    def __init__(self, path: str, kept: int = 1_000_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.kept, self.longest = Tokenizer.from_file(path), kept, longest
+        self.model, self.symbols = self.tokenizer.model, _byte_symbols()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.dtype = f"<u{self.width}"
         self.known: dict[str, bytes] = {}
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one of the tokenizer's words, already in lower case."""
+        if not word.isascii():
+            word = "".join([self.symbols[b] for b in word.encode()])
+        return np.array([t.id for t in self.model.tokenize(word)], self.dtype).tobytes()
+
+    def _direct(self, unit: str) -> bytes | None:
+        core = unit.rstrip(self.TAIL)
+        low = core.lower()
+        # Below U+0250 letters are composed, alike in every Unicode version, and, but for one, lower-case to one letter.
+        if core and not (core.isalpha() and len(low) == len(core) and (core.isascii() or max(core) < "\u0250")):
+            return None
+        ids = self.known.get(low) if low else b""
+        if ids is None:
+            ids = self.known[low] = self._word(low)
+        tail = unit[len(core) :]
+        if tail:
+            more = self.known.get(tail)
+            if more is None:
+                more = self.known[tail] = self._word(tail)
+            ids += more
+        return ids
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > self.kept:
             self.known.clear()
-        known = self.known
-        new = list({u for units in split for u in units if u not in known})
-        long = [u for u in new if len(u) > self.longest]
-        dtype, extra = f"<u{self.width}", {}
-        for group, into in (([u for u in new if len(u) <= self.longest], known), (long, extra)):
-            for lo in range(0, len(group), 4096):
-                part = group[lo : lo + 4096]
-                for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    into[u] = np.array(e.ids, dtype).tobytes()
-        if extra:
-            known = known | extra
-        return [np.frombuffer(b"".join([known[u] for u in units]), dtype) for units in split]
+        known, rest, once = self.known, [], {}
+        for units in split:
+            for u in set(units).difference(known):
+                ids = self._direct(u) if len(u) <= self.longest else None
+                if ids is None:
+                    rest.append(u)
+                    known[u] = b""  # not asked for twice; filled in below
+                else:
+                    known[u] = ids
+        for lo in range(0, len(rest), 4096):
+            part = rest[lo : lo + 4096]
+            for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[u] = np.array(e.ids, self.dtype).tobytes()
+                if len(u) > self.longest:
+                    once[u] = True
+        out = [np.frombuffer(b"".join(map(known.__getitem__, units)), self.dtype) for units in split]
+        for u in once:  # long units are not remembered
+            known.pop(u, None)
+        return out
 
 
 _encoders: dict[str, UnitEncoder] = {}
