@@ -66,7 +66,36 @@ QUERIES = {f.__name__: f for f in (op1_sst_shards, op2_secret_scan, op3_url_filt
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
+_LEVEL = """l{k} as (select ctx, c, sum(a) as na, sum(r) as nr from (select substr(gram, {at}, {k}) as ctx, substr(gram, 4, 1) as c, a, r from cnt) group by 1, 2),
+s{k} as (select ctx, sum(na) as ta, sum(nr) as tr, sum((na > 0)::int) as da, sum((nr > 0)::int) as dr from l{k} group by 1 having sum(na) + sum(nr) >= 8),
+m{k} as (select gram, case when ta > 0 then (na + da * pa) / (ta + da) else pa end as pa, case when tr > 0 then (nr + dr * pr) / (tr + dr) else pr end as pr
+ from m{before} m left join l{k} l on l.ctx = substr(gram, {at}, {k}) and l.c = substr(gram, 4, 1) left join s{k} s on s.ctx = substr(gram, {at}, {k}))"""
+
+_OP3 = (
+    r"""
+with p as (select row_number() over () as rid, page_id, coalesce(url, '') as u from pages),
+h as (select *, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path,
+ '^^^' || regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^a-z0./\-_:?=&#%]', '~', 'g') || '$' as s, substr(md5(u), 1, 1) < '3' as held from p),
+rl(what, rh, rp) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+b as (select h.*, rule, ruled from h left join (select rid, arg_max(rh || rp, length(rh || rp)) as rule, arg_max(what, length(rh || rp)) as ruled from h, rl where (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by 1) using (rid)),
+g as (select rid, ruled, held, substr(s, i, 4) as gram from b, unnest(generate_series(1, length(s) - 3)) t(i)),
+cnt as (select gram, sum((coalesce(ruled = 'allow', false) and not held)::int) as a, sum((coalesce(ruled = 'block', false) and not held)::int) as r from g group by 1),
+m as (select gram, 1e0 / 39 as pa, 1e0 / 39 as pr from cnt),
+"""
+    + ",\n".join(_LEVEL.format(k=k, at=4 - k, before=k - 1 if k else "") for k in range(4))
+    + """,
+two as (select sum(a) > 0 and sum(r) > 0 as two from cnt),
+sc as (select gram, case when two then ln(pa) - ln(pr) else 0e0 end as llr from m3, two),
+ll as (select b.*, l.llr from b join (select rid, round(avg(llr), 6) as llr from g join sc using (gram) group by 1) l using (rid)),
+bins as (select greatest(-1000, least(1000, floor(llr * 100)))::bigint as b, sum((ruled = 'allow')::int) as g, sum((ruled <> 'allow')::int) as n from ll where held and ruled is not null group by 1),
+sp as (select (b + 1) / 1e2 as cut, sum(g) over w as gb, sum(n) over w as nb, sum(g) over () as gt, sum(n) over () as nt from bins window w as (order by b rows unbounded preceding)),
+best as (select coalesce((select cut from sp where gt > 0 and nt > 0 order by round(nb / nt - gb / gt, 9) desc, abs(cut), cut limit 1), 0e0) as cut)
+select page_id, host, path, rule, coalesce(ruled, case when llr >= cut then 'allow' else 'block' end) as verdict, llr from ll, best
+"""
+)
+
 ORACLE_SQL = {
+    "op3_url_filter": _OP3,
     "op5_decontaminate": f"""
 with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
 b as (select coalesce(cast(item_id as varchar), '') as id, {_WORDS} as w from benchmark),
