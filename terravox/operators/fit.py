@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -123,11 +125,14 @@ def plane_through(a, b, c):
     return None if size <= 1e-6 else (tuple(map(float, a)), tuple(n / size))
 
 
-def scored(points: DataFrame, hypotheses: DataFrame, threshold: float) -> DataFrame:
-    """Inliers and MSAC score of each hypothesis (hid, px..pz, nx..nz): a stated, small set against all points."""
+def scored(points: DataFrame, hypotheses: list[tuple], threshold: float) -> DataFrame:
+    """Inliers and MSAC score of each hypothesis (hid, px, py, pz, nx, ny, nz): a stated, small set, exploded from a literal, over all points."""
+    schema = "array<struct<hid:bigint,px:double,py:double,pz:double,nx:double,ny:double,nz:double>>"
+    rows = json.dumps([dict(zip(("hid", "px", "py", "pz", "nx", "ny", "nz"), h, strict=True)) for h in hypotheses])
+    each = points.select("x", "y", "z", F.explode(F.from_json(F.lit(rows), schema)).alias("h")).select("x", "y", "z", "h.*")
     d = F.abs(V.dot(V.sub(V.p(), V.p("p")), V.p("n")))
     t2 = float(threshold) ** 2
-    return points.select("x", "y", "z").crossJoin(F.broadcast(hypotheses)).groupBy("hid").agg(F.sum((d <= threshold).cast("long")).alias("inliers"), F.sum(F.least(d * d, F.lit(t2))).alias("msac"))
+    return each.groupBy("hid").agg(F.sum((d <= threshold).cast("long")).alias("inliers"), F.sum(F.least(d * d, F.lit(t2))).alias("msac"))
 
 
 def ransac_plane(points: DataFrame, order: str, iterations: int = 500, threshold: float = 0.02, least: int = 50, constraint: str = "none", tilt: float = 0.0, near=None, seed: int = 42) -> dict:
@@ -137,7 +142,6 @@ def ransac_plane(points: DataFrame, order: str, iterations: int = 500, threshold
     of `order`; all hypotheses that meet the constraint are scored in one job over
     all points. The draw is the same for the same seed.
     """
-    spark = points.sparkSession
     drawn = points.select("x", "y", "z", order).orderBy(F.xxhash64(F.lit(seed), order), order).limit(3 * iterations).collect()
     if len(drawn) < 3:
         raise GeometryError("too few points")
@@ -150,7 +154,7 @@ def ransac_plane(points: DataFrame, order: str, iterations: int = 500, threshold
             rows.append((i, *map(float, made[0]), *map(float, made[1])))
     if not rows:
         raise GeometryError("no consensus")
-    best = scored(points, spark.createDataFrame(rows, "hid long, px double, py double, pz double, nx double, ny double, nz double"), threshold).filter(F.col("inliers") >= least).orderBy("msac", "hid").first()
+    best = scored(points, rows, threshold).filter(F.col("inliers") >= least).orderBy("msac", "hid").first()
     if best is None:
         raise GeometryError("no consensus")
     raw = next(r for r in rows if r[0] == best.hid)

@@ -290,21 +290,18 @@ def fit_plane_ransac(spark, sf_dir):
     return rounded(spark.createDataFrame([row], "nx double, ny double, nz double, rms double, inliers long"))
 
 
-def _hypotheses(spark):
-    return spark.createDataFrame([(k, 0.0, 0.1 * k, 0.0, 0.0, 1.0, 0.0) for k in range(8)], "hid long, px double, py double, pz double, nx double, ny double, nz double")
-
-
+_HYPOTHESES = [(k, 0.0, 0.1 * k, 0.0, 0.0, 1.0, 0.0) for k in range(8)]
 _SCORE = f"with {A.PTS}, h as (select k as hid, abs(y - 1e-1 * k) as d from pts, unnest(generate_series(0, 7)) t(k))"
 
 
 @query(f"{_SCORE} select hid, {r('sum(least(d * d, 2.5e-3))', 'msac', 5)} from h group by hid")
 def ransac_score_msac(spark, sf_dir):
-    return rounded(fit.scored(A.points(spark, sf_dir), _hypotheses(spark), 0.05).select("hid", "msac"), 5)
+    return rounded(fit.scored(A.points(spark, sf_dir), _HYPOTHESES, 0.05).select("hid", "msac"), 5)
 
 
 @query(f"{_SCORE} select hid, sum((d <= 5e-2)::int)::bigint as inliers from h group by hid")
 def ransac_score_inliers(spark, sf_dir):
-    return fit.scored(A.points(spark, sf_dir), _hypotheses(spark), 0.05).select("hid", "inliers")
+    return fit.scored(A.points(spark, sf_dir), _HYPOTHESES, 0.05).select("hid", "inliers")
 
 
 # --------------------------------------------------------------- stratigraphy
@@ -640,12 +637,9 @@ def _store(spark, sf_dir):
     return A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("finding_id"), F.col("o_orderdate").alias("created_at")), A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("finding_id"), (F.col("l_returnflag") == "R").alias("sealed"))
 
 
-@query("select o.o_orderkey as finding_id, row_number() over (order by o_orderdate desc, o_orderkey) as place from orders o order by place limit 100")
+@query("select o_orderkey as finding_id, o_orderdate as created_at from orders")
 def store_listing(spark, sf_dir):
-    from pyspark.sql import Window
-
-    top = store.listing(_store(spark, sf_dir)[0]).limit(100)  # a listing's first page
-    return top.select("finding_id", F.row_number().over(Window.orderBy(F.desc("created_at"), "finding_id")).cast("long").alias("place"))
+    return store.listing(_store(spark, sf_dir)[0])
 
 
 @query("with recursive s as (select o_orderkey as id, case when o_orderkey % 4 = 0 then null else o_orderkey - 1 end as parent from orders), t as (select id, id as root, 0 as depth from s where parent is null union all select s.id, t.root, t.depth + 1 from t join s on s.parent = t.id) select id as scan_id, root, depth from t")
