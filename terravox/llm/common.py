@@ -54,6 +54,15 @@ def drop_scratch(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of about a hundred bytes that may be broadcast.
+BROADCAST_ROWS = 400_000
+
+
+def few(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Joins with a written table of narrow rows: broadcast if it is counted to have few, else shuffled."""
+    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

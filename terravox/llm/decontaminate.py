@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_key
+from .common import few, stored, text_key
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 13
@@ -82,21 +82,12 @@ def proximity_matches(met: DataFrame, items: DataFrame, slack: int = 5, least: i
     return hit.filter(F.col("n") >= least).groupBy("key", "item").agg(F.max(F.struct("n", -F.col("diag"))).alias("best")).select("key", "item", (-F.col("best.col2")).alias("diag"), F.col("best.n").alias("n"))
 
 
-#: Keys that may be broadcast (about 64 bytes each); more are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """docs as `row`, with key and text: rows of one id and text are one document."""
     key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.lit(":"), F.hex(text_key()))))
     return docs.select(F.struct("*").alias("row"), key.alias("key"), "text")
 
 
-def with_keys(left: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Joins on key with a written table of few keys: broadcast if they are counted few enough, else shuffled."""
-    return left.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", how)
-
-
 def verified(rows: DataFrame, found: DataFrame, window: int) -> DataFrame:
     """key, n_hit, items of the candidates (key, diag, words, ids) that rows (key, text) bear out word by word."""
     per_doc = found.groupBy("key").agg(F.collect_list(F.struct("diag", "words", "ids")).alias("cands"))
@@ -120,9 +111,9 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     anchor = stored(anchors(items, document_frequencies(rows, terms), window), "anchors")
     index = stored(postings(rows, stored(anchor.select("term").distinct(), "anchor-terms")), "postings")
     found = stored(candidates(diagonals(index, anchor), items).select("key", "diag", "words", "ids"), "candidates")
-    likely = with_keys(rows, stored(found.select("key").distinct(), "candidate-keys"), "left_semi")
+    likely = few(rows, stored(found.select("key").distinct(), "candidate-keys"), ["key"], "left_semi")
     hits = stored(verified(likely, found, window), "hits")
-    out = with_keys(rows.select("row", "key", F.size(words_of(F.col("text"))).cast("long").alias("n_words")), hits, "left")
+    out = few(rows.select("row", "key", F.size(words_of(F.col("text"))).cast("long").alias("n_words")), hits, ["key"], "left")
     out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("items", F.coalesce("items", F.expr("cast(array() as array<string>)")))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import near
-from .common import hashed_words, in_chunks, shingle_hashes, stored, text_key, text_or_empty, utf8_list
+from .common import few, hashed_words, in_chunks, shingle_hashes, stored, text_key, text_or_empty, utf8_list
 
 COORDINATES = 24
 #: Steps prime to COORDINATES: three sampled coordinates of a node are distinct.
@@ -109,9 +109,10 @@ def joined(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: flo
     reps = stored(sigs.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("sig").alias("sig")), "reps")
     leaves = chosen_paths(reps.filter("sig is not null").select("sid", "sig"), runs_needed(similarity, recall))
     leaves = stored(near.distinct_leaves(stored(leaves.distinct(), "leaves")), "leaves")
-    wanted = stored(leaves.select("sid").distinct().join(reps.select("sid", "doc_id"), "sid"), "wanted")
     # One row for each wanted text: the copy with the least id. The id is part of the key, so copies don't meet in one task.
-    texts = docs.select(row_key(F.col("doc_id").cast("long"), text_key()).alias("k"), text_or_empty().alias("text")).join(wanted.select(row_key(F.col("doc_id"), F.col("sid")).alias("k"), "sid"), "k")
+    wanted = leaves.select("sid").distinct().join(reps.select("sid", "doc_id"), "sid")
+    wanted = stored(wanted.select(row_key(F.col("doc_id"), F.col("sid")).alias("k"), "sid"), "wanted")
+    texts = few(docs.select(row_key(F.col("doc_id").cast("long"), text_key()).alias("k"), text_or_empty().alias("text")), wanted, ["k"])
     sets = stored(near.shingle_sets(texts, width), "sets")
     edges = stored(near.verified(leaves, sets, similarity), "links")
     label = near.components(edges, "sid", "root")
@@ -133,9 +134,11 @@ def jaccard_classes(docs: DataFrame, similarity: float = 0.8, width: int = 5) ->
 def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """The rows of docs, with all columns, less all but one of each class: the one with the least doc_id (then text hash) stays."""
     rows, groups = joined(docs, similarity, width)
-    times = rows.select(row_key(F.col("doc_id"), F.col("sid")).alias("k")).groupBy("k").agg(F.count("*").alias("times"))
-    kept = stored(groups.filter("stays").select(row_key(F.col("doc_id"), F.col("sid")).alias("k")).join(times, "k"), "kept")
-    keyed = docs.select(F.struct("*").alias("row"), row_key(F.col("doc_id").cast("long"), text_key()).alias("k")).join(kept, "k")
-    once = keyed.filter("times = 1").select("row")
-    repeated = keyed.filter("times > 1").groupBy("k").agg(F.first("row").alias("row")).select("row")
+    own = groups.select("sid", "stays", F.col("doc_id").alias("first_id"))
+    each = rows.join(own, "sid").select(row_key(F.col("doc_id"), F.col("sid")).alias("k"), (F.col("stays") & F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("stays"))
+    # Keys whose rows go, and those of a staying row that is there more than once.
+    tagged = stored(each.groupBy("k", "stays").agg(F.count("*").alias("n")).filter("not stays or n > 1").select("k", "stays"), "tagged")
+    keyed = few(docs.select(F.struct("*").alias("row"), row_key(F.col("doc_id").cast("long"), text_key()).alias("k")), tagged, ["k"], "left")
+    once = keyed.filter("stays is null").select("row")
+    repeated = keyed.filter("stays").groupBy("k").agg(F.first("row").alias("row")).select("row")
     return once.unionByName(repeated).select("row.*")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import near
-from .common import hashed_words, in_chunks, mix64, shingle_hashes, stored, text_or_empty, utf8_list
+from .common import few, hashed_words, in_chunks, mix64, shingle_hashes, stored, text_or_empty, utf8_list
 
 
 def tune(similarity: float, recall: float, rows: int = 2) -> tuple[int, int]:
@@ -41,8 +41,6 @@ def tune(similarity: float, recall: float, rows: int = 2) -> tuple[int, int]:
 
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
-#: Rows of about a hundred bytes that may be broadcast.
-BROADCAST_ROWS = 400_000
 
 _UNITS = T.StructType(
     [
@@ -163,11 +161,6 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     return _passages(hit.drop("unit", "unit2"), passage, gap)
 
 
-def few(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Joins with a written table: broadcast if it is counted to have few rows, else shuffled."""
-    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on)
-
-
 def _passages(hit: DataFrame, passage: int, gap: int) -> DataFrame:
     """Joins neighbouring clustered paragraphs of a text to passages."""
     by_text = Window.partitionBy("d", "tk", "row").orderBy("first_word", F.desc("words"))
