@@ -202,9 +202,28 @@ def vertex_components(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 # --------------------------------------- sequential repairs, a mesh at a time
 
 
+def whole_meshes(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """A row for each mesh with its vertices (vid, x, y, z) and faces (fid, a, b, c) as sorted arrays; a mesh without faces has none."""
+    v = vertices.groupBy("mesh_id").agg(F.array_sort(F.collect_list(F.struct("vid", "x", "y", "z"))).alias("v"))
+    f = faces.groupBy("mesh_id").agg(F.array_sort(F.collect_list(F.struct("fid", "a", "b", "c"))).alias("f"))
+    return v.join(f, "mesh_id", "left").select("mesh_id", *(F.col("v." + c).alias(c) for c in ("vid", "x", "y", "z")), *(F.coalesce("f." + c, F.expr("cast(array() as array<bigint>)")).alias(c) for c in ("fid", "a", "b", "c")))
+
+
 def _per_mesh(faces: DataFrame, vertices: DataFrame, fn, schema: str) -> DataFrame:
-    """fn(vertices, faces) of each mesh in one task: for repairs that walk a mesh face by face."""
-    return vertices.groupBy("mesh_id").cogroup(faces.groupBy("mesh_id")).applyInPandas(fn, schema)
+    """fn(vertices, faces) of each mesh, whole, a batch of meshes at a time: for repairs that walk a mesh face by face."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                v = pd.DataFrame({"mesh_id": r.mesh_id, "vid": r.vid, "x": r.x, "y": r.y, "z": r.z})
+                f = pd.DataFrame({"mesh_id": r.mesh_id, "fid": r.fid, "a": r.a, "b": r.b, "c": r.c})
+                if len(f):
+                    out.append(fn(v, f))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    return whole_meshes(vertices, faces).mapInPandas(run, schema)
 
 
 def _neighbours(f: np.ndarray) -> dict:

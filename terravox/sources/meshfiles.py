@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ExportError, MeshError
 from ..functions.canonical import number_text
+from ..operators.mesh import whole_meshes
 
 _FACE = np.dtype([("n", "u1"), ("v", "<i4", 3)])
 _STL = np.dtype([("n", "<f4", 3), ("v", "<f4", 9), ("attr", "<u2")])
@@ -95,26 +96,25 @@ def las_bytes(xyz: np.ndarray, utm: dict | None, day: int = 1, year: int = 2000)
     return head + vlr + points.tobytes()
 
 
-def _mesh(v: pd.DataFrame, f: pd.DataFrame):
-    v, f = v.sort_values("vid"), f.sort_values("fid")
-    if not len(v) or not len(f):
-        raise ExportError("empty mesh")
-    row = {int(k): i for i, k in enumerate(v.vid)}
-    return v[["x", "y", "z"]].to_numpy(), np.array([[row[int(k)] for k in t] for t in f[["a", "b", "c"]].to_numpy()])
-
-
 def encoded(vertices: DataFrame, faces: DataFrame, form: str = "ply") -> DataFrame:
-    """mesh_id, content: each mesh as a file of the form ply, stl or obj."""
-
-    def make(v: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        if not len(v) or not len(f):
-            return pd.DataFrame({"mesh_id": [], "content": []})
-        xyz, tri = _mesh(v, f)
-        name = v.mesh_id.iloc[0]
-        data = {"ply": lambda: ply_bytes(xyz, tri), "stl": lambda: stl_bytes(xyz[tri]), "obj": lambda: obj_text(str(name), xyz, tri).encode()}[form]()
-        return pd.DataFrame({"mesh_id": [name], "content": [data]})
+    """mesh_id, content: each mesh with faces as a file of the form ply, stl or obj."""
+
+    def file(r) -> bytes:
+        xyz, vid = np.column_stack((r.x, r.y, r.z)), np.asarray(r.vid)
+        corners = np.column_stack((r.a, r.b, r.c))
+        tri = np.searchsorted(vid, corners)
+        if (vid[np.minimum(tri, len(vid) - 1)] != corners).any():
+            raise ExportError("face without its vertex")
+        if form == "ply":
+            return ply_bytes(xyz, tri)
+        return stl_bytes(xyz[tri]) if form == "stl" else obj_text(str(r.mesh_id), xyz, tri).encode()
+
+    def make(batches):
+        for pdf in batches:
+            rows = [(r.mesh_id, file(r)) for r in pdf.itertuples(index=False) if len(r.fid)]
+            yield pd.DataFrame(rows, columns=["mesh_id", "content"])
 
-    return vertices.select("mesh_id", "vid", "x", "y", "z").groupBy("mesh_id").cogroup(faces.select("mesh_id", "fid", "a", "b", "c").groupBy("mesh_id")).applyInPandas(make, "mesh_id long, content binary")
+    return whole_meshes(vertices, faces).mapInPandas(make, "mesh_id long, content binary")
 
 
 def encoded_las(points: DataFrame, utm: dict, by: str = "mesh_id", order: str = "vid") -> DataFrame:
