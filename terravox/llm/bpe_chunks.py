@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import bounded_batches, text_or_empty
 
 
 class ChunkCodec:
@@ -114,7 +114,7 @@ def _digests(ranks_path: str, pattern: str, limit: int, schema: T.StructType, wi
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 1 << 15, overlap: int = 1 << 11, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, <u4 bytes, if wanted) of every row of docs."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] + ([T.StructField("ids", T.BinaryType())] if with_ids else []))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     whole = chunk + overlap
     short = rows.filter(F.length("text") <= whole).mapInArrow(_digests(ranks_path, pattern, whole, schema, with_ids), schema)
     return short.unionByName(_long_texts(rows.filter(F.length("text") > whole), ranks_path, pattern, chunk, overlap, with_ids))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import bounded_batches, stored
 
 #: Control strings that texts may not hold bare: this template's and common others'.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -107,7 +107,7 @@ _FORMATTED = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField
 
 def format_conversations(rows: DataFrame, tokenizer_path: str, learn: str = "assistant") -> DataFrame:
     """One row per conversation of rows (conv_id, turn, role, text): the rendered text, its ids, their spans and the loss mask."""
-    turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = bounded_batches(rows).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = turns.repartition("conv_id").sortWithinPartitions(F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), "role", "text")
 
     def run(batches):

@@ -63,6 +63,16 @@ def few(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") ->
     return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold at most 1,000 rows and 8 MB: texts are long, and a Python worker keeps the most it ever used."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = str(conf.get(key)).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import near
-from .common import few, hashed_words, in_chunks, mix64, shingle_hashes, stored, text_or_empty, utf8_list
+from .common import bounded_batches, few, hashed_words, in_chunks, mix64, shingle_hashes, stored, text_or_empty, utf8_list
 
 
 def tune(similarity: float, recall: float, rows: int = 2) -> tuple[int, int]:
@@ -70,7 +70,7 @@ def paragraphs(docs: DataFrame, bands: int, rows: int, least: int, long_line: in
                     lists = pa.array(keys, pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int32()) for x in (start, end, words, first)), pa.array(unit.view(np.int64)), pa.array(unit2.view(np.int64)), lists], names=[f.name for f in _UNITS])
 
-    return docs.select("d", "tk", "text").mapInArrow(run, _UNITS)
+    return bounded_batches(docs).select("d", "tk", "text").mapInArrow(run, _UNITS)
 
 
 def _units(texts: list[bytes], bands: int, rows: int, least: int, long_line: int, width: int):

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_path, text_or_empty
+from .common import bounded_batches, scratch_path, text_or_empty
 
 MAGIC = b"TVXSST01"
 _FOOTER = struct.Struct("<QQQQQQBBI8s")  # entries, ids, index place, blocks, bloom place, bloom bytes, id width, hashes, crc, magic
@@ -261,7 +261,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, target: str, end_id
     """Encodes docs (doc_id, text) into `target`, a folder all executors share; one row for each file, in key order by `shard`."""
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    keyed = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     dealt = keyed.repartitionByRange(n, F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
 
     def run(batches):

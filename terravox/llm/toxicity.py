@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty, utf8_list
+from .common import bounded_batches, text_or_empty, utf8_list
 from .quality_ratio import bounded_sample
 
 _WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -216,7 +216,7 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s.score(utf8_list(batch.column(2))))], names=[f.name for f in _SCORES])
 
-    scored = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), text_or_empty().alias("text")).mapInArrow(run, _SCORES)
+    scored = bounded_batches(docs).select(F.col("doc_id").cast("long"), held_out().alias("held_out"), text_or_empty().alias("text")).mapInArrow(run, _SCORES)
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
@@ -229,4 +229,4 @@ def without_toxic(docs: DataFrame, model: Model, cut: float = 0.7) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(s.score(utf8_list(batch.column(at))) < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
