@@ -157,7 +157,7 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     named = stored(named.select("unit", "unit2", "first", F.coalesce("component", "sid").alias("component")), "named")
     keep = named.groupBy("component").agg(F.min("first").alias("keep"))
     clusters = stored(named.join(keep, "component").select("unit", "unit2", "keep"), "clusters")
-    hit = few(units.select("d", "tk", "start", "end", "words", "first_word", "unit", "unit2"), clusters, ["unit", "unit2"])
+    hit = units.select("d", "tk", "start", "end", "words", "first_word", "unit", "unit2").join(clusters, ["unit", "unit2"])
     return _passages(hit.drop("unit", "unit2"), passage, gap)
 
 
