@@ -8,6 +8,13 @@ Colliding lines are verified by exact Jaccard similarity of five-word runs
 (`near.verified`), equal sentences by equality. Components of what is verified
 are the clusters: each keeps its first occurrence, and the others are removed.
 
+Every text also gives overlapping windows of `WINDOW` words, which heed neither
+lines nor punctuation. A window is taken where its hash is the least of `REACH`
+neighbouring windows, so equal words give equal windows: a run of n words
+that stands twice has windows over n - 2 * (REACH - 1) of its words at least, 31
+of 51, without a gap. Two windows of so few words are at the threshold only
+if all their five-word runs are equal, so windows match by equality.
+
 An occurrence is reported only where the clustered words of a text make up a
 passage of `passage` words or more, with gaps of less than `gap` words.
 
@@ -57,6 +64,42 @@ _UNITS = T.StructType(
 )
 
 
+#: Words of a window, and of how many neighbouring windows the one with the least hash is taken.
+WINDOW = REACH = 11
+
+_WINDOWS = "d long, tk long, start int, end int, first_word int, unit long"
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """The windows of docs (d, tk, text): place and hash."""
+
+    def run(batches):
+        for batch in batches:
+            texts = utf8_list(batch.column(2))
+            for lo, hi in in_chunks(texts):
+                text, start, end, first, unit = _windows(texts[lo:hi])
+                take = pa.array(text + lo)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int32()) for x in (start, end, first)), pa.array(unit.view(np.int64))], names=["d", "tk", "start", "end", "first_word", "unit"])
+
+    return bounded_batches(docs).select("d", "tk", "text").mapInArrow(run, _WINDOWS)
+
+
+def _windows(texts: list[bytes]):
+    h, start, end, first = hashed_words(texts)
+    runs, at = shingle_hashes(h, first, WINDOW)
+    owner = np.repeat(np.arange(len(texts)), np.diff(at))
+    if len(runs) < REACH:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none.view(np.uint64)
+    # The last of the least, of every REACH windows that are all of one text.
+    least = np.arange(REACH - 1, len(runs)) - np.argmin(np.lib.stride_tricks.sliding_window_view(runs, REACH)[:, ::-1], axis=1)
+    pick = np.unique(least[owner[REACH - 1 :] == owner[: len(owner) - REACH + 1]])
+    text = owner[pick]
+    nth = pick - at[:-1][text]
+    word = first[:-1][text] + nth
+    return text, start[word], end[word + WINDOW - 1], nth, runs[pick]
+
+
 def paragraphs(docs: DataFrame, bands: int, rows: int, least: int, long_line: int, width: int = 5) -> DataFrame:
     """The lines and sentences of docs (d, tk, text): place, hash and, of a line of `least` words, its bands."""
 
@@ -158,20 +201,47 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     keep = named.groupBy("component").agg(F.min("first").alias("keep"))
     clusters = stored(named.join(keep, "component").select("unit", "unit2", "keep"), "clusters")
     hit = units.select("d", "tk", "start", "end", "words", "first_word", "unit", "unit2").join(clusters, ["unit", "unit2"])
-    return _passages(hit.drop("unit", "unit2"), passage, gap)
+    # Windows are many, and most stand once: their hashes are counted alone, and they are cut anew for the join.
+    twice = stored(windows(source).groupBy("unit").count().filter("count > 1").select("unit"), "twice")
+    within = stored(windows(source).join(twice.hint("merge"), "unit").withColumn("words", F.lit(WINDOW)), "windows")
+    within = within.join(within.groupBy("unit").agg(F.min(F.struct("d", "tk", "start", "end")).alias("keep")).hint("merge"), "unit")
+    hit = hit.drop("unit", "unit2").withColumn("win", F.lit(False)).unionByName(within.drop("unit").withColumn("win", F.lit(True)))
+    return _passages(hit, passage, gap)
 
 
-def _passages(hit: DataFrame, passage: int, gap: int) -> DataFrame:
-    """Joins neighbouring clustered paragraphs of a text to passages."""
-    by_text = Window.partitionBy("d", "tk", "row").orderBy("first_word", F.desc("words"))
+def _runs(hit: DataFrame, by: list[str], gap: int) -> DataFrame:
+    """hit with `run`, new where `gap` words or more are not clustered, and the words that each row adds to it."""
+    ordered = Window.partitionBy(*by).orderBy("first_word", F.desc("words"))
     last = F.col("first_word") + F.col("words")
-    before = F.max(last).over(by_text.rowsBetween(Window.unboundedPreceding, -1))
-    # A repeated row brings its paragraphs again; `row` numbers the copies of one place.
-    numbered = hit.withColumn("row", F.row_number().over(Window.partitionBy("d", "tk", "start", "end").orderBy(F.lit(0))))
-    runs = numbered.withColumn("before", before).withColumn("new", (F.col("before").isNull() | (F.col("first_word") - F.col("before") >= gap)).cast("int"))
+    runs = hit.withColumn("before", F.max(last).over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
+    runs = runs.withColumn("new", (F.col("before").isNull() | (F.col("first_word") - F.col("before") >= gap)).cast("int"))
     fresh = F.greatest(F.lit(0), last - F.greatest(F.col("first_word"), F.coalesce("before", F.lit(0))))
-    runs = runs.withColumn("fresh", fresh).withColumn("run", F.sum("new").over(by_text))
+    return runs.withColumn("fresh", fresh).withColumn("run", F.sum("new").over(ordered)).drop("before", "new")
+
+
+def _passages(hit: DataFrame, passage: int, gap: int) -> DataFrame:
+    """Joins neighbouring clustered paragraphs and windows of a text to passages.
+
+    Neighbouring lines and sentences stay or go together, with the windows inside
+    them. Other windows go where they are not the first of their cluster and make
+    up a passage with what goes beside them; fewer words stay with what is around.
+    """
+    # A repeated row brings its paragraphs again; `row` numbers the copies of one place.
+    # All windows below are within a text, so one shuffle serves them.
+    numbered = hit.repartition("d", "tk").withColumn("row", F.row_number().over(Window.partitionBy("d", "tk", "start", "end", "win").orderBy(F.lit(0))))
     own = (F.col("keep.d") == F.col("d")) & (F.col("keep.tk") == F.col("tk")) & (F.col("keep.start") == F.col("start")) & (F.col("row") == 1)
-    out = runs.groupBy("d", "tk", "row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("fresh").cast("long").alias("n_words"), F.min("keep.d").alias("class_id"), F.max(~own).alias("removed"))
+    last = F.col("first_word") + F.col("words")
+    text = ["d", "tk", "row"]
+    lines = _runs(numbered.withColumn("own", own), [*text, "win"], gap)
+    whole = Window.partitionBy(*text, "win", "run")
+    lines = lines.withColumn("around", F.when(~F.col("win"), F.struct(F.max(last).over(whole).alias("last"), F.max(~F.col("own")).over(whole).alias("go"))))
+    # The line run that began last, before or with a window.
+    lines = lines.withColumn("around", F.max("around").over(Window.partitionBy(*text).orderBy("first_word", "win", F.desc("words")).rowsBetween(Window.unboundedPreceding, 0)))
+    go = F.when(~F.col("win") | (F.col("around.last") >= last), F.col("around.go")).otherwise(~F.col("own"))
+    parts = _runs(lines.withColumn("go", go).drop("around", "run", "fresh"), [*text, "go"], gap)
+    parts = parts.withColumn("go", F.col("go") & (F.sum("fresh").over(Window.partitionBy(*text, "go", "run")) >= passage))
+    runs = _runs(parts.drop("run", "fresh"), [*text, "go"], gap)
+    kept = F.coalesce(F.min(F.when(~F.col("win"), F.col("keep.d"))), F.mode("keep.d", True))
+    out = runs.groupBy(*text, "go", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("fresh").cast("long").alias("n_words"), kept.alias("class_id"))
     real = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c if c != "d" else "doc_id")
-    return out.filter(F.col("n_words") >= passage).select(real("d"), "start", "end", "n_words", real("class_id"), "removed")
+    return out.filter(F.col("n_words") >= passage).select(real("d"), "start", "end", "n_words", real("class_id"), F.col("go").alias("removed"))

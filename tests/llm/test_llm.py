@@ -287,6 +287,21 @@ def test_op4_finds_repeated_passages(spark):
     assert paragraph_dedup.repeated_passages(odd_docs(spark)).filter("doc_id in (5, 6)").count() >= 2
 
 
+def test_op4_finds_passages_inside_lines(spark):
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{i}" for i in range(9000)])
+    line = lambda n: " ".join(rng.choice(words, n))
+    inner, wrapped, phrase = line(51), line(51), line(11)
+    w = wrapped.split()
+    wrap = lambda *cut: "\n".join(" ".join(w[a:b]) for a, b in zip((0, *cut), (*cut, 51), strict=True))
+    long = line(30) + " " + phrase + " " + line(30)
+    texts = [line(33) + " " + inner + " " + line(50), line(70) + " " + inner + " " + line(41), line(20) + " " + wrap(25) + " " + line(5), line(9) + " " + wrap(11, 38) + " " + line(22), phrase + " " + line(60), line(45) + " " + long + " " + line(7), line(12) + " " + long + " " + line(48), line(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = paragraph_dedup.repeated_passages(docs).collect()
+    assert {(r.doc_id, r.class_id, r.removed) for r in got} == {(0, 0, False), (1, 0, True), (2, 2, False), (3, 2, True), (5, 5, False), (6, 5, True)}
+    assert all(31 <= r.n_words <= 71 for r in got)
+
+
 def test_op4_tuning_meets_recall():
     bands, rows = paragraph_dedup.tune(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 > 1 - (1 - 0.8**rows) ** (bands - 1)
