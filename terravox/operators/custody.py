@@ -6,8 +6,11 @@ import hashlib
 import hmac
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..errors import CustodyError
 from ..functions import canonical as C
@@ -32,13 +35,43 @@ def manifest(found: DataFrame) -> DataFrame:
 
 
 def root_hash(entries: DataFrame, by: str) -> DataFrame:
-    """SHA-256 of the canonical JSON of each bundle's manifest, its entries ordered by path."""
+    """SHA-256 of the canonical JSON of each bundle's manifest, its entries ordered by path.
+
+    A hash runs over its text from end to end, so a bundle is one task, but
+    entries are fed to it batch by batch: no bundle is ever one row.
+    """
     entry = F.struct("relative_path", "bytes", "sha256")
     quoted = F.to_json(F.struct(F.col("e.relative_path").alias("p")))
     text = F.concat(F.lit('{"bytes":'), F.col("e.bytes").cast("string"), F.lit(',"relativePath":'), F.expr("substring(q, 6, length(q) - 6)"), F.lit(',"sha256":"'), F.col("e.sha256"), F.lit('"}'))
-    rows = entries.select(by, entry.alias("e")).withColumn("q", quoted).select(by, F.struct(F.col("e.relative_path").alias("p"), text.alias("t")).alias("x"))
-    ordered = rows.groupBy(by).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return ordered.select(by, F.sha2(F.concat(F.lit("["), F.array_join("xs.t", ","), F.lit("]")), 256).alias("root_hash"), F.size("xs").cast("long").alias("entries"))
+    rows = entries.select(by, entry.alias("e")).withColumn("q", quoted).select(F.col(by).alias("bundle"), F.col("e.relative_path").alias("p"), text.alias("t"))
+    kind = entries.schema[by].dataType
+    out = T.StructType([T.StructField(by, kind), T.StructField("root_hash", T.StringType()), T.StructField("entries", T.LongType())])
+    return rows.repartition("bundle").sortWithinPartitions("bundle", "p", "t").mapInArrow(_digests(pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in out])), out)
+
+
+def _digests(schema: pa.Schema):
+    """Digests and counts of rows (bundle, path, entry) that come bundle by bundle, in order."""
+
+    def row(bundle, sha, fed, n):
+        sha.update(b"]" if fed else b"[]")
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((bundle, sha.hexdigest(), n), schema, strict=True)], schema=schema)
+
+    def run(batches):
+        here, sha, fed, n = None, None, False, 0
+        for batch in batches:
+            for bundle, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if sha is None or bundle != here:
+                    if sha is not None:
+                        yield row(here, sha, fed, n)
+                    here, sha, fed, n = bundle, hashlib.sha256(), False, 0
+                n += 1
+                if text is not None:
+                    sha.update((b"," if fed else b"[") + text.encode())
+                    fed = True
+        if sha is not None:
+            yield row(here, sha, fed, n)
+
+    return run
 
 
 def chain_links(seals: DataFrame, by: str, order: str, own: str = "seal_hash", previous: str = "prev_hash") -> DataFrame:

@@ -48,6 +48,20 @@ def test_bundle_on_disk(spark, tmp_path):
         records.write_scan(folder, {"scanID": "S-2"})
 
 
+def test_root_hash_feeds_entries_one_by_one(spark):
+    names = [f'{"dir/" * (i % 3)}fi"é{i}.txt' for i in range(25_000)]
+    rows = [(None if i % 50 == 0 else f"b{int(i % 3 > 0)}", p, i, f"{i:064x}") for i, p in enumerate(names)]
+    frame = spark.createDataFrame(rows, "bundle_id string, relative_path string, bytes long, sha256 string").repartition(5)
+    got = custody.root_hash(frame, "bundle_id")
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    want = {}
+    for b, p, n, h in rows:
+        want.setdefault(b, []).append({"relativePath": p, "bytes": n, "sha256": h})
+    want = {(b, digest(sorted(es, key=lambda e: e["relativePath"].encode())), len(es)) for b, es in want.items()}
+    assert {tuple(r) for r in got.collect()} == want
+    assert custody.root_hash(frame.filter("false"), "bundle_id").count() == 0
+
+
 def test_streams(spark, tmp_path):
     now = datetime.datetime(2026, 1, 1)
     rows = [("b", i, -33.0, -70.0, 1.0, 5.0 if i % 2 else 50.0, 5.0, now + datetime.timedelta(seconds=i), "gps") for i in range(10)]
