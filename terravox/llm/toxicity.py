@@ -1,29 +1,30 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on toxic text.
-The toxic dictionary is trained on the spans that mark toxic text: words, with
-the characters around them, that stand in far more of the toxic documents than
-of the ordinary ones. It is used before the ordinary dictionary's content, so
-that both compressors know ordinary prose equally well and the lengths differ by
-what is toxic alone. A document is cut into windows at white space; each
-window is compressed with either dictionary, and the saved bytes over the
+Two zstandard dictionaries are trained: one on the windows of ordinary text, one
+on the windows of toxic text. Most of a toxic document reads like any other, so
+what ordinary texts hold too is taken out of its windows first: a toxic sample is
+a run of bytes whose every `NOVEL` neighbours stand in no ordinary text of the
+fit. Both dictionaries are used as zstandard trained them. A window is compressed
+with the ordinary dictionary, and with the ordinary and the toxic one together,
+so that both know ordinary prose equally well; the saved bytes over a document's
 windows give the score: a logistic curve of their mean, largest and summed
-saving, with the threshold 0.7 calibrated on training documents.
+saving, with the threshold 0.7 calibrated on rows that the compared dictionaries
+have not seen (cross-fitting).
 
 The model is fitted on at most `most` labelled documents of each class (those of
-the smallest hash), whole up to `fit_chars` characters; it is a few kilobytes.
-Every document is scored whole, in place: no shuffle.
+the smallest hash), from their whole texts; it is some hundred kilobytes. Every
+document is scored whole, in place: no shuffle.
 
 Defined results: a null text is empty and gets the score of saving nothing;
-repeated rows each give a row; without labels of both classes every score is 0.
+repeated rows each give a row; without labels of both classes every score is 0;
+where there is too little text to train on, the samples themselves are the
+dictionary.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,28 +33,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, text_or_empty, utf8_list
+from .common import bounded_batches, in_chunks, text_or_empty, utf8_list
 from .quality_ratio import bounded_sample
 
-_WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-
-
-#: A trained dictionary's tables are over by here; content may be put in.
-HEAD = 1024
-
-
-#: (kilobytes of the ordinary dictionary, bytes of a window): each view compresses the whole text.
-VIEWS = ((112, 128), (112, 184))
+#: Bytes of a window; of the windows that the ordinary dictionary is trained on; of a dictionary; neighbours that must be new in a toxic sample.
+WINDOW, SAMPLE, ORDINARY, TOXIC, NOVEL = 128, 256, 112 << 10, 1 << 10, 6
+FOLDS = 5
 
 
 @dataclass
 class Model:
-    pairs: tuple[tuple[bytes, bytes], ...] = ()  # of each view: the ordinary dictionary, the toxic one
+    ordinary: bytes = b""
+    toxic: bytes = b""
     weights: tuple[float, ...] = ()
     means: tuple[float, ...] = ()
     scales: tuple[float, ...] = ()
     shift: float = 0.0
-    level: int = 3
+    level: int = 19
 
 
 def windows(text: bytes, size: int) -> list[bytes]:
@@ -75,21 +71,21 @@ class Scorer:
 
         self.model = model
 
-        def compressor(content: bytes):
+        def compress(content: bytes):
             d = zstandard.ZstdCompressionDict(content)
             d.precompute_compress(level=model.level)
-            return zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            return zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
-        self.pairs = [(compressor(o).compress, compressor(t).compress) for o, t in model.pairs]
+        self.ordinary, self.both = compress(model.ordinary), compress(model.ordinary + model.toxic)
+
+    def savings(self, text: bytes) -> np.ndarray:
+        """What the toxic dictionary saves in each window, in bytes."""
+        return np.array([len(self.ordinary(w)) - len(self.both(w)) for w in windows(text.lower(), WINDOW)])
 
     def features(self, text: bytes) -> tuple[float, ...]:
-        """Of each view the mean, largest and summed saving of the toxic dictionary over the windows."""
-        text, out = text.lower(), []
-        for (ordinary, toxic), (_, size) in zip(self.pairs, VIEWS, strict=True):
-            saved = [len(ordinary(w)) - len(toxic(w)) for w in windows(text, size)]
-            n, most = len(saved), sorted(saved)[-3:]
-            out += [sum(saved) / n, most[-1], sum(most) / len(most), sum(max(0, s - 1) for s in saved) / n, sum(saved) / math.sqrt(n)]
-        return (*out, math.log(n))
+        saved = self.savings(text)
+        most = np.sort(saved)[-3:]
+        return (saved.mean(), most[-1], most.mean(), *(np.maximum(0, saved - k).mean() for k in range(1, 6)), (saved >= 4).sum() / math.sqrt(len(saved)), min((saved >= 5).sum(), 5), math.log(len(saved)))
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not self.model.weights:
@@ -98,75 +94,77 @@ class Scorer:
         return np.round(1 / (1 + np.exp(-np.clip(x @ np.array(self.model.weights) + self.model.shift, -30, 30))), 6)
 
 
-def contexts(texts: list[bytes]) -> Counter:
-    """For each word the number of different pairs of neighbours it has."""
-    seen: dict[bytes, set[int]] = {}
-    for t in texts:
-        words = _WORD.findall(t)
-        for before, w, after in zip([b"", *words], words, [*words[1:], b""], strict=False):
-            if len(w) >= 4:
-                seen.setdefault(w, set()).add(zlib.crc32(after, zlib.crc32(before)))
-    return Counter({w: len(pairs) for w, pairs in seen.items()})
+def neighbours(text: bytes) -> np.ndarray:
+    """A number for each run of NOVEL bytes; different runs have different numbers."""
+    a = np.frombuffer(text, np.uint8).astype(np.uint64)
+    n = max(0, len(a) - NOVEL + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(NOVEL):
+        out = out * np.uint64(257) + a[k : k + n]
+    return out
+
+
+def novel_runs(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The runs of bytes of toxic texts whose every NOVEL neighbours stand in no ordinary text; equal runs are one."""
+    seen = [np.unique(neighbours(b"\n".join(ordinary[lo:hi]))) for lo, hi in in_chunks(ordinary)]
+    known = np.unique(np.concatenate([*seen, np.zeros(1, np.uint64)]))
+    out: dict[bytes, None] = {}
+    for lo, hi in in_chunks(toxic):
+        buf = b"\n".join(toxic[lo:hi])
+        h = neighbours(buf)
+        new = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], new, [False])).view(np.int8)))
+        for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
+            out[buf[a : b + NOVEL - 1]] = None
+    return list(out)
+
+
+def trained(samples: list[bytes], size: int, k: int) -> bytes:
+    import zstandard
 
+    try:
+        return zstandard.train_dictionary(size, samples, k=k, d=6).as_bytes()
+    except zstandard.ZstdError:  # too little text to train on
+        return b"".join(samples)[-size:]
 
-def dictionaries(toxic: list[bytes], ordinary: list[bytes], kilobytes: int, toxic_kb: int = 2) -> tuple[bytes, bytes]:
-    """The ordinary dictionary, trained on ordinary text, and the toxic one, trained on toxic spans in front of the same content."""
-    import zstandard
 
-    def trained(samples: list[bytes], size: int, **how) -> bytes:
-        try:
-            return zstandard.train_dictionary(size, samples, **how).as_bytes()
-        except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
-            return b"".join(dict.fromkeys(samples))[-size:]
-
-    # How many contexts a word has, not how many documents: copies of one document share theirs.
-    in_toxic, in_ordinary = contexts(toxic), contexts(ordinary)
-    fair = len(toxic) / max(1, len(ordinary))
-    marks = {w for w, n in in_toxic.items() if n >= max(3, 0.01 * len(toxic)) and n / (n + in_ordinary[w] * fair + 0.3) >= 0.9}
-    # Each mark as often as the root of its frequency, so that the commonest do not crowd out the rest.
-    spans = [b" " + w + b" " for w in sorted(marks, key=lambda w: (-in_toxic[w], w)) for _ in range(max(1, round(math.sqrt(in_toxic[w]))))]
-    pieces = [w for t in ordinary for w in windows(t[:20_000], 256)]
-    plain = trained(pieces[:: max(1, len(pieces) // 40_000)], kilobytes << 10)
-    size = toxic_kb << 10
-    content = trained(spans * max(1, 2000 // max(1, len(spans))), size, k=16, d=6) if spans else b""
-    # Spans that the training left out, the commonest last.
-    for span in dict.fromkeys(spans):
-        if span.strip() not in content and len(content) < size + 512:
-            content += span
-    # zstandard indexes a dictionary at every third place: the ordinary content behind keeps its places.
-    content = content[-(len(content) // 24 * 24) :] if len(content) >= 24 else b""
-    return plain, plain[:HEAD] + content + plain[HEAD:]
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """The dictionaries of ordinary and of toxic text."""
+    plain = dict.fromkeys(w for t in ordinary for w in windows(t, SAMPLE))
+    return trained(list(plain), ORDINARY, 32), trained(novel_runs(toxic, ordinary), TOXIC, 12)
 
 
 def fit(rows: list[tuple[bytes, int]]) -> Model:
-    """Dictionaries from two thirds of the rows (text, label), weights and threshold from the last third."""
+    """Dictionaries from all rows (text, label); weights and threshold from each row's features under dictionaries of the other folds."""
     rows = [(t.lower(), y) for t, y in rows]
     if len({y for _, y in rows}) < 2:
         return Model()
-    part = [zlib.crc32(t) % 3 for t, _ in rows]
-    train = [(t, y) for (t, y), p in zip(rows, part, strict=True) if p]
-    if len({y for _, y in train}) < 2:
-        train = rows
-    toxic, ordinary = ([t for t, y in train if y == label] for label in (1, 0))
-    made = {kb: dictionaries(toxic, ordinary, kb) for kb, _ in VIEWS}
-    model = Model(tuple(made[kb] for kb, _ in VIEWS))
-    scorer = Scorer(model)
-    held = [(t, y) for (t, y), p in zip(rows, part, strict=True) if not p]
-    calibrate = held if min(sum(y for _, y in held), sum(1 - y for _, y in held)) >= 20 else rows
-    x, y = np.array([scorer.features(t) for t, _ in calibrate]), np.array([y for _, y in calibrate], float)
+    fold = [zlib.crc32(t) % FOLDS for t, _ in rows]
+
+    def made(of) -> Model:
+        return Model(*dictionaries(*([t for (t, y), f in zip(rows, fold, strict=True) if y == label and of(f)] for label in (1, 0))))
+
+    x, y = [], []
+    for k in range(FOLDS):
+        scorer = Scorer(made(lambda f, k=k: f != k))
+        own = [r for r, f in zip(rows, fold, strict=True) if f == k]
+        x += [scorer.features(t) for t, _ in own]
+        y += [label for _, label in own]
+    model = made(lambda f: True)
+    x, y = np.array(x), np.array(y, float)
     means, scales = x.mean(0), x.std(0) + 1e-9
     z = np.column_stack(((x - means) / scales, np.ones(len(x))))
     share = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     w = np.zeros(z.shape[1])
     for _ in range(50):  # Newton steps of a ridge logistic regression
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        ridge = 1e-2 * np.append(w[:-1], 0)
-        hess = (z * (share * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(w))
+        ridge = np.append(w[:-1], 0)
+        hess = (z * (share * p * (1 - p))[:, None]).T @ z + np.eye(len(w))
         step = np.linalg.solve(hess, z.T @ (share * (y - p)) - ridge)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    # The cut with the best F1 on the calibration rows becomes the score 0.7.
+    # The cut with the best F1 on these rows becomes the score 0.7.
     raw = z @ w
     order = np.argsort(-raw, kind="stable")
     hits = np.cumsum(y[order])
@@ -174,7 +172,7 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
     ends = np.append(raw[order][1:] < raw[order][:-1], True)
     best = int(np.argmax(np.where(ends, f1, -1)))
     cut = (raw[order][best] + raw[order][min(best + 1, len(y) - 1)]) / 2
-    return Model(model.pairs, tuple(map(float, w[:-1])), tuple(map(float, means)), tuple(map(float, scales)), float(w[-1] - cut + math.log(0.7 / 0.3)))
+    return Model(model.ordinary, model.toxic, tuple(map(float, w[:-1])), tuple(map(float, means)), tuple(map(float, scales)), float(w[-1] - cut + math.log(0.7 / 0.3)))
 
 
 def held_out():
@@ -182,14 +180,14 @@ def held_out():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 2000, fit_chars: int = 10_000) -> Model:
-    """Fits on at most `most` labelled rows of docs of each class, from their first `fit_chars` characters."""
+def train(docs: DataFrame, labels: DataFrame, most: int = 2000) -> Model:
+    """Fits on at most `most` labelled rows of docs of each class, from their whole texts."""
     known = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [r.doc_id for y in (0, 1) for r in bounded_sample(known.filter(F.col("toxic") == y), most).collect()]
     ids = docs.sparkSession.createDataFrame([(i,) for i in picked], "doc_id long")  # at most 2 * most ids
     toxic = known.join(F.broadcast(ids), "doc_id", "left_semi").collect()
     marks = docs.sparkSession.createDataFrame(toxic, "doc_id long, toxic int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(text_or_empty(), 1, fit_chars).alias("text")).join(F.broadcast(marks), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(marks), "doc_id")
     texts = texts.dropDuplicates(["doc_id"]).select("text", "toxic", F.xxhash64("doc_id").alias("h"))
     return fit([(t.encode(), y) for t, y, _ in sorted(texts.collect(), key=lambda r: (r.h, r.text))])
 
