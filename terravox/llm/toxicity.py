@@ -1,13 +1,13 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on the windows of ordinary text, one
-on the windows of toxic text. Most of a toxic document reads like any other, so
-what ordinary texts hold too is taken out of its windows first: a toxic sample is
-a run of bytes whose every `NOVEL` neighbours stand in no ordinary text of the
-fit. Both dictionaries are used as zstandard trained them. A window is compressed
+on toxic text. Most of a toxic document reads like any other, so what ordinary
+texts hold too, and what stands in it once only, is taken out first: a toxic
+sample is a run of bytes whose every `NOVEL` neighbours stand in no ordinary
+text of the fit and recur in the toxic ones (see `novel_runs`). Both dictionaries are used as zstandard trained them. A window is compressed
 with the ordinary dictionary, and with the ordinary and the toxic one together,
 so that both know ordinary prose equally well; the saved bytes over a document's
-windows give the score: a logistic curve of their mean, largest and summed
+windows give the score: a logistic curve of their largest, mean and summed
 saving, with the threshold 0.7 calibrated on rows that the compared dictionaries
 have not seen (cross-fitting).
 
@@ -37,8 +37,8 @@ from .common import bounded_batches, in_chunks, text_or_empty, utf8_list
 from .quality_ratio import bounded_sample
 
 #: Bytes of a window; of the windows that the ordinary dictionary is trained on; of a dictionary; neighbours that must be new in a toxic sample.
-WINDOW, SAMPLE, ORDINARY, TOXIC, NOVEL = 128, 256, 112 << 10, 1 << 10, 6
-FOLDS = 5
+WINDOW, SAMPLE, ORDINARY, TOXIC, NOVEL = 128, 256, 112 << 10, 2 << 10, 6
+FOLDS, BETA = 5, 1.5
 
 
 @dataclass
@@ -84,8 +84,8 @@ class Scorer:
 
     def features(self, text: bytes) -> tuple[float, ...]:
         saved = self.savings(text)
-        most = np.sort(saved)[-3:]
-        return (saved.mean(), most[-1], most.mean(), *(np.maximum(0, saved - k).mean() for k in range(1, 6)), (saved >= 4).sum() / math.sqrt(len(saved)), min((saved >= 5).sum(), 5), math.log(len(saved)))
+        over = np.maximum(0, saved - 1)
+        return (np.sort(saved)[-3:].mean(), over.mean(), over.sum() / math.sqrt(len(saved)), math.log(len(saved)))
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not self.model.weights:
@@ -104,19 +104,30 @@ def neighbours(text: bytes) -> np.ndarray:
     return out
 
 
+def _cut(buf: bytes, keep: np.ndarray) -> list[bytes]:
+    """The runs of buf whose every NOVEL neighbours are kept."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], keep, [False])).view(np.int8)))
+    return [buf[a : b + NOVEL - 1] for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True)]
+
+
 def novel_runs(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """The runs of bytes of toxic texts whose every NOVEL neighbours stand in no ordinary text; equal runs are one."""
+    """The runs of bytes of toxic texts whose every NOVEL neighbours stand in no ordinary text, but in other surroundings of a toxic one too.
+
+    Copies of a text have the same surroundings, so they count once.
+    """
     seen = [np.unique(neighbours(b"\n".join(ordinary[lo:hi]))) for lo, hi in in_chunks(ordinary)]
     known = np.unique(np.concatenate([*seen, np.zeros(1, np.uint64)]))
-    out: dict[bytes, None] = {}
+    new = lambda h: known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h
+    runs: dict[bytes, None] = {}
     for lo, hi in in_chunks(toxic):
         buf = b"\n".join(toxic[lo:hi])
-        h = neighbours(buf)
-        new = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], new, [False])).view(np.int8)))
-        for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
-            out[buf[a : b + NOVEL - 1]] = None
-    return list(out)
+        runs.update(dict.fromkeys(_cut(buf, new(neighbours(buf)))))
+    buf = b"\n".join(runs)
+    h = neighbours(buf)
+    _, of, n = np.unique(h, return_inverse=True, return_counts=True)
+    ends = np.concatenate(([0], np.cumsum(np.frombuffer(buf, np.uint8) == 10)))
+    whole = ends[NOVEL : len(h) + NOVEL] == ends[: len(h)]
+    return _cut(buf, new(h) & whole & (n[of] >= 2))
 
 
 def trained(samples: list[bytes], size: int, k: int) -> bytes:
@@ -164,13 +175,13 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    # The cut with the best F1 on these rows becomes the score 0.7.
+    # The cut with the best F on these rows, recall weighing BETA times as much as precision, becomes the score 0.7.
     raw = z @ w
     order = np.argsort(-raw, kind="stable")
     hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    f = (1 + BETA**2) * hits / (np.arange(1, len(y) + 1) + BETA**2 * y.sum())
     ends = np.append(raw[order][1:] < raw[order][:-1], True)
-    best = int(np.argmax(np.where(ends, f1, -1)))
+    best = int(np.argmax(np.where(ends, f, -1)))
     cut = (raw[order][best] + raw[order][min(best + 1, len(y) - 1)]) / 2
     return Model(model.ordinary, model.toxic, tuple(map(float, w[:-1])), tuple(map(float, means)), tuple(map(float, scales)), float(w[-1] - cut + math.log(0.7 / 0.3)))
 
