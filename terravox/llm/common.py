@@ -54,13 +54,13 @@ def drop_scratch(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Rows of about a hundred bytes that may be broadcast.
-BROADCAST_ROWS = 400_000
+#: What a table that is broadcast may take in an executor's memory, and what a row of a narrow key takes in a hash table there.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 128
 
 
 def few(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Joins with a written table of narrow rows: broadcast if it is counted to have few, else shuffled."""
-    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
+    """Joins with a written table of narrow rows: broadcast if its counted rows fit in BROADCAST_BYTES, else shuffled."""
+    return left.join(F.broadcast(right) if right.count() * ROW_BYTES <= BROADCAST_BYTES else right, on, how)
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:

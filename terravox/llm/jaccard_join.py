@@ -8,9 +8,11 @@ on tokens sampled for that path. Where a sample hardly splits a path (most of
 its sets are like one another), and where the depth is used up, the whole path
 is a leaf too, however large; its pairs are decided block by block, so nothing
 is capped. With `branches` tokens at each node a pair of similarity s survives
-a node with probability 1-(1-s)**branches about; `runs` independent runs repeat
-until the chance of missing a pair at the threshold is below 1-recall (see
-`runs_needed`).
+a node with probability 1-(1-s)**branches about; runs, each over coordinates of
+its own, repeat until the chance of missing a pair at the threshold is below
+1-recall (see `runs_needed`). In a leaf, whole signatures are compared first: a
+pair with fewer than `AGREE` equal coordinates of `COORDINATES` is not compared
+further, which a pair at the threshold meets with a chance of 2e-6.
 
 Copies of one text are one set. Defined results: a null text counts as empty;
 empty texts are copies of one another and link with nothing; a text of one to
@@ -27,11 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import near
-from .common import bounded_batches, few, hashed_words, in_chunks, shingle_hashes, stored, text_key, text_or_empty, utf8_list
+from .common import bounded_batches, drop_scratch, few, hashed_words, in_chunks, shingle_hashes, stored, text_key, text_or_empty, utf8_list
 
 COORDINATES = 24
-#: Steps prime to COORDINATES: three sampled coordinates of a node are distinct.
-_STEPS = (1, 5, 7, 11)
+#: Coordinates that two signatures must share.
+AGREE = 9
 
 
 def runs_needed(similarity: float, recall: float, branches: int = 3, depth: int = 6) -> int:
@@ -69,7 +71,7 @@ def signatures(docs: DataFrame, width: int = 5, coordinates: int = COORDINATES)
 
 def row_key(doc_id, sid):
     """Stands for a document: its id with its text. Copies with ids of their own have keys of their own."""
-    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), F.hex(sid)))
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), F.hex(sid))))
 
 
 def sized(paths: DataFrame) -> DataFrame:
@@ -79,42 +81,51 @@ def sized(paths: DataFrame) -> DataFrame:
 
 
 def chosen_paths(reps: DataFrame, runs: int, branches: int = 3, small: int = 64, depth: int = 6, unsplit: float = 0.5) -> DataFrame:
-    """Leaves (bucket, sid, size) over reps (sid, sig)."""
-    n = runs * branches
-    if n > COORDINATES:
+    """Leaves (bucket, sid) over reps (sid, sig), as a written table."""
+    own = COORDINATES // runs  # of each run
+    if own < branches:
         raise ValueError("more runs than coordinates")
-    first = reps.select("sid", F.posexplode(F.slice("sig", 1, n)).alias("i", "v")).select(F.xxhash64("i", "v").alias("bucket"), "sid")
-    level = stored(sized(first), "paths")
-    leaves = level.filter(F.col("size") <= small)
-    open_ = level.filter(F.col("size") > small)
+    starts = F.array(*(F.lit(r * own + j) for r in range(runs) for j in range(branches)))
+    first = reps.select("sid", "sig", F.explode(starts).alias("at")).select(F.xxhash64("at", F.element_at("sig", F.col("at") + 1)).alias("bucket"), "sid", F.expr(f"at div {own}").cast("int").alias("run"))
+    made = [stored(sized(first), "paths")]
+    leaves, open_ = made[0].filter(F.col("size") <= small).select("bucket", "sid"), made[0].filter(F.col("size") > small)
     for d in range(1, depth):
         if open_.limit(1).count() == 0:
-            return leaves
-        base, step = F.pmod(F.xxhash64("bucket", F.lit(d)), F.lit(COORDINATES)), F.element_at(F.array(*map(F.lit, _STEPS)), (F.pmod(F.xxhash64("bucket"), F.lit(len(_STEPS))) + 1).cast("int"))
-        at = F.pmod(base + F.col("j") * step, F.lit(COORDINATES)).cast("int")
-        child = open_.join(reps, "sid").select(F.col("bucket").alias("parent"), F.col("size").alias("parent_size"), "sid", "sig", F.explode(F.sequence(F.lit(0), F.lit(branches - 1))).alias("j"), "bucket")
-        child = child.select("parent", "parent_size", "sid", F.xxhash64("bucket", at, F.element_at("sig", at + 1)).alias("bucket"))
+            break
+        # The run's coordinates in an order of the path's own: `branches` of them from a drawn one on, by an odd step.
+        turn = F.xxhash64("bucket", F.lit(d))
+        at = (F.col("run") * own + F.pmod(turn + F.col("j") * (1 + 2 * F.pmod(F.shiftright(turn, 8), F.lit(own // 2))), F.lit(own))).cast("int")
+        child = open_.join(reps, "sid").select("run", F.col("bucket").alias("parent"), F.col("size").alias("parent_size"), "sid", "sig", F.explode(F.sequence(F.lit(0), F.lit(branches - 1))).alias("j"), "bucket")
+        child = child.select("run", "parent", "parent_size", "sid", F.xxhash64("bucket", at, F.element_at("sig", at + 1)).alias("bucket"))
         child = stored(sized(child), "paths")
         stuck = stored(child.filter(F.col("size") > F.greatest(F.lit(small), F.col("parent_size") * unsplit)).select(F.col("parent").alias("bucket")).distinct(), "stuck")
-        leaves = leaves.unionByName(open_.join(stuck, "bucket", "left_semi"))
-        child = child.join(stuck.select(F.col("bucket").alias("parent")), "parent", "left_anti").select("bucket", "sid", "size")
-        leaves = leaves.unionByName(child.filter(F.col("size") <= small))
+        made += [child, stuck]
+        leaves = leaves.unionByName(open_.join(stuck, "bucket", "left_semi").select("bucket", "sid"))
+        child = child.join(stuck.select(F.col("bucket").alias("parent")), "parent", "left_anti").select("run", "bucket", "sid", "size")
+        leaves = leaves.unionByName(child.filter(F.col("size") <= small).select("bucket", "sid"))
         open_ = child.filter(F.col("size") > small)
-    return leaves.unionByName(open_)
+    out = stored(leaves.unionByName(open_.select("bucket", "sid")).distinct(), "leaves")
+    for table in made:
+        drop_scratch(table)
+    return out
 
 
 def joined(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.9999) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, sid of every row of docs; groups: sid, doc_id (least), n_copies, n_links, class_id)."""
     sigs = stored(signatures(docs, width), "signatures")
     reps = stored(sigs.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("sig").alias("sig")), "reps")
-    leaves = chosen_paths(reps.filter("sig is not null").select("sid", "sig"), runs_needed(similarity, recall))
-    leaves = stored(near.distinct_leaves(stored(leaves.distinct(), "leaves")), "leaves")
+    some = reps.filter("sig is not null").select("sid", "sig")
+    paths = chosen_paths(some, runs_needed(similarity, recall))
+    leaves = stored(near.distinct_leaves(paths), "leaves")
+    likely = stored(near.plausible(leaves, some, AGREE), "likely")
+    likely_one = stored(near.distinct_leaves(likely), "likely")
     # One row for each wanted text: the copy with the least id. The id is part of the key, so copies don't meet in one task.
-    wanted = leaves.select("sid").distinct().join(reps.select("sid", "doc_id"), "sid")
-    wanted = stored(wanted.select(row_key(F.col("doc_id"), F.col("sid")).alias("k"), "sid"), "wanted")
-    texts = few(docs.select(row_key(F.col("doc_id").cast("long"), text_key()).alias("k"), text_or_empty().alias("text")), wanted, ["k"])
-    sets = stored(near.shingle_sets(texts, width), "sets")
-    edges = stored(near.verified(leaves, sets, similarity), "links")
+    wanted = likely_one.select("sid").distinct().join(reps.select("sid", "doc_id"), "sid")
+    wanted = stored(wanted.select(row_key(F.col("doc_id"), F.col("sid")).alias("k")), "wanted")
+    texts = few(docs.select(row_key(F.col("doc_id").cast("long"), text_key()).alias("k"), text_key().alias("sid"), text_or_empty().alias("text")), wanted, ["k"], "left_semi")
+    edges = stored(near.verified(likely_one, near.shingle_sets(texts, width), similarity), "links")
+    for table in (paths, leaves, likely, likely_one, wanted):
+        drop_scratch(table)
     label = near.components(edges, "sid", "root")
     links = edges.groupBy("sid").agg(F.sum("links").alias("n_links"))
     linked = label.select(F.col("node").alias("sid"), "component").join(links, "sid", "left").join(reps.select("sid", "doc_id"), "sid")
@@ -122,7 +133,10 @@ def joined(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: flo
     linked = linked.join(least, "component").select("sid", F.coalesce("n_links", F.lit(0)).alias("n_links"), "class_id", (F.col("sid") == F.col("first_sid")).alias("stays"), F.lit(True).alias("linked"))
     groups = reps.drop("sig").join(linked, "sid", "left").withColumn("class_id", F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("doc_id")))
     groups = groups.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")).withColumn("stays", F.coalesce("stays", F.lit(True))).drop("linked")
-    return sigs.drop("sig"), stored(groups, "groups")
+    groups = stored(groups, "groups")
+    for table in (edges, label, reps):
+        drop_scratch(table)
+    return sigs.drop("sig"), groups
 
 
 def jaccard_classes(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:

@@ -3,8 +3,9 @@
 Buckets say which sets may be similar; here every pair within a bucket is
 decided by its exact Jaccard similarity. A bucket of any size is taken whole: it
 is dealt into blocks, and each pair of blocks is a group of its own, bounded by
-two blocks. Pairs are never rows. A group yields one row for each of its sets
-that has a partner: the least set it is connected with there, and how many
+two blocks. Pairs are never rows. Signatures go to the groups first (`plausible`),
+and only sets that have a partner by them follow (`verified`). A group yields one
+row for each of its sets that has a partner: the least set it is connected with there, and how many
 partners it has that no earlier bucket has counted.
 """
 
@@ -103,18 +104,67 @@ def roots(links: np.ndarray) -> np.ndarray:
     return root
 
 
+def dealt(leaves: DataFrame) -> DataFrame:
+    """Leaves (bucket, sid, ...) with their block among as many as the bucket needs."""
+    nb = leaves.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    return leaves.join(nb, "bucket").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
+
+
+def by_block_pair(blocks: DataFrame, *columns: str) -> DataFrame:
+    """Each row in every pair of blocks that its own is in; a pair of blocks lies in one task, in a row."""
+    spread = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    spread = spread.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *columns)
+    return spread.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "sid")
+
+
+def plausible(leaves: DataFrame, signatures: DataFrame, agree: int) -> DataFrame:
+    """The leaves (bucket, sid) that have a partner in their bucket with `agree` equal coordinates or more; signatures (sid, sig)."""
+    spread = by_block_pair(dealt(leaves.select("bucket", "sid")).join(signatures, "sid"), "sid", "sig")
+
+    def run(batches):
+        here, parts = None, []
+
+        def hits():
+            sids, sigs = [x for p in parts for x in p[0]], np.concatenate([p[1] for p in parts])
+            if len(sids) < 2:
+                return []
+            equal = np.zeros((len(sids), len(sids)), np.int16)
+            for c in sigs.T:
+                equal += c[:, None] == c[None, :]
+            np.fill_diagonal(equal, 0)
+            return [(here[0], sids[i]) for i in np.flatnonzero((equal >= agree).any(1)).tolist()]
+
+        for batch in batches:
+            keys = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            sids, sigs = batch.column(3).to_pylist(), batch.column(4).flatten().to_numpy().reshape(len(keys), -1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            out = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a < b:
+                    if tuple(keys[a].tolist()) != here:
+                        out += hits() if parts else []
+                        here, parts = tuple(keys[a].tolist()), []
+                    parts.append((sids[a:b], sigs[a:b]))
+            yield _members(out)
+        if parts:
+            yield _members(hits())
+
+    return bounded_batches(spread).mapInArrow(run, "bucket long, sid binary").distinct()
+
+
+def _members(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "sid"])
+
+
 def verified(leaves: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """sid, root, links over leaves (bucket, sid, size) of sets (sid, shingles).
+    """sid, root, links over leaves (bucket, sid) of sets (sid, shingles).
 
     links sums to the number of distinct partners of a sid: a pair that several
     buckets hold counts in the first of them.
     """
-    blocks = leaves.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
     # Every bucket a set is in, for the question which bucket of a pair's is the first.
     every = leaves.groupBy("sid").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
-    spread = blocks.join(sets.join(every, "sid"), "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    spread = spread.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "sid", "shingles", "buckets")
-    spread = spread.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "sid")
+    spread = by_block_pair(dealt(leaves.select("bucket", "sid")).join(sets.join(every, "sid"), "sid"), "own", "sid", "shingles", "buckets")
 
     def decide(bucket, lo, hi, members):
         sids, own, sets_, buckets = zip(*members, strict=True)
@@ -183,5 +233,6 @@ def components(edges: DataFrame, a: str, b: str, most: int = 200) -> DataFrame:
         drop_scratch(labels)
         labels = new.drop("changed")
         if not changed:
+            drop_scratch(both)
             return labels
     raise RuntimeError("components did not settle")

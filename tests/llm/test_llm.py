@@ -549,8 +549,8 @@ def test_op10_small_paths_split(spark):
     texts = crowd(60, 4)
     sigs = jaccard_join.signatures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).filter("sig is not null")
     reps = sigs.groupBy("sid").agg(F.first("sig").alias("sig"))
-    leaves = jaccard_join.chosen_paths(reps, 3, small=4).groupBy("bucket").agg(F.count("*").alias("n"), F.max("size").alias("size")).collect()
-    assert all(r.n == r.size for r in leaves) and min(r.n for r in leaves) >= 2
+    leaves = jaccard_join.chosen_paths(reps, 3, small=4).groupBy("bucket").agg(F.count("*").alias("n")).collect()
+    assert min(r.n for r in leaves) >= 2
     assert jaccard_join.runs_needed(0.8, 0.9999) <= 3
 
 
