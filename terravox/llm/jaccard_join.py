@@ -74,12 +74,6 @@ def row_key(doc_id, sid):
     return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), F.hex(sid))))
 
 
-def sized(paths: DataFrame) -> DataFrame:
-    """Paths (bucket, sid, ...) of two sets or more, with their size."""
-    sizes = paths.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    return paths.join(sizes, "bucket")
-
-
 def chosen_paths(reps: DataFrame, runs: int, branches: int = 3, small: int = 64, depth: int = 6, unsplit: float = 0.5) -> DataFrame:
     """Leaves (bucket, sid) over reps (sid, sig), as a written table."""
     own = COORDINATES // runs  # of each run
@@ -87,7 +81,7 @@ def chosen_paths(reps: DataFrame, runs: int, branches: int = 3, small: int = 64,
         raise ValueError("more runs than coordinates")
     starts = F.array(*(F.lit(r * own + j) for r in range(runs) for j in range(branches)))
     first = reps.select("sid", "sig", F.explode(starts).alias("at")).select(F.xxhash64("at", F.element_at("sig", F.col("at") + 1)).alias("bucket"), "sid", F.expr(f"at div {own}").cast("int").alias("run"))
-    made = [stored(sized(first), "paths")]
+    made = [stored(near.sized(first), "paths")]
     leaves, open_ = made[0].filter(F.col("size") <= small).select("bucket", "sid"), made[0].filter(F.col("size") > small)
     for d in range(1, depth):
         if open_.limit(1).count() == 0:
@@ -97,7 +91,7 @@ def chosen_paths(reps: DataFrame, runs: int, branches: int = 3, small: int = 64,
         at = (F.col("run") * own + F.pmod(turn + F.col("j") * (1 + 2 * F.pmod(F.shiftright(turn, 8), F.lit(own // 2))), F.lit(own))).cast("int")
         child = open_.join(reps, "sid").select("run", F.col("bucket").alias("parent"), F.col("size").alias("parent_size"), "sid", "sig", F.explode(F.sequence(F.lit(0), F.lit(branches - 1))).alias("j"), "bucket")
         child = child.select("run", "parent", "parent_size", "sid", F.xxhash64("bucket", at, F.element_at("sig", at + 1)).alias("bucket"))
-        child = stored(sized(child), "paths")
+        child = stored(near.sized(child), "paths")
         stuck = stored(child.filter(F.col("size") > F.greatest(F.lit(small), F.col("parent_size") * unsplit)).select(F.col("parent").alias("bucket")).distinct(), "stuck")
         made += [child, stuck]
         leaves = leaves.unionByName(open_.join(stuck, "bucket", "left_semi").select("bucket", "sid"))

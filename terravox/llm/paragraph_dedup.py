@@ -1,14 +1,14 @@
 """Substring dedup: paragraphs by MinHash banding.
 
-A paragraph is a line of a text. A long line also gives the sentences within
-it, so a passage that was copied into the middle of another paragraph is found.
-Equal paragraphs are one set. Lines get a MinHash signature; bands and rows are
-tuned so that a pair at the threshold collides in a band with the wanted chance.
-Colliding lines are verified by exact Jaccard similarity of five-word runs
-(`near.verified`), equal sentences by equality. Components of what is verified
-are the clusters: each keeps its first occurrence, and the others are removed.
-
-Every text also gives overlapping windows of `WINDOW` words, which heed neither
+A paragraph is a line of a text. Equal paragraphs are one set. Paragraphs of
+`least` words or more get a MinHash signature; bands and rows are tuned so that a
+pair at the threshold collides in a band with the wanted chance, and a pair of
+unlike ones seldom. Colliding paragraphs are verified by exact Jaccard similarity
+of five-word runs (`near.verified`). Components of what is verified are the
+clusters: each keeps its first occurrence, and the others are removed.
+
+What was copied into the middle of another line, or over several, is found by
+windows: every text gives overlapping windows of `WINDOW` words, which heed neither
 lines nor punctuation. A window is taken where its hash is the least of `REACH`
 neighbouring windows, so equal words give equal windows: a run of n words
 that stands twice has windows over n - 2 * (REACH - 1) of its words at least, 31
@@ -35,15 +35,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import near
-from .common import bounded_batches, few, hashed_words, in_chunks, mix64, shingle_hashes, stored, text_or_empty, utf8_list
+from .common import bounded_batches, drop_scratch, few, hashed_words, in_chunks, mix64, shingle_hashes, stored, text_or_empty, utf8_list
 
 
-def tune(similarity: float, recall: float, rows: int = 2) -> tuple[int, int]:
-    """(bands, rows): the fewest bands of that many rows that let a pair at the threshold collide with chance `recall`."""
-    bands = 1
-    while 1 - (1 - similarity**rows) ** bands < recall:
-        bands += 1
-    return bands, rows
+def tune(similarity: float, recall: float, unlike: float = 0.2, false: float = 0.1) -> tuple[int, int]:
+    """(bands, rows): the fewest rows, and of them the fewest bands, that let a pair at the threshold collide with chance `recall`, and one of similarity `unlike` with chance `false` at most."""
+    rows = bands = 1
+    while True:
+        while 1 - (1 - similarity**rows) ** bands < recall:
+            bands += 1
+        if 1 - (1 - unlike**rows) ** bands <= false:
+            return bands, rows
+        rows += 1
 
 
 #: Stands for a null doc_id.
@@ -100,29 +103,28 @@ def _windows(texts: list[bytes]):
     return text, start[word], end[word + WINDOW - 1], nth, runs[pick]
 
 
-def paragraphs(docs: DataFrame, bands: int, rows: int, least: int, long_line: int, width: int = 5) -> DataFrame:
-    """The lines and sentences of docs (d, tk, text): place, hash and, of a line of `least` words, its bands."""
+def paragraphs(docs: DataFrame, bands: int, rows: int, least: int, width: int = 5) -> DataFrame:
+    """The lines of docs (d, tk, text): place, hash and, where they have `least` words, bands."""
 
     def run(batches):
         for batch in batches:
             texts = utf8_list(batch.column(2))
             for lo, hi in in_chunks(texts):
-                for part in _units(texts[lo:hi], bands, rows, least, long_line, width):
-                    text, start, end, words, first, unit, unit2, keys = part
-                    take = pa.array(text + lo)
-                    lists = pa.array(keys, pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int32()) for x in (start, end, words, first)), pa.array(unit.view(np.int64)), pa.array(unit2.view(np.int64)), lists], names=[f.name for f in _UNITS])
+                text, start, end, words, first, unit, unit2, keys = _units(texts[lo:hi], bands, rows, least, width)
+                take = pa.array(text + lo)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int32()) for x in (start, end, words, first)), pa.array(unit.view(np.int64)), pa.array(unit2.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=[f.name for f in _UNITS])
 
     return bounded_batches(docs).select("d", "tk", "text").mapInArrow(run, _UNITS)
 
 
-def _units(texts: list[bytes], bands: int, rows: int, least: int, long_line: int, width: int):
+def _units(texts: list[bytes], bands: int, rows: int, least: int, width: int):
     h, start, end, first = hashed_words(texts)
     if not len(h):
-        return
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none, none.view(np.uint64), none.view(np.uint64), []
     counts = np.diff(first)
     owner = np.repeat(np.arange(len(counts)), counts)
-    # A word begins a line if it begins its text or a line break stands before it; a sentence if the word before ends one.
+    # A word begins a line if it begins its text or a line break stands before it.
     buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     sizes = np.array([len(t) + 1 for t in texts])
     begins = np.concatenate(([0], np.cumsum(sizes)))[:-1]
@@ -130,12 +132,8 @@ def _units(texts: list[bytes], bands: int, rows: int, least: int, long_line: int
     breaks = np.concatenate(([0], np.cumsum(buf == 10)))
     line = np.ones(len(h), bool)
     line[1:] = breaks[a[1:]] > breaks[e[:-1]]
-    stop = np.isin(buf[e - 1], np.frombuffer(b".!?", np.uint8))
-    sentence = line.copy()
-    sentence[1:] |= stop[:-1]
 
-    line_at = np.flatnonzero(line)
-    lines = np.append(line_at, len(h))
+    lines = np.append(np.flatnonzero(line), len(h))
     n = np.diff(lines)
     keys: list = [None] * len(n)
     runs, at = shingle_hashes(h, lines, width)
@@ -149,17 +147,10 @@ def _units(texts: list[bytes], bands: int, rows: int, least: int, long_line: int
             band = mix64(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
         for i, b in zip(some.tolist(), band.view(np.int64), strict=True):
             keys[i] = b
-    yield _rows(h, start, end, first, owner, lines, keys)
-
-    big = np.repeat(n > long_line, n)
-    cut = np.append(np.flatnonzero(sentence), len(h))
-    inside = big[cut[:-1]]
-    whole = line[cut[:-1]] & np.append(line, True)[cut[1:]]  # a line of one sentence is there as a line
-    if inside.any():
-        yield _rows(h, start, end, first, owner, cut, [None] * (len(cut) - 1), inside & ~whole & (np.diff(cut) >= 4))
+    return _rows(h, start, end, first, owner, lines, keys)
 
 
-def _rows(h, start, end, first, owner, cut, keys, only=None):
+def _rows(h, start, end, first, owner, cut, keys):
     a, b = cut[:-1], cut[1:]
     n = b - a
     # Order counts: a word's hash is mixed with its place in the unit.
@@ -167,14 +158,10 @@ def _rows(h, start, end, first, owner, cut, keys, only=None):
     x = mix64(h + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     unit = np.bitwise_xor.reduceat(x, a)
     unit2 = mix64(np.add.reduceat(x, a) ^ n.astype(np.uint64))
-    out = [owner[a], start[a], end[b - 1], n, a - first[owner[a]], unit, unit2]
-    if only is not None:
-        out = [c[only] for c in out]
-        keys = [None] * len(out[0])
-    return (*out, keys)
+    return owner[a], start[a], end[b - 1], n, a - first[owner[a]], unit, unit2, keys
 
 
-def repeated_passages(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.999, least: int = 20, long_line: int = 40, passage: int = 30, gap: int = 8) -> DataFrame:
+def repeated_passages(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.999, least: int = 20, passage: int = 30, gap: int = 8) -> DataFrame:
     """doc_id, start, end, n_words, class_id, removed: a row for each repeated passage of docs.
 
     Passages are within one text; start and end are bytes. A passage is removed
@@ -182,28 +169,34 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     """
     bands, rows = tune(similarity, recall)
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text_or_empty()).alias("tk"), text_or_empty().alias("text"))
-    units = stored(paragraphs(source, bands, rows, least, long_line, width), "units")
+    units = stored(paragraphs(source, bands, rows, least, width), "units")
     # Equal paragraphs are one set: its first occurrence, how many there are and, of lines, the bands.
     sets = units.groupBy("unit", "unit2").agg(F.min(F.struct("d", "tk", "start", "end")).alias("first"), F.count("*").alias("n"), F.max("bands").alias("bands")).filter("n > 1 or bands is not null")
     sets = stored(sets.withColumn("sid", F.unhex(F.concat(F.lpad(F.hex("unit"), 16, "0"), F.lpad(F.hex("unit2"), 16, "0")))), "sets")
     keyed = sets.filter("bands is not null").select("sid", F.explode(F.array_distinct("bands")).alias("bucket"))
-    leaves = stored(keyed.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).filter("size > 1"), "leaves")
-    leaves = stored(near.distinct_leaves(leaves), "leaves")
+    met = stored(near.sized(keyed).select("bucket", "sid"), "met")
+    leaves = stored(near.distinct_leaves(met), "leaves")
     wanted = leaves.select("sid").distinct().join(sets.select("sid", "first"), "sid").groupBy("first.d", "first.tk").agg(F.collect_list(F.struct("sid", "first.start", "first.end")).alias("ps"))
-    texts = few(source, stored(wanted, "wanted"), ["d", "tk"])
+    wanted = stored(wanted, "wanted")
+    texts = few(source, wanted, ["d", "tk"])
     texts = texts.select(F.encode("text", "UTF-8").alias("b"), F.explode("ps").alias("p"))
     texts = texts.select("p.sid", F.expr("decode(substring(b, p.start + 1, p.end - p.start), 'UTF-8')").alias("text"))
-    edges = stored(near.verified(leaves, stored(near.shingle_sets(texts, width), "shingles"), similarity), "links")
+    edges = stored(near.verified(leaves, near.shingle_sets(texts, width), similarity), "links")
     label = near.components(edges, "sid", "root")
     # Cluster of each paragraph that occurs twice or is like another one.
     named = sets.select("unit", "unit2", "sid", "first", "n").join(label.withColumnRenamed("node", "sid"), "sid", "left").filter("n > 1 or component is not null")
     named = stored(named.select("unit", "unit2", "first", F.coalesce("component", "sid").alias("component")), "named")
     keep = named.groupBy("component").agg(F.min("first").alias("keep"))
     clusters = stored(named.join(keep, "component").select("unit", "unit2", "keep"), "clusters")
-    hit = units.select("d", "tk", "start", "end", "words", "first_word", "unit", "unit2").join(clusters, ["unit", "unit2"])
+    for table in (sets, met, leaves, wanted, edges, label, named):
+        drop_scratch(table)
+    hit = stored(units.select("d", "tk", "start", "end", "words", "first_word", "unit", "unit2").join(clusters, ["unit", "unit2"]), "hit")
+    drop_scratch(units)
+    drop_scratch(clusters)
     # Windows are many, and most stand once: their hashes are counted alone, and they are cut anew for the join.
     twice = stored(windows(source).groupBy("unit").count().filter("count > 1").select("unit"), "twice")
     within = stored(windows(source).join(twice.hint("merge"), "unit").withColumn("words", F.lit(WINDOW)), "windows")
+    drop_scratch(twice)
     within = within.join(within.groupBy("unit").agg(F.min(F.struct("d", "tk", "start", "end")).alias("keep")).hint("merge"), "unit")
     hit = hit.drop("unit", "unit2").withColumn("win", F.lit(False)).unionByName(within.drop("unit").withColumn("win", F.lit(True)))
     return _passages(hit, passage, gap)
@@ -222,7 +215,7 @@ def _runs(hit: DataFrame, by: list[str], gap: int) -> DataFrame:
 def _passages(hit: DataFrame, passage: int, gap: int) -> DataFrame:
     """Joins neighbouring clustered paragraphs and windows of a text to passages.
 
-    Neighbouring lines and sentences stay or go together, with the windows inside
+    Neighbouring lines stay or go together, with the windows inside
     them. Other windows go where they are not the first of their cluster and make
     up a passage with what goes beside them; fewer words stay with what is around.
     """
