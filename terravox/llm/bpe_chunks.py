@@ -3,10 +3,13 @@
 A long text is cut into chunks that overlap; the chunks are rows of their own,
 so Spark spreads them. Each chunk is pre-tokenised alone. Its first boundaries
 may be wrong, since it begins anywhere, but pre-tokenising has no memory: from
-the first boundary that the chunk before also found, both agree. There the
-texts are cut (`stitch`), and the pieces between the cuts are encoded apart.
-Where two chunks share no boundary in their overlap (one unbroken run), what
-follows is encoded as one piece, pre-token by pre-token. A text of one chunk is
+the first boundary that the chunk before also found, both agree (`stitch`). There
+the texts are cut, and the pieces between the cuts are encoded apart. Where two
+chunks share no boundary in their overlap, the chunk joins the piece before it,
+and the next chunk stitches again: on a boundary that every pre-tokenising has
+wherever it begins (`SURE`), since what came before is not known. So a piece is
+long only where no such boundary stands in the overlaps, as in one unbroken run
+of letters, which is one pre-token and cannot be cut. A text of one chunk is
 encoded as it is. Decoding joins the ids' raw bytes.
 
 Defined results: a null text is empty (no ids, empty bytes); special tokens'
@@ -36,6 +39,7 @@ class ChunkCodec:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
+        self.sure = regex.compile(SURE)
 
     def boundaries(self, text: str, begin: int = 0, end: int | None = None) -> list[int]:
         """Where pre-tokens begin within [begin, end) when text is split from its start."""
@@ -53,9 +57,13 @@ class ChunkCodec:
         return self.encoding.decode_bytes(ids.tolist())
 
 
-def certain(text: str, at: int) -> bool:
-    """Whether a boundary at `at` may be a cut: the text before must end in a pre-token that what follows cannot change."""
-    return 0 < at < len(text) and not text[at - 1].isspace() and text[at - 1].isascii() and text[at].isascii()
+#: Between a letter or a number and what is neither, nor a mark or an apostrophe: a pre-token of the public patterns ends here whatever stands before it.
+SURE = r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}\p{M}'\u2019])"
+
+
+def cuttable(text: str, at: int) -> bool:
+    """Whether a boundary at `at` may be a cut: not after white space, whose pre-tokens look ahead."""
+    return 0 < at < len(text) and not text[at - 1].isspace()
 
 
 def stitch(tail: list[int], head: list[int]) -> int | None:
@@ -120,27 +128,31 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 1 <<
     return short.unionByName(_long_texts(rows.filter(F.length("text") > whole), ranks_path, pattern, chunk, overlap, with_ids))
 
 
-def _long_texts(rows: DataFrame, ranks_path: str, pattern: str, chunk: int, overlap: int, with_ids: bool) -> DataFrame:
+def cut_pieces(rows: DataFrame, ranks_path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """doc_id, row, k, piece: the pieces of rows (doc_id, text), in the order of k, which may be pre-tokenised apart."""
     # A row number of its own tells repeated rows apart; it is drawn before the shuffle and travels with the row.
     rows = rows.select("doc_id", "text", F.struct(F.coalesce("doc_id", F.lit(0)), F.md5("text"), F.monotonically_increasing_id()).alias("row"))
     chunks = rows.select(
         "doc_id", "row", F.length("text").alias("length"), "text", F.explode(F.sequence(F.lit(0), F.expr(f"int((length(text) - {overlap} - 1) / {chunk})"))).alias("k")
     ).select("doc_id", "row", "length", "k", F.expr(f"substring(text, k * {chunk} + 1, {chunk + overlap})").alias("text"))
 
-    @F.pandas_udf("struct<head:array<int>,tail:array<int>>")
+    @F.pandas_udf("struct<head:array<int>,tail:array<int>,sure:int>")
     def edges(texts, ks):
         import pandas as pd
 
-        c, heads, tails = codec(ranks_path, pattern), [], []
+        c, heads, tails, sures = codec(ranks_path, pattern), [], [], []
         for t, k in zip(texts, ks, strict=True):
-            at = c.boundaries(t)
+            at = [b for b in c.boundaries(t) if cuttable(t, b)]
             k0 = int(k) * chunk
-            heads.append([k0 + b for b in at if b < overlap and certain(t, b)] if k else [])
-            tails.append([k0 + b for b in at[:-1] if b >= chunk and certain(t, b)])
-        return pd.DataFrame({"head": heads, "tail": tails})
+            heads.append([k0 + b for b in at if b < overlap] if k else [])
+            # What stands last may go on behind the chunk's end.
+            tails.append([k0 + b for b in at[:-1] if b >= chunk])
+            sure = c.sure.search(t, 1) if k else None
+            sures.append(k0 + sure.start() if sure and sure.start() < overlap and sure.start() < len(t) else None)
+        return pd.DataFrame({"head": heads, "tail": tails, "sure": pd.array(sures, "Int32")})
 
     @F.pandas_udf("int")
-    def cut(tails, heads):
+    def agreed(tails, heads):
         import pandas as pd
 
         return pd.Series([stitch([] if t is None else list(t), list(h)) for t, h in zip(tails, heads, strict=True)], dtype="Int32")
@@ -148,17 +160,25 @@ def _long_texts(rows: DataFrame, ranks_path: str, pattern: str, chunk: int, over
     by_row = Window.partitionBy("row").orderBy("k")
     # The chunks of one text are dealt over all tasks, by row and number.
     found = chunks.repartition(F.col("row"), F.col("k")).withColumn("e", edges("text", F.col("k")))
-    joined = found.withColumn("before", F.lag("e.tail").over(by_row))
-    joined = joined.withColumn("cut", F.when(F.col("k") == 0, F.lit(0)).otherwise(cut("before", "e.head")))
-    # From the first chunk that found no cut on, the text is one piece, begun at the last cut.
-    joined = joined.withColumn("lost", F.max(F.col("cut").isNull()).over(by_row)).withColumn("next_lost", F.coalesce(F.lead("lost").over(by_row), F.lit(False)))
-    joined = joined.withColumn("next_cut", F.lead("cut").over(by_row))
-    ordered = Window.partitionBy("row").orderBy("k").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rest = F.concat_ws("", F.collect_list(F.when(F.col("lost"), F.expr(f"substring(text, {overlap} + 1)"))).over(ordered))
-    own_end = F.coalesce("next_cut", F.least(F.col("length"), (F.col("k") + 1) * chunk + overlap))
-    own = F.expr(f"substring(text, cut - k * {chunk} + 1, own_end - cut)")
-    pieces = joined.withColumn("own_end", own_end).withColumn("rest", F.when(F.col("next_lost") & ~F.col("lost"), rest).otherwise(F.lit(""))).filter(~F.col("lost"))
-    pieces = pieces.select("doc_id", "row", "k", F.concat(own, "rest").alias("piece"))
+    joined = found.select("doc_id", "row", "k", "length", "text", "e.head", "e.sure", F.lag("e.tail").over(by_row).alias("before"))
+    joined = joined.withColumn("agreed", F.when(F.col("k") == 0, F.lit(0)).otherwise(agreed("before", "head"))).drop("head", "before")
+    # A chunk begins a piece if it agrees with one that does, or has a sure boundary of its own.
+    joined = joined.withColumn("stretch", F.sum(F.col("agreed").isNull().cast("int")).over(by_row))
+    joined = joined.withColumn("known", F.max((F.col("k") == 0) | F.col("sure").isNotNull()).over(Window.partitionBy("row", "stretch").orderBy("k")))
+    cut = F.when(F.col("agreed").isNotNull() & ((F.col("k") == 0) | F.lag("known").over(by_row)), F.col("agreed")).when(F.col("known"), F.col("sure"))
+    joined = joined.withColumn("cut", cut)
+    # Chunks without a cut give what follows their overlap to the piece before.
+    joined = joined.withColumn("piece", F.sum(F.col("cut").isNotNull().cast("int")).over(by_row))
+    begin = F.coalesce("cut", F.col("k") * chunk + overlap)
+    end = F.coalesce(F.lead("cut").over(by_row), F.least(F.col("length"), (F.col("k") + 1) * chunk + overlap))
+    parts = joined.withColumn("begin", begin).withColumn("end", end).select("doc_id", "row", "piece", "k", F.expr(f"substring(text, begin - k * {chunk} + 1, end - begin)").alias("text"))
+    pieces = parts.groupBy("row", "piece").agg(F.first("doc_id").alias("doc_id"), F.min("k").alias("k"), F.array_sort(F.collect_list(F.struct("k", "text"))).alias("parts"))
+    pieces = pieces.select("doc_id", "row", "k", F.concat_ws("", "parts.text").alias("piece"))
+    return pieces
+
+
+def _long_texts(rows: DataFrame, ranks_path: str, pattern: str, chunk: int, overlap: int, with_ids: bool) -> DataFrame:
+    pieces = cut_pieces(rows, ranks_path, pattern, chunk, overlap)
     done = pieces.repartition(F.col("row"), F.col("k")).withColumn("p", _encoded(ranks_path, pattern, 2 * chunk + overlap)("piece"))
     whole = done.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "p"))).alias("ps"))
     ids = F.expr("aggregate(ps, cast('' as binary), (a, x) -> concat(a, x.p.ids))")

@@ -415,6 +415,34 @@ def test_op7_chunks_and_stitches(spark):
     assert bpe_chunks.bpe_encode(empty(spark), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_op7_stitches_every_script(spark):
+    """Chunks of 128 and overlaps of 48: each text is over five chunks long, and its pieces are short."""
+    rng = np.random.default_rng(7)
+    letters = {"chinese": "的一是不了人我在有他这中大来上国个到说们", "thai": "กขคงจฉชซญดตถทนบปผพฟมยรลวสหอ\u0e34\u0e35\u0e48\u0e49", "arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "russian": "абвгдежзиклмнопрстуфхцчшщыэюя"}
+    word = lambda script, n: "".join(rng.choice(list(letters[script]), n))
+    texts = {"chinese": "，".join(word("chinese", 9) for _ in range(90)), "thai": word("thai", 900), "arabic": " ".join(word("arabic", 5) for _ in range(150)), "russian": " ".join(word("russian", 7) for _ in range(120))}
+    # One run that no overlap can cut, then text again: only the run is one piece.
+    texts["lost"] = texts["russian"] + word("chinese", 700) + " " + texts["arabic"]
+    texts["digits"] = "7" * 900
+    c = bpe_chunks.codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id long, text string")
+    args = (P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    pieces = bpe_chunks.cut_pieces(docs, *args, chunk=128, overlap=48).collect()
+    for i, (name, t) in enumerate(texts.items()):
+        own = sorted((r.k, r.piece) for r in pieces if r.doc_id == i)
+        assert "".join(p for _, p in own) == t
+        at = np.cumsum([len(p) for _, p in own])[:-1]
+        assert set(at.tolist()) <= set(c.boundaries(t))
+        if name in ("chinese", "thai", "arabic", "russian"):
+            assert len(own) == (len(t) - 48 - 1) // 128 + 1
+        if name == "lost":
+            assert sum(len(p) > 400 for _, p in own) == 1 and sum(len(p) <= 128 + 48 for _, p in own) >= 10
+        if name == "digits":
+            assert len(own) == 1
+    got = bpe_chunks.bpe_encode(docs, *args, chunk=128, overlap=48).collect()
+    assert key7(got) == tiktoken_rows([(i, t) for i, t in enumerate(texts.values())])
+
+
 # ---------------------------------------------------------------------- op 8
 
 
