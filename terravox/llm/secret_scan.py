@@ -1,7 +1,7 @@
 """Secret scans over a trigram inverted index.
 
-Each rule's regular expression carries the Boolean trigram query that its
-mandatory literals imply. Every Arrow batch of documents is one segment of the
+From each rule's regular expression a Boolean query over trigrams is derived: of
+the parsed expression, what every match must hold (`required`). Every Arrow batch of documents is one segment of the
 index: the postings of the rules' trigrams are built from the segment's bytes,
 the queries intersect and unite them, and only the candidates are verified with
 the expression. A rule without a mandatory trigram scans every text. Segments
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import re._constants as sre
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -31,37 +32,133 @@ from .common import bounded_batches, in_chunks, text_or_empty
 
 @dataclass(frozen=True)
 class Rule:
-    """kind; expression; group whose length counts; least length; literals of which a match must hold one (case ignored)."""
+    """kind; expression; group whose length counts; least length."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
-    literals: tuple[str, ...] = ()
     base: bool = False
 
 
 #: The three base kinds of the contract, then public token formats.
 RULES = (
-    Rule("assign", r"""(?ia:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 6, ("password", "passwd", "secret", "token", "apikey", "api_key"), True),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, ("AKIA",), True),
-    Rule("hex", r"[0-9a-f]{24,}", 0, 24, (), True),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, ("-----BEGIN ",)),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, ("eyJ",)),
+    Rule("assign", r"""(?ia:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 6, True),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
+    Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 
 
-def trigram_query(rule: Rule) -> list[list[bytes]] | None:
-    """Alternatives of trigrams that must all occur, lower-cased; None if the rule has no mandatory trigram."""
-    if not rule.literals or any(len(x.encode()) < 3 for x in rule.literals):
+#: Alternatives that a query or a run of literals may have; beyond them it asks for less, and verification decides.
+MOST = 64
+
+#: Of a query: alternatives of trigrams that must all occur. None asks for nothing.
+Query = list[frozenset[bytes]] | None
+
+
+def _either(a: Query, b: Query) -> Query:
+    return None if a is None or b is None or len(a) + len(b) > MOST else list(dict.fromkeys(a + b))
+
+
+def _both(a: Query, b: Query) -> Query:
+    if a is None or b is None:
+        return b if a is None else a
+    if len(a) * len(b) > MOST:
+        return min(a, b, key=len)
+    return list(dict.fromkeys(x | y for x in a for y in b))
+
+
+def _trigrams(strings: set[bytes]) -> Query:
+    """Asks for the trigrams of one of the strings."""
+    if any(len(x) < 3 for x in strings):
         return None
-    out = []
-    for literal in rule.literals:
-        b = literal.lower().encode()
-        out.append(sorted({b[i : i + 3] for i in range(len(b) - 2)}))
-    return out
+    return [frozenset(x[i : i + 3] for i in range(len(x) - 2)) for x in sorted(strings)]
+
+
+def _characters(op, arg, flags: int) -> set[bytes] | None:
+    """What a node of one character matches, A-Z lower-cased; None if that is much or not known."""
+    if op is sre.LITERAL:
+        points = [arg]
+    elif op is sre.IN and all(o is sre.LITERAL or (o is sre.RANGE and x[1] - x[0] < 16) for o, x in arg):
+        points = [c for o, x in arg for c in ([x] if o is sre.LITERAL else range(x[0], x[1] + 1))]
+    else:
+        return None
+    found = {chr(c).encode("utf-8", "surrogatepass").lower() for c in points}
+    if flags & re.IGNORECASE and not flags & re.ASCII:
+        # Letters outside ASCII that fold to these: long s, Kelvin sign, dotted and dotless i.
+        if any(c > 127 or chr(c).lower() in "ski" for c in points):
+            return None
+    return found if len(found) <= 8 else None
+
+
+def required(nodes, flags: int) -> tuple[set[bytes] | None, Query]:
+    """What a parsed expression matches, if that is a few strings; and the query that any text with a match satisfies."""
+    query: Query = None
+    exact: set[bytes] = {b""}  # what the last nodes match together
+    finite = True
+
+    def stop() -> None:
+        nonlocal query, exact, finite
+        query, exact, finite = _both(query, _trigrams(exact)), {b""}, False
+
+    for op, arg in nodes:
+        strings: set[bytes] | None = None
+        inner: Query = None
+        if op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+            strings = {b""}
+        elif op in (sre.LITERAL, sre.IN):
+            strings = _characters(op, arg, flags)
+        elif op is sre.SUBPATTERN:
+            _, add, drop, sub = arg
+            strings, inner = required(sub, (flags | add) & ~drop)
+        elif op is sre.ATOMIC_GROUP:
+            strings, inner = required(arg, flags)
+        elif op is sre.BRANCH:
+            parts = [required(sub, flags) for sub in arg[1]]
+            strings = set().union(*(x for x, _ in parts)) if all(x is not None for x, _ in parts) else None
+            inner = parts[0][1]
+            for _, q in parts[1:]:
+                inner = _either(inner, q)
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
+            least, most, sub = arg
+            once, inner = required(sub, flags)
+            if least == 0:
+                inner = None
+            if once is not None and most <= 1:
+                strings = once | {b""} if least == 0 else once
+            elif once is not None and least:
+                for _ in range(min(least, 3)):
+                    joint = {x + y for x in exact for y in once}
+                    if len(joint) > MOST:
+                        break
+                    exact = joint
+                else:
+                    if least == most <= 3:
+                        continue
+        if strings is not None and len(strings) <= MOST:
+            joint = {x + y for x in exact for y in strings}
+            if len(joint) > MOST:
+                stop()
+                joint = strings
+            exact = joint
+        else:
+            stop()
+            query = _both(query, inner)
+    if not finite:
+        stop()
+        return None, query
+    return exact, _trigrams(exact)
+
+
+def trigram_query(rule: Rule) -> list[list[bytes]] | None:
+    """Alternatives of trigrams that must all occur, lower-cased, derived from the rule's expression; None if it has no mandatory trigram."""
+    parsed = re._parser.parse(rule.pattern)
+    query = required(parsed, parsed.state.flags)[1]
+    return None if query is None else [sorted(x) for x in query]
 
 
 class SegmentIndex:
@@ -79,9 +176,8 @@ class SegmentIndex:
             found = number[code]
             at = np.flatnonzero(found)
             doc = np.searchsorted(begins, at, "right") - 1 + lo
-            for key in np.unique(doc * 256 + found[at]):
-                t = trigrams[int(key % 256) - 1]
-                self.postings[t] = np.append(self.postings[t], key // 256)
+            for n, docs in _lists(np.unique(doc + (found[at].astype(np.int64) << 32))):
+                self.postings[trigrams[n - 1]] = np.append(self.postings[trigrams[n - 1]], docs)
 
     def candidates(self, query: list[list[bytes]]) -> np.ndarray:
         hits: list[np.ndarray] = []
@@ -94,11 +190,17 @@ class SegmentIndex:
         return np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
 
 
+def _lists(keys: np.ndarray):
+    """Sorted keys (trigram number << 32 | text), a list of texts for each number."""
+    edges = [0, *(np.flatnonzero(np.diff(keys >> 32)) + 1).tolist(), len(keys)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if a < b:
+            yield int(keys[a] >> 32), keys[a:b] & 0xFFFFFFFF
+
+
 @lru_cache(8)
 def _trigram_numbers(trigrams: tuple[bytes, ...]) -> np.ndarray:
-    if len(trigrams) > 255:
-        raise ValueError("more than 255 distinct trigrams: scan with several rule sets")
-    number = np.zeros(1 << 24, np.uint8)
+    number = np.zeros(1 << 24, np.min_scalar_type(len(trigrams)))
     for i, t in enumerate(trigrams):
         number[(t[0] << 16) | (t[1] << 8) | t[2]] = i + 1
     return number

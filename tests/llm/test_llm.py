@@ -164,6 +164,35 @@ def test_trigram_queries():
     assert index.candidates(by["access"]).tolist() == [0, 3]
 
 
+def test_trigram_queries_are_derived():
+    """Expressions that the rules don't have: whatever matches satisfies the query, and the query is not empty where it can't be."""
+    derived = lambda p: secret_scan.trigram_query(secret_scan.Rule("x", p))
+    assert derived("abcd") == [[b"abc", b"bcd"]] and derived("AbC") == [[b"abc"]]
+    assert derived("ab") is None and derived("a.c") is None and derived("(abc)?x") is None and derived("abc|d") is None
+    assert derived("abc.*def") == [[b"abc", b"def"]] and derived("abc|xyz") == [[b"abc"], [b"xyz"]]
+    assert derived("(?i:task)") is None and derived("(?ia:task)") == [[b"ask", b"tas"]]
+    assert derived("gh[po]_x") == [sorted([b"gh" + c, b"h" + c + b"_", c + b"_x"]) for c in (b"o", b"p")]
+    by = {r.kind: secret_scan.trigram_query(r) for r in secret_scan.RULES}
+    assert all(b"ey-" in x and b"beg" in x for x in by["pem"]) and len(by["github"]) == 5 and by["jwt"] == [[b"eyj"]]
+    assert len(by["assign"]) >= 6 and all({b"tok", b"sec", b"pas", b"api"} & set(x) for x in by["assign"])
+    rng = np.random.default_rng(11)
+    patterns = ["ab(c|de)+f", "x{2,4}yz", "(?:foo|bar)[0-9]baz", "a?bcd", "(ab|ba){3}", "k[a-c]{2}z?end", "^abc$", "(?=abc)a.c", "(?>abc)d*", "(a|)bcd", "x(abc)*y", "(?i)sKx|abc", "é[ab]cd", "[^a]bcd", "\\dabc", "((a)(b))c\\2d", "a{0}bcd"]
+    letters = list("abcdefkxyzéS0159 ")
+    for p in patterns:
+        query, expression, hits = derived(p), re.compile(p), 0
+        pieces = [*letters, "abc", "bcd", "foo", "bar", "baz", "end", "xx", "yz", "ab", "ba", "def", "skx", "ſKX"]
+        texts = ["".join(rng.choice(pieces, rng.integers(1, 9))) for _ in range(3000)]
+        index = secret_scan.SegmentIndex([t.encode() for t in texts], sorted({t for x in query or [] for t in x}))
+        found = set(index.candidates(query).tolist()) if query else set(range(len(texts)))
+        matching = {i for i, t in enumerate(texts) if expression.search(t)}
+        assert matching <= found, p
+
+
+def test_many_trigrams():
+    rules = tuple(secret_scan.Rule(f"k{i}", f"key{i:04d}x") for i in range(400))
+    assert secret_scan.scan_segment(["a key0399x b", "none", "key0000x"], rules) == [[(2, 399, 10)], [], [(0, 0, 8)]]
+
+
 # ---------------------------------------------------------------------- op 3
 
 
