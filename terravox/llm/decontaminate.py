@@ -1,25 +1,28 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index holds postings (term, document, position) of the training tokens.
-Document frequencies of the benchmark's terms over all documents say which terms
-are rare. Of every benchmark window the rarest two positions are its anchors;
-only anchors' postings are stored. Offset-adjusted, a posting of an anchor lies
-on a diagonal (document position less item position), and a phrase puts all its
-anchors on one diagonal: intersecting the lists is one grouping by (document,
+One pass over the texts writes the index: postings (key, position, term) of the
+benchmark's terms in every document, and a last posting that holds the number of
+its words. How often a term occurs says how rare it is. Of every benchmark window
+the rarest two positions are its anchors. Offset-adjusted, a posting of an anchor
+lies on a diagonal (document position less item position), and a phrase puts all
+its anchors on one diagonal: intersecting the lists is one grouping by (document,
 item, diagonal), of which those with two anchors or more stay. Each candidate is
-then compared word by word with the document's text, so matches are exact.
-Anchors that fall near one another, but not on one diagonal, are proximity
-matches.
+then compared with the document word by word, in the index: every word of the item
+is looked up at its place on the diagonal, so matches are exact and no text is
+read again. Anchors that fall near one another, but not on one diagonal, are
+proximity matches; they are counted beside the exact ones.
 
 All of it is DataFrame operations. Benchmark-side tables are broadcast by Spark
 only while their files are below its broadcast threshold; beyond it the same
-joins shuffle. Keys of candidates are broadcast only when counted few enough.
+joins shuffle, and skewed terms are split by adaptive execution. Keys of candidates
+are broadcast only when counted few enough.
 Documents are told apart by (doc_id, text hash): repeated rows share their
 postings and each get the result.
 
 Defined results: a null or wordless text has no words, hits or items and is
 clean; an item without words has no window; null item ids are written as empty;
-an empty benchmark leaves every document clean.
+an empty benchmark leaves every document clean. Columns of docs are told from
+those made here by a struct around them.
 """
 
 from __future__ import annotations
@@ -46,9 +49,19 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     return rows.groupBy("words").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(F.md5(F.array_join("words", " ")).alias("item"), "words", "ids")
 
 
-def document_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, df over all docs (key, text), of the given terms (term)."""
-    found = docs.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+#: A term that no text holds: its posting stands behind a document's words.
+END = "\0"
+
+
+def index_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, key, pos, doc_id: where docs (doc_id, key, text) hold the given terms (term), and END behind each row's words."""
+    every = terms.unionByName(docs.sparkSession.range(1).select(F.lit(END).alias("term")))
+    return docs.select("doc_id", "key", F.posexplode(F.array_append(words_of(F.col("text")), F.lit(END))).alias("pos", "term")).join(every, "term", "left_semi")
+
+
+def frequencies(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, df: how often each of the terms occurs."""
+    found = index.groupBy("term").agg(F.count("*").alias("df"))
     return terms.join(found, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
 
 
@@ -60,70 +73,73 @@ def anchors(items: DataFrame, frequencies: DataFrame, window: int = WINDOW) -> D
     return ranked.filter("rank <= 2").select("item", "p", "term").distinct()
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, key, pos: the index's rows of the given terms over docs (key, text)."""
-    return docs.select("key", F.posexplode(words_of(F.col("text"))).alias("pos", "term")).join(terms, "term", "left_semi")
-
-
 def diagonals(index: DataFrame, anchor: DataFrame) -> DataFrame:
     """key, item, diag, ps: where offset-adjusted lists meet."""
     return index.join(anchor, "term").groupBy("key", "item", (F.col("pos") - F.col("p")).alias("diag")).agg(F.collect_set("p").alias("ps"))
 
 
 def candidates(met: DataFrame, items: DataFrame) -> DataFrame:
-    """Diagonals with as many anchors as a phrase must have."""
-    return met.join(items.select("item", "words", "ids"), "item").filter(F.size("ps") >= F.least(F.lit(2), F.size("words")))
+    """key, item, diag with as many anchors as a phrase must have."""
+    return met.join(items.select("item", F.size("words").alias("n")), "item").filter(F.size("ps") >= F.least(F.lit(2), F.col("n"))).select("key", "item", "diag")
 
 
-def proximity_matches(met: DataFrame, items: DataFrame, slack: int = 5, least: int = 3) -> DataFrame:
-    """key, item, diag, n: items of which `least` anchors or more lie within `slack` words of one diagonal, off it counting too."""
-    near = met.withColumn("block", F.explode(F.array(F.floor(F.col("diag") / slack), F.floor(F.col("diag") / slack) + 1)))
-    hit = near.groupBy("key", "item", "block").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ps")))).alias("n"), F.min("diag").alias("diag"))
-    return hit.filter(F.col("n") >= least).groupBy("key", "item").agg(F.max(F.struct("n", -F.col("diag"))).alias("best")).select("key", "item", (-F.col("best.col2")).alias("diag"), F.col("best.n").alias("n"))
+def proximity_matches(met: DataFrame, items: DataFrame, slack: int = 5, least: int = 2) -> DataFrame:
+    """key, item, diag, n: items of which `least` anchors or more (the anchor, of a one-word item) lie within `slack` words of one diagonal."""
+    near = met.withColumn("block", F.explode(F.array(F.floor(F.col("diag") / slack), F.floor(F.col("diag") / slack) + 1))).select("key", "item", "diag", "block", F.explode("ps").alias("p"))
+    hit = near.groupBy("key", "item", "block").agg(F.size(F.collect_set("p")).alias("n"), F.min("diag").alias("diag")).join(items.select("item", F.size("words").alias("of")), "item")
+    hit = hit.filter(F.col("n") >= F.least(F.lit(least), F.col("of"))).groupBy("key", "item").agg(F.max(F.struct("n", (-F.col("diag")).alias("back"))).alias("best"))
+    return hit.select("key", "item", (-F.col("best.back")).alias("diag"), F.col("best.n").alias("n"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs as `row`, with key and text: rows of one id and text are one document."""
-    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.lit(":"), F.hex(text_key()))))
-    return docs.select(F.struct("*").alias("row"), key.alias("key"), "text")
-
-
-def verified(rows: DataFrame, found: DataFrame, window: int) -> DataFrame:
-    """key, n_hit, items of the candidates (key, diag, words, ids) that rows (key, text) bear out word by word."""
-    per_doc = found.groupBy("key").agg(F.collect_list(F.struct("diag", "words", "ids")).alias("cands"))
-    joined = rows.select("key", "text").dropDuplicates(["key"]).join(per_doc, "key").select("key", "cands", words_of(F.col("text")).alias("w"))
-    length = f"least({window}, size(c.words))"
-    lo, hi = "greatest(0, -c.diag)", f"(least(size(c.words), size(w) - c.diag) - {length})"
-    starts = f"filter(sequence({lo}, {hi}), s -> slice(w, s + c.diag + 1, {length}) = slice(c.words, s + 1, {length}))"
-    hits = f"transform(filter(cands, c -> {hi} >= {lo}), c -> named_struct('ids', c.ids, 'at', flatten(transform({starts}, s -> sequence(s + c.diag, s + c.diag + {length} - 1)))))"
-    out = joined.select("key", F.expr(hits).alias("hits")).select("key", F.expr("filter(hits, h -> size(h.at) > 0)").alias("hits")).filter("size(hits) > 0")
-    return out.select("key", F.expr("size(array_distinct(flatten(hits.at)))").cast("long").alias("n_hit"), F.expr("array_sort(array_distinct(flatten(hits.ids)))").alias("items"))
-
-
-def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """row, n_words, n_hit, items, contaminated of every row of docs.
-
-    Texts are scanned, not shuffled, except those of candidates.
-    """
+    """docs as `row`, with doc_id, key and text: rows of one id and text are one document."""
+    id_ = F.col("doc_id").cast("long")
+    key = F.unhex(F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("-")), F.lit(":"), F.hex(text_key()))))
+    return docs.select(F.struct("*").alias("row"), id_.alias("doc_id"), key.alias("key"), "text")
+
+
+def verified(index: DataFrame, found: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """key, item, start, n: where candidates (key, item, diag) hold whole windows, by the postings; start is a document position."""
+    words = items.select("item", F.size("words").alias("of"), F.posexplode("words").alias("p", "term"))
+    need = found.join(words, "item").select("key", "item", "diag", "of", "p", "term", (F.col("diag") + F.col("p")).alias("pos"))
+    keys = stored(found.select("key").distinct(), "candidate-keys")
+    have = few(index.select("key", "pos", "term"), keys, ["key"], "left_semi").distinct()
+    same = need.join(have, ["key", "pos", "term"], "left_semi").groupBy("key", "item", "diag", "of").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    length = f"least({window}, of)"
+    starts = f"filter(sequence(0, size(ps) - {length}), i -> ps[i + {length} - 1] - ps[i] = {length} - 1)"
+    whole = same.filter(f"size(ps) >= {length}").select("key", "item", F.expr(length).alias("n"), "diag", F.expr(f"explode(transform({starts}, i -> ps[i]))").alias("s"))
+    return whole.select("key", "item", (F.col("diag") + F.col("s")).alias("start"), "n")
+
+
+def found_in(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, key, n_words of every row of docs; hits: key, n_hit, items, n_near of those with any), written tables."""
     items = stored(benchmark_items(benchmark), "items")
-    rows = keyed(docs)
     terms = stored(items.select(F.explode("words").alias("term")).distinct(), "terms")
-    anchor = stored(anchors(items, document_frequencies(rows, terms), window), "anchors")
-    index = stored(postings(rows, stored(anchor.select("term").distinct(), "anchor-terms")), "postings")
-    found = stored(candidates(diagonals(index, anchor), items).select("key", "diag", "words", "ids"), "candidates")
-    likely = few(rows, stored(found.select("key").distinct(), "candidate-keys"), ["key"], "left_semi")
-    hits = stored(verified(likely, found, window), "hits")
-    out = few(rows.select("row", "key", F.size(words_of(F.col("text"))).cast("long").alias("n_words")), hits, ["key"], "left")
-    out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("items", F.coalesce("items", F.expr("cast(array() as array<string>)")))
+    index = stored(index_of(keyed(docs), terms), "index")
+    anchor = stored(anchors(items, frequencies(index, terms), window), "anchors")
+    met = stored(diagonals(index.select("term", "key", "pos"), anchor), "diagonals")
+    places = stored(verified(index, stored(candidates(met, items), "candidates"), items, window), "places")
+    words = places.select("key", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
+    ids = places.select("key", "item").distinct().join(items.select("item", "ids"), "item").select("key", F.explode("ids").alias("id")).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("items"))
+    near = proximity_matches(met, items).groupBy("key").agg(F.count("*").alias("n_near"))
+    hits = stored(near.join(words.join(ids, "key"), "key", "full"), "hits")
+    return index.filter(F.col("term") == END).select("doc_id", "key", F.col("pos").cast("long").alias("n_words")), hits
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, key, n_words, n_hit, items, n_near, contaminated of every row of docs."""
+    rows, hits = found_in(docs, benchmark, window)
+    out = few(rows, hits, ["key"], "left")
+    out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("n_near", F.coalesce("n_near", F.lit(0)).cast("long")).withColumn("items", F.coalesce("items", F.expr("cast(array() as array<string>)")))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs."""
-    found = matched(docs.select("doc_id", "text"), benchmark, window)
-    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and n_near (items with a proximity match) of every row of docs."""
+    return judged(docs.select("doc_id", "text"), benchmark, window).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    return matched(docs, benchmark, window).filter(~F.col("contaminated")).select("row.*")
+    bad = stored(judged(docs.select("doc_id", "text"), benchmark, window).filter("contaminated").select("key").distinct(), "contaminated")
+    return few(keyed(docs).select("row", "key"), bad, ["key"], "left_anti").select("row.*")

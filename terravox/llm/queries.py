@@ -106,8 +106,13 @@ dw as (select r, s, sizes.n, array_to_string(w[s : s + sizes.n - 1], ' ') as win
        from d, sizes, unnest(generate_series(1, len(w) - sizes.n + 1)) t(s) where len(w) >= sizes.n),
 hit as (select distinct dw.r, dw.s, dw.n, bw.id from dw join bw on dw.n = bw.n and dw.win = bw.win),
 pos as (select r, count(distinct p) as n_hit from (select r, unnest(generate_series(s, s + n - 1)) as p from hit) group by r),
+an as (select distinct w, p, term from (select w, s, p, term, row_number() over (partition by w, s order by df, term, p) as k
+       from (select w, p - 1 as p, w[p] as term, unnest(generate_series(greatest(0, p - 13), greatest(0, least(p - 1, len(w) - 13)))) as s from (select w, unnest(generate_series(1, len(w))) as p from (select distinct w from b where len(w) > 0)))
+       join (select term, count(found) as df from (select distinct unnest(w) as term from b) left join (select unnest(w) as found from d) on term = found group by 1) using (term)) where k <= 2),
+nr as (select r, count(*) as n_near from (select distinct r, w from (select r, w, blk, count(distinct p) as n from
+       (select r, an.w, p, floor((pos - 1 - p) / 5e0) + o as blk from (select r, unnest(w) as term, unnest(generate_series(1, len(w))) as pos from d) join an using (term), (values (0), (1)) v(o)) group by 1, 2, 3) where n >= least(2, len(w))) group by 1),
 its as (select r, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct r, id from hit) group by r)
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
-       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
-from d left join pos using (r) left join its using (r)""",
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated, coalesce(n_near, 0)::bigint as n_near
+from d left join pos using (r) left join its using (r) left join nr using (r)""",
 }

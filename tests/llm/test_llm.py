@@ -382,7 +382,7 @@ def test_op5_proximity(spark):
     docs = decontaminate.keyed(spark.createDataFrame([(1, "alpha x beta gamma y delta"), (2, "alpha " + "x " * 50 + "delta")], "doc_id long, text string"))
     terms = items.select(F.explode("words").alias("term"))
     anchor = items.select("item", F.posexplode("words").alias("p", "term"))
-    met = decontaminate.diagonals(decontaminate.postings(docs, terms), anchor)
+    met = decontaminate.diagonals(decontaminate.index_of(docs, terms), anchor)
     assert decontaminate.proximity_matches(met, items, 5, 3).count() == 1
 
 
