@@ -1,17 +1,20 @@
 """Quality rules: base statistics and a hashed n-gram log-likelihood ratio.
 
 Two multinomials over hashed word uni- and bigrams are counted: the raw corpus
-(every document) and the trusted target (labelled quality 1). A document's
-score is the mean over its n-grams of log(target / raw); every document is kept
-or not by one threshold, the same at every size.
+(every document) and the trusted target (documents labelled quality 1, all of
+them but a fifth). A document's score is the mean over its n-grams of
+log(target / raw); every document is kept or not by one threshold, taken from the
+scores of the trusted fifth that was not counted.
 
-Counting sends one vector of `buckets` numbers from each task; the model is two
-vectors of that fixed size. The trusted rows are a bounded sample (`most`, by
-smallest hash), broadcast as ids; raw counts cover all rows.
+The model grows with the corpus: it has about 32 * sqrt(bytes of text) buckets, as
+the number of different words grows about as the root of a text's length. Counts
+are grouped in each task, then by bucket; each task gets the weights as four
+bytes a bucket (4 MB on 0.5 GB, 34 MB on 30 GB, 2 GB on 100 TB).
 
 Defined results: a null text has no words; a text without words has score 0 and
 fails the base rules; repeated rows count each time; an empty table gives no rows;
-without trusted rows the ratio is 0 and only the base rules decide.
+without trusted rows the ratio is 0 and only the base rules decide; where no trusted
+row was held back, the counted ones give the threshold.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, hashed_words, in_chunks, shingle_hashes, utf8_list
+from .common import bounded_batches, few, hashed_words, in_chunks, shingle_hashes, stored, utf8_list
 
 SYMBOLS = "#*$%&|<>"
 
@@ -71,26 +74,34 @@ _symbol = np.zeros(256, np.int64)
 _symbol[list(SYMBOLS.encode())] = 1
 
 
-def count_ngrams(docs: DataFrame, trusted: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the raw corpus and of the trusted rows, by bucket. trusted: doc_id of a bounded number of rows."""
-    marked = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", F.lit(True).alias("__t"))), "doc_id", "left")
+def count_ngrams(docs: DataFrame, trusted: DataFrame, buckets: int, at_once: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the raw corpus and of the trusted rows (doc_id, a written table), by bucket."""
+    marked = few(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), trusted.select("doc_id", F.lit(True).alias("__t")), ["doc_id"], "left")
+
+    def counted(parts):
+        keys, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys >> 1), pa.array(n), pa.array(n * (keys & 1))], names=["bucket", "raw", "target"])
 
     def run(batches):
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        parts, size = [], 0
         for batch in batches:
-            texts, flag = utf8_list(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            texts, flag = utf8_list(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi in in_chunks(texts):
                 h, _, _, first = hashed_words(texts[lo:hi])
                 b, doc = ngram_buckets(h, first, buckets)
-                raw += np.bincount(b, minlength=buckets)
-                target += np.bincount(b[flag[lo:hi][doc]], minlength=buckets)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
+                parts.append(b * 2 + flag[lo:hi][doc])
+                size += len(b)
+                if size >= at_once:
+                    yield counted(parts)
+                    parts, size = [], 0
+        if size:
+            yield counted(parts)
 
     sums = marked.select("text", F.coalesce("__t", F.lit(False))).mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    rows = sums.toArrow()  # at most `buckets` rows
     raw, target = np.zeros(buckets), np.zeros(buckets)
-    for b, r, t in sums.collect():  # at most `buckets` rows
-        raw[b], target[b] = r, t
+    at = rows["bucket"].to_numpy()
+    raw[at], target[at] = rows["raw"].to_numpy(), rows["target"].to_numpy()
     return raw, target
 
 
@@ -110,7 +121,7 @@ _SCHEMA = T.StructType(
 
 def score_documents(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """Base statistics and mean log ratio of every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)  # a vector of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # bounded: see model_size()
     buckets = len(weights)
 
     def run(batches):
@@ -144,17 +155,31 @@ def bounded_sample(ids: DataFrame, most: int) -> DataFrame:
     return ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, most: int = 20_000, lost: float = 0.002) -> DataFrame:
+def model_size(docs: DataFrame) -> int:
+    """Buckets of the model of docs: the power of two from 32 * sqrt(bytes of text) on, 2**14 at least."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    return max(1 << 14, 1 << int(np.ceil(np.log2(32 * np.sqrt(size) + 1))))
+
+
+def held_back(doc_id):
+    """Whether a trusted row gives the threshold rather than counts."""
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def quality_verdicts(docs: DataFrame, labels: DataFrame, buckets: int | None = None, lost: float = 0.002) -> DataFrame:
     """The statistics, score and verdict of every row of docs.
 
-    The threshold is the `lost` quantile of the trusted sample's own scores, less a
-    margin of their spread: a document is dropped when it is less like the target
-    than nearly every trusted one. At most `most` trusted rows are used.
+    The threshold is the `lost` quantile of the held-back trusted rows' scores, less
+    a margin of their spread: a document is dropped when it is less like the target
+    than nearly every trusted one.
     """
-    trusted = bounded_sample(labels.filter("quality = 1 and doc_id is not null"), most)
-    trusted = docs.sparkSession.createDataFrame(trusted.collect(), "doc_id long")  # at most `most` ids
-    weights = log_ratio(*count_ngrams(docs, trusted, buckets))
-    known = score_documents(docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left_semi"), weights)
-    low = known.filter("not base_failed").agg(F.percentile("score", F.lit(lost)).alias("q"), F.percentile("score", F.lit(0.5)).alias("m")).first()
-    threshold = float("-inf") if low.q is None else low.q - 0.25 * (low.m - low.q)
-    return score_documents(docs, weights).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
+    ids = F.col("doc_id").cast("long").alias("doc_id")
+    trusted = stored(labels.filter("quality = 1 and doc_id is not null").select(ids).distinct(), "trusted")
+    weights = log_ratio(*count_ngrams(docs, stored(trusted.filter(~held_back(F.col("doc_id"))), "counted"), buckets or model_size(docs)))
+    scored = stored(score_documents(docs, weights), "scored")
+    # Scores in thousandths: few values, so the percentiles' state stays small.
+    known = few(scored.filter("not base_failed").select("doc_id", F.round("score", 3).alias("score")), trusted, ["doc_id"], "left_semi")
+    at = [F.percentile("score", F.lit(x)) for x in (lost, 0.5)]
+    low = known.groupBy(held_back(F.col("doc_id")).alias("back")).agg(*(c.alias(n) for c, n in zip(at, "qm", strict=True))).orderBy(F.desc("back")).first()
+    threshold = float("-inf") if low is None else low.q - 0.25 * (low.m - low.q)
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))

@@ -414,6 +414,38 @@ def test_op6_base_rules(spark, sf_dir):
     assert quality_ratio.quality_verdicts(odd_docs(spark), labels.filter("false")).count() == odd_docs(spark).count()
 
 
+def test_op6_scores_equal_brute_force(spark, sf_dir):
+    """The multinomials over the n-grams themselves, with the buckets' smoothing; so many buckets that hardly two n-grams share one."""
+    from collections import Counter
+
+    buckets = 1 << 23
+    docs = documents(spark, sf_dir).select("doc_id", "text").unionByName(spark.createDataFrame([(3, "another text of a known id " * 5), (-7, None)], "doc_id long, text string"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows, good = [tuple(r) for r in docs.collect()], {r.doc_id for r in labels.filter("quality = 1").collect()}
+
+    def grams(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        return [*((x,) for x in w), *zip(w, w[1:], strict=False)]
+
+    back = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    raw = Counter(g for _, t in rows for g in grams(t))
+    target = Counter(g for i, t in rows if i in good and not back(i) for g in grams(t))
+    R, Q = sum(raw.values()) + buckets, sum(target.values()) + buckets
+    got = quality_ratio.quality_verdicts(docs, labels, buckets=buckets).collect()
+    assert len(got) == len(rows)
+    score = lambda t: np.mean([np.log((target[g] + 1) / Q) - np.log((raw[g] + 1) / R) for g in grams(t)] or [0])
+    want = sorted((i, score(t)) for i, t in rows)
+    mine = sorted((r.doc_id, r.score) for r in got)
+    assert [i for i, _ in mine] == [i for i, _ in want]
+    off = np.abs(np.array([x for _, x in mine]) - [x for _, x in want])
+    assert off.max() < 0.2 and np.median(off) < 2e-3, np.quantile(off, (0.5, 0.8, 0.95, 1))  # the rest have n-grams that share a bucket
+    known = np.array([round(r.score, 3) for r in got if r.doc_id in good and back(r.doc_id) and not r.base_failed])
+    q, m = np.quantile(known, (0.002, 0.5))
+    assert all(r.kept == (not r.base_failed and r.score >= q - 0.25 * (m - q)) for r in got if abs(r.score - (q - 0.25 * (m - q))) > 1e-6)
+    four = docs.unionByName(docs)
+    assert quality_ratio.model_size(four.unionByName(four)) == 2 * quality_ratio.model_size(docs)
+
+
 # ---------------------------------------------------------------------- op 7
 
 
