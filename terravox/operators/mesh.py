@@ -12,19 +12,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import MeshError
+from ..errors import MeshError, SpatialError
 from ..functions import vectors as V
 
 
 def scratch(df: DataFrame, label: str) -> DataFrame:
-    """df as a written table: in the cluster's shared folder if it names one, else in the warehouse."""
+    """df as a written table in the cluster's shared folder; on one machine without such a folder, in the warehouse."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise SpatialError("spark.checkpoint.dir names no shared folder")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     path = f"{root.rstrip('/')}/terravox-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table of scratch() that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def triangles(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """faces with the places of their corners (ax..cz); a face with a corner that is not there drops out."""
     corners = faces.select("mesh_id", "fid", F.posexplode(F.array("a", "b", "c")).alias("k", "vid"))
@@ -72,9 +84,15 @@ def watertightness(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return out.withColumn("euler", F.col("n_vertices") - F.col("n_edges") + F.col("n_faces")).withColumn("is_closed", F.col("open_edges") == 0)
 
 
-def closed_volume(tri: DataFrame) -> DataFrame:
-    """Per mesh the signed volume by the divergence theorem. The mesh must be closed: see watertightness()."""
-    return tri.groupBy("mesh_id").agg((F.sum(V.dot(V.cross(V.p("a"), V.p("b")), V.p("c"))) / 6.0).alias("volume"))
+def closed_volume(tri: DataFrame, open_meshes: str = "error") -> DataFrame:
+    """Per mesh the signed volume by the divergence theorem.
+
+    Only a closed mesh has one: an open mesh fails the query, or with open_meshes="null" has none.
+    """
+    edges = edge_counts(tri).groupBy("mesh_id").agg(F.sum((F.col("n") != 2).cast("long")).alias("open_edges"))
+    sums = tri.groupBy("mesh_id").agg((F.sum(V.dot(V.cross(V.p("a"), V.p("b")), V.p("c"))) / 6.0).alias("volume")).join(edges, "mesh_id")
+    refused = F.lit(None).cast("double") if open_meshes == "null" else F.raise_error(F.concat(F.lit("mesh is open: "), F.col("mesh_id").cast("string"))).cast("double")
+    return sums.select("mesh_id", F.when(F.col("open_edges") == 0, F.col("volume")).otherwise(refused).alias("volume"))
 
 
 # --------------------------------------------------------------- rewriting
@@ -117,10 +135,18 @@ def without_plane(vertices: DataFrame, faces: DataFrame, point, normal, distance
 
 
 def numbered(keys: DataFrame, key: str) -> DataFrame:
-    """key with vid, 0 upwards within each mesh in key order."""
+    """key with vid, 0 upwards within each mesh in key order.
+
+    Rows are dealt by range and counted part by part, so no task holds a mesh: a
+    number is the place in the part and the counts of the mesh's parts before it.
+    """
     from pyspark.sql import Window
 
-    return keys.withColumn("vid", F.row_number().over(Window.partitionBy("mesh_id").orderBy(key)) - 1)
+    parts = scratch(keys.repartitionByRange("mesh_id", key).withColumn("part", F.spark_partition_id()), "numbered")
+    counts = parts.groupBy("mesh_id", "part").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("mesh_id").orderBy("part")) - F.col("n")).drop("n")
+    place = F.row_number().over(Window.partitionBy("mesh_id", "part").orderBy(key))
+    return parts.withColumn("place", place).join(before, ["mesh_id", "part"]).withColumn("vid", F.col("before") + F.col("place") - 1).drop("part", "place", "before")
 
 
 def remapped(faces: DataFrame, names: DataFrame) -> DataFrame:
@@ -172,23 +198,27 @@ def merged(vertices: DataFrame, faces: DataFrame, quantum: float = 1e-3) -> tupl
 # ------------------------------------------------------------- components
 
 
-def labelled(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component (its least node) for nodes (node) and undirected edges (u, v).
 
-    Rounds of least-label propagation with label jumping; each round is a written table.
+    Rounds of least-label propagation with label jumping, until nothing moves; each
+    round is a written table. Labels only fall, so the rounds end. A round's jump
+    joins on labels; those of a giant component are many rows of one key, which
+    adaptive execution splits, as the other side has one row a node.
     """
     both = scratch(edges.select("u", "v").union(edges.select("v", "u")).filter("u <> v").distinct(), "edges")
-    label = scratch(nodes.select("node", F.col("node").alias("component")), "labels")
-    for _ in range(most):
+    label = scratch(nodes.select("node", F.col("node").alias("component"), F.lit(True).alias("moved")), "labels")
+    while label.filter("moved").limit(1).count():
         near = both.join(label.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
         step = label.join(near, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("next"), F.col("component").alias("old"))
-        jump = step.join(label.select(F.col("node").alias("next"), F.col("component").alias("far")), "next", "left")
+        # A label that is its own needs no jump.
+        jump = step.join(label.filter("component <> node").select(F.col("node").alias("next"), F.col("component").alias("far")), "next", "left")
         best = F.least("next", F.coalesce("far", "next"))
-        label = scratch(jump.select("node", best.alias("component"), (best != F.col("old")).alias("moved")), "labels")
-        if not label.filter("moved").limit(1).count():
-            return label.drop("moved")
-        label = label.drop("moved")
-    raise MeshError("components did not settle")
+        new = scratch(jump.select("node", best.alias("component"), (best != F.col("old")).alias("moved")), "labels")
+        dropped(label)
+        label = new
+    dropped(both)
+    return label.drop("moved")
 
 
 def vertex_components(vertices: DataFrame, faces: DataFrame) -> DataFrame:

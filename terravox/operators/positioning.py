@@ -61,7 +61,9 @@ def interpolated(track: DataFrame, fixes: DataFrame, values: tuple[str, ...] = (
     b = fixes.select(by, t.alias("t"), F.lit(0).alias("side"), F.lit(None).cast(a.schema["row"].dataType).alias("row"), F.struct(*(F.col(v).cast("double").alias(v) for v in values), t.alias("t")).alias("fix"))
     order = Window.partitionBy(by).orderBy("t", "side")
     both = a.unionByName(b)
-    both = both.withColumn("p", F.last("fix", True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("q", F.first("fix", True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    # The fix behind is the last one of the reversed order, so that both frames grow row by row.
+    back = Window.partitionBy(by).orderBy(F.desc("t"), F.desc("side"))
+    both = both.withColumn("p", F.last("fix", True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("q", F.last("fix", True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     gap = F.col("q.t") - F.col("p.t")
     share = F.when(gap > 0, (F.col("t") - F.col("p.t")) / gap).otherwise(0.0)
     value = lambda v: F.when(F.col("p").isNull(), F.col(f"q.{v}")).when(F.col("q").isNull(), F.col(f"p.{v}")).otherwise(F.col(f"p.{v}") + share * (F.col(f"q.{v}") - F.col(f"p.{v}"))).alias(v)

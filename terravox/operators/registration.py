@@ -36,19 +36,36 @@ def nearest(source: DataFrame, target: DataFrame, size: float) -> DataFrame:
     return source.select("sid", "x", "y", "z").join(near, "sid", "left").select("sid", "x", "y", "z", F.col("m.t.tid").alias("tid"), F.col("m.d2").alias("d2"), F.col("m.t").alias("t"))
 
 
+#: Pairs that may be ranked in one task; bins of a step towards them.
+RANKED, BINS = 10_000, 1024
+
+
 def trimmed(pairs: DataFrame, cut: float = 0.25, least: int = 6) -> DataFrame:
     """The max(least, floor(n (1 - cut))) nearest pairs, ties by sid.
 
-    The cut is found from counts by distance, so no task sorts all pairs: the last distance taken is a percentile, and only its ties are ranked.
+    Counts over a grid of distances narrow the span that holds the last pair taken,
+    until few enough pairs lie in it to rank; the rest are taken by their distance alone.
     """
-    n = pairs.count()
+    n, lo, hi = pairs.agg(F.count("*"), F.min("d2"), F.max("d2")).first()
     keep = min(n, max(least, int(np.floor(n * (1 - cut)))))
     if n == 0 or keep == n:
         return pairs
-    edge = pairs.agg(F.percentile("d2", F.lit((keep - 1) / max(1, n - 1))).alias("q")).first().q
-    below = pairs.filter(F.col("d2") < edge)
-    ties = pairs.filter(F.col("d2") >= edge).orderBy("d2", "sid").limit(keep - below.count())
-    return below.unionByName(ties)
+    d2, below, inside = F.col("d2"), 0, n
+    while inside > RANKED and lo + (hi - lo) / BINS > lo:
+        width = (hi - lo) / BINS
+        bins = pairs.filter(d2.between(lo, hi)).groupBy(F.least(F.floor((d2 - lo) / width), F.lit(BINS - 1)).alias("b")).count().collect()
+        running, at = below, 0
+        for at, count in sorted((r.b, r["count"]) for r in bins):
+            running += count
+            if running >= keep:
+                break
+        # A bin more on either side, as the bounds are rounded.
+        span = (lo + max(0, at - 1) * width, min(hi, lo + (at + 2) * width))
+        under, within = pairs.agg(F.count_if(d2 < span[0]), F.count_if(d2.between(*span))).first()
+        if within == inside or not under < keep <= under + within:
+            break
+        (lo, hi), below, inside = span, under, within
+    return pairs.filter(d2 < lo).unionByName(pairs.filter(d2.between(lo, hi)).orderBy("d2", "sid").limit(keep - below))
 
 
 _J = ("jx", "jy", "jz", "ja", "jb", "jc")
@@ -66,58 +83,92 @@ def normal_equations(pairs: DataFrame) -> DataFrame:
 @dataclass
 class Alignment:
     transform: np.ndarray
-    rmse: float
+    rmse: float  # over all source points with a target around them
+    trimmed_rmse: float  # of the pairs that the transform was solved from
     iterations: int
     inlier_ratio: float
     condition: float
     heuristic: float
 
 
-def icp(source: DataFrame, target: DataFrame, initial: np.ndarray | None = None, voxels=(0.2, 0.1, 0.05), iterations: int = 50, cut: float = 0.25, degenerate_over: float = 1e6) -> Alignment:
-    """Point-to-plane ICP of source(sid, x, y, z) onto target(tid, x, y, z, nx, ny, nz).
+#: Least change of the RMSE, how much worse a turn may be, damping and its least, greatest turn (radians), points a level needs, cell of the final RMSE.
+SETTLED, WORSE, DAMPING, LEAST_DAMPING, TURN, ENOUGH, FINAL_CELL = 1e-7, 1.1, 1e-3, 1e-8, 0.2, 10, 0.1
+
+
+def matched(source: DataFrame, target: DataFrame, m: np.ndarray, cell: float, distance: float, cut: float, degrees: float) -> tuple[DataFrame, DataFrame]:
+    """The pairs that an iteration solves from: nearest, nearer than `distance`, trimmed, with normals that agree where the source has some; and the pairs that are kept in memory for it."""
+    moved = source.withColumns(dict(zip("xyz", V.rigid(m, V.p()), strict=True)))
+    pairs = nearest(moved, target, cell).filter(F.col("d2") < distance * distance)
+    flat = trimmed(pairs.persist(), cut).select("sid", "x", "y", "z", *(F.col("t." + c).alias(n) for c, n in (("x", "qx"), ("y", "qy"), ("z", "qz"), ("nx", "nx"), ("ny", "ny"), ("nz", "nz"))))
+    if "nx" in source.columns:
+        turn = np.eye(4)
+        turn[:3, :3] = m[:3, :3]
+        own = source.select("sid", *(c.alias("s" + k) for c, k in zip(V.affine(turn, V.p("n")), "xyz", strict=True)))
+        flat = flat.join(own, "sid").filter(F.abs(V.dot(V.p("n"), V.p("s"))) >= float(np.cos(np.radians(degrees)))).drop("sx", "sy", "sz")
+    return flat, pairs
+
+
+def final_rmse(source: DataFrame, target: DataFrame, m: np.ndarray) -> float:
+    """Over all source points, moved, that have a target point in the cells around them."""
+    moved = source.withColumns(dict(zip("xyz", V.rigid(m, V.p()), strict=True)))
+    got = nearest(moved, target, FINAL_CELL).agg(F.avg("d2")).first()[0]
+    return float("inf") if got is None else float(np.sqrt(got))
+
+
+def icp(source: DataFrame, target: DataFrame, initial: np.ndarray | None = None, voxels=(0.2, 0.1, 0.05), iterations: int = 50, cut: float = 0.25, degenerate_over: float = 1e6, distance: float = 0.1, degrees: float = 45.0, stable=None) -> Alignment:
+    """Point-to-plane ICP of source(sid, x, y, z[, nx, ny, nz]) onto target(tid, x, y, z, nx, ny, nz).
 
     A level of the pyramid keeps one point of each voxel; an iteration is one
     aggregate that brings 29 numbers to the driver, which solves 6x6 and steps.
+    stable: a condition on target points that have not changed; one that none or all
+    meet has no effect. Each level starts from the best transform of the one before.
     """
     m = np.eye(4) if initial is None else np.array(initial, float)
-    spent, best = 0, (np.inf, m)
+    if stable is not None:
+        of, some = target.agg(F.count("*"), F.count_if(stable)).first()
+        target = target.filter(stable) if 0 < some < of else target
+    spent, best = 0, None
     for size in voxels:
         keys = [V.cell(F.col(c), size).alias("k" + c) for c in "xyz"]
         pick = lambda df, i: df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), i).alias("p")).select("p.*")  # noqa: B023,E731
         s, t = pick(source, "sid").cache(), pick(target, "tid").cache()
-        n_all, last, best = s.count(), np.inf, (np.inf, m)
-        for _ in range(iterations):
-            moved = s.withColumns(dict(zip("xyz", V.rigid(m, V.p()), strict=True)))
-            pairs = nearest(moved, t, size).filter("tid is not null")
-            pairs = trimmed(pairs, cut).select("sid", "x", "y", "z", F.col("t.x").alias("qx"), F.col("t.y").alias("qy"), F.col("t.z").alias("qz"), F.col("t.nx").alias("nx"), F.col("t.ny").alias("ny"), F.col("t.nz").alias("nz"))
-            row = normal_equations(pairs).first()
-            spent += 1
+        n_all, last, level = s.count(), np.inf, None
+        for turn in range(iterations if min(n_all, t.count()) >= ENOUGH else 0):
+            flat, held = matched(s, t, m, 2 * size, distance, cut, degrees)
+            row = normal_equations(flat).first()
+            held.unpersist()
             if not row.n or row.n < 6:
-                raise RegistrationError("insufficient correspondences")
+                if best is None and turn == 0:
+                    raise RegistrationError("insufficient correspondences")
+                break
+            spent += 1
             h = np.zeros((6, 6))
             for i in range(6):
                 for k in range(i, 6):
                     h[i, k] = h[k, i] = row[f"h{i}{k}"]
             g = np.array([row[f"g{i}"] for i in range(6)])
             rmse = float(np.sqrt(row.e2 / row.n))
-            if rmse < best[0]:
-                best = (rmse, m, row.n / max(1, n_all), np.linalg.cond(h), min(1e7, np.trace(h) ** 2 / max(abs(np.linalg.det(h)), 1e-300)))
-            if abs(last - rmse) < 1e-7 or rmse > last * 1.1:
+            if level is None or rmse < level[0]:
+                level = (rmse, m, row.n / max(1, n_all), np.linalg.cond(h), min(1e7, np.trace(h) ** 2 / max(abs(np.linalg.det(h)), 1e-300)))
+            if abs(last - rmse) < SETTLED or rmse > last * WORSE:
                 break
             last = rmse
-            step = -np.linalg.solve(h + max(1e-3 * np.trace(h) / 6 * 1e-3, 1e-8) * np.eye(6), g)
-            shift, turn = step[:3], step[3:]
-            shift *= min(1.0, size / 2 / max(np.linalg.norm(shift), 1e-12))
-            turn *= min(1.0, 0.2 / max(np.linalg.norm(turn), 1e-12))
+            step = -np.linalg.solve(h + max(DAMPING * np.trace(h) / 6, LEAST_DAMPING) * np.eye(6), g)
+            shift, turned = step[:3], step[3:]
+            shift *= min(1.0, distance / 2 / max(np.linalg.norm(shift), 1e-12))
+            turned *= min(1.0, TURN / max(np.linalg.norm(turned), 1e-12))
             move = np.eye(4)
-            move[:3, :3], move[:3, 3] = V.small_rotation(turn), shift
+            move[:3, :3], move[:3, 3] = V.small_rotation(turned), shift
             m = move @ m
-        m = best[1]
         s.unpersist()
         t.unpersist()
-    if best[3] > degenerate_over:
-        raise RegistrationError("degenerate geometry")
-    return Alignment(best[1], best[0], spent, best[2], float(best[3]), float(best[4]))
+        if level is not None:
+            if level[3] > degenerate_over:
+                raise RegistrationError("degenerate geometry")
+            best, m = level, level[1]
+    if best is None:
+        raise RegistrationError("insufficient correspondences")
+    return Alignment(best[1], final_rmse(source, target, best[1]), best[0], spent, best[2], float(best[3]), float(best[4]))
 
 
 # -------------------------------------------------------------------- change
@@ -126,14 +177,27 @@ def icp(source: DataFrame, target: DataFrame, initial: np.ndarray | None = None,
 def signed_distances(points: DataFrame, tri: DataFrame, reach: float) -> DataFrame:
     """vid, d: exact signed distance to the nearest face within reach; 0 where there is none.
 
-    Faces are dealt to the cells (of size reach) of their bounds widened by one, and joined by cell.
+    A face lies in the grid of its own scale: cells of reach * 2**level that are no
+    smaller than it, so its bounds widened by reach touch few of them. A point is
+    joined by its cell in each of the levels that occur. Pairs out of reach of the
+    bounds or of the plane go before the exact distance is taken.
     """
-    p = points.select("vid", "x", "y", "z", *_cells(reach))
-    f = tri
+    ends = {c: (F.least(*(F.col(k + c) for k in "abc")) - reach, F.greatest(*(F.col(k + c) for k in "abc")) + reach) for c in "xyz"}
+    extent = F.greatest(*(hi - lo - 2 * reach for lo, hi in ends.values()))
+    f = tri.select("fid", *(a + c for a in "abc" for c in "xyz"), *(e.alias(n + c) for c, (lo, hi) in ends.items() for e, n in ((lo, "lo"), (hi, "hi"))), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(reach)) / reach))).cast("int").alias("level"))
+    levels = sorted(r.level for r in f.select("level").distinct().collect())  # as many as the sizes have binary orders
+    if not levels:
+        return points.select("vid", "x", "y", "z", F.lit(0.0).alias("d"))
+    size = F.pow(F.lit(2.0), F.col("level")) * reach
+    for c in "xyz":
+        f = f.withColumn("k" + c, F.explode(F.sequence(F.floor(F.col("lo" + c) / size), F.floor(F.col("hi" + c) / size))))
+    p = points.select("vid", "x", "y", "z", F.explode(F.array(*map(F.lit, levels))).alias("level"))
+    p = p.withColumns({"k" + c: F.floor(F.col(c) / size) for c in "xyz"})
+    near = p.join(f, ["level", "kx", "ky", "kz"])
     for c in "xyz":
-        lo, hi = F.least(*(F.col(k + c) for k in "abc")), F.greatest(*(F.col(k + c) for k in "abc"))
-        f = f.withColumn("k" + c, F.explode(F.sequence(V.cell(lo, reach) - 1, V.cell(hi, reach) + 1)))
-    near = p.join(f.select("fid", *(a + c for a in "abc" for c in "xyz"), "kx", "ky", "kz"), ["kx", "ky", "kz"])
+        near = near.filter(F.col(c).between(F.col("lo" + c), F.col("hi" + c)))
+    n = V.cross(V.sub(V.p("b"), V.p("a")), V.sub(V.p("c"), V.p("a")))
+    near = near.filter(F.abs(V.dot(V.sub(V.p(), V.p("a")), n)) <= reach * V.length(n) * (1 + 1e-9) + 1e-300)
     near = near.withColumn("d", V.triangle_distance(V.p(), V.p("a"), V.p("b"), V.p("c")))
     best = near.groupBy("vid").agg(F.min_by("d", F.struct(F.abs("d"), "fid")).alias("d"))
     return points.select("vid", "x", "y", "z").join(best, "vid", "left").withColumn("d", F.when(F.abs("d") <= reach, F.col("d")).otherwise(0.0))

@@ -54,20 +54,20 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def corners(boxes: DataFrame) -> DataFrame:
-    """id and the eight corners (x, y, z) of level boxes (id, cx..cz, hx..hz)."""
-    sign = F.array(*(F.struct(*(F.lit(1.0 if k >> b & 1 else -1.0).alias("s" + c) for b, c in enumerate("xyz")), F.lit(k).alias("k")) for k in range(8)))
-    return boxes.withColumn("s", F.explode(sign)).select("scan", "id", "s.k", *((F.col("c" + c) + F.col("s.s" + c) * F.col("h" + c)).alias(c) for c in "xyz"))
+    """boxes (id, cx..cz, hx..hz), level ones, with the array of their eight corners (x, y, z)."""
+    at = lambda k: F.struct(*((F.col("c" + c) + (1.0 if k >> b & 1 else -1.0) * F.col("h" + c)).alias(c) for b, c in enumerate("xyz")))
+    return boxes.withColumn("corners", F.array(*(at(k) for k in range(8))))
 
 
 def relations(boxes: DataFrame, contact: float = 0.01) -> DataFrame:
     """from, to, kind, value for every two boxes (scan, id, cx.., hx..) of a scan: distance, azimuth, heightDelta, and contact where corners come closer than `contact`."""
-    a = boxes.select("scan", F.col("id").alias("from"), *(F.col("c" + c).alias("a" + c) for c in "xyz"))
-    b = boxes.select("scan", F.col("id").alias("to"), *(F.col("c" + c).alias("b" + c) for c in "xyz"))
+    placed = corners(boxes)
+    a = placed.select("scan", F.col("id").alias("from"), *(F.col("c" + c).alias("a" + c) for c in "xyz"), F.col("corners").alias("p"))
+    b = placed.select("scan", F.col("id").alias("to"), *(F.col("c" + c).alias("b" + c) for c in "xyz"), F.col("corners").alias("q"))
     pair = a.join(b, "scan").filter(F.col("from") < F.col("to"))
     d = V.sub(V.p("b"), V.p("a"))
-    ca, cb = corners(boxes), corners(boxes).select("scan", F.col("id").alias("id2"), *(F.col(c).alias("b" + c) for c in "xyz"))
-    e = V.sub(V.p(), V.p("b"))
-    gap = ca.join(cb, "scan").filter(F.col("id") < F.col("id2")).groupBy("scan", F.col("id").alias("from"), F.col("id2").alias("to")).agg(F.min(V.length(e)).alias("gap"))
-    wide = pair.withColumn("distance", V.length(d)).withColumn("azimuth", V.azimuth(d[0], d[2])).withColumn("heightDelta", d[1]).join(gap, ["scan", "from", "to"])
+    # All 64 distances of two boxes' corners within one row.
+    gap = F.array_min(F.flatten(F.transform("p", lambda m: F.transform("q", lambda n: V.length(tuple(m[c] - n[c] for c in "xyz"))))))
+    wide = pair.withColumn("distance", V.length(d)).withColumn("azimuth", V.azimuth(d[0], d[2])).withColumn("heightDelta", d[1]).withColumn("gap", gap)
     long = wide.select("scan", "from", "to", "gap", F.expr("stack(4, 'distance', distance, 'azimuth', azimuth, 'heightDelta', heightDelta, 'contact', gap) as (kind, value)"))
     return long.filter((F.col("kind") != "contact") | (F.col("gap") < contact)).drop("gap")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import StoreError
+from .mesh import dropped, scratch
+
 
 def summaries(findings: DataFrame, scans: DataFrame) -> DataFrame:
     """Findings with the number of their scans and of the sealed ones."""
@@ -28,13 +31,24 @@ def rebuilt_index(spark: SparkSession, root: str) -> DataFrame:
     return good.join(scans, "folder", "left").select("f.findingID", "f.title", "f.createdAt", F.coalesce("scan_count", F.lit(0)).alias("scan_count"))
 
 
-def lineage(scans: DataFrame, most: int = 64) -> DataFrame:
-    """scan_id, root, depth along parent_scan_id; a cycle stops at `most` steps."""
-    out = scans.filter("parent_scan_id is null").select("scan_id", F.col("scan_id").alias("root"), F.lit(0).alias("depth"))
-    level = out
-    for d in range(1, most):
-        level = scans.join(level.select(F.col("scan_id").alias("parent_scan_id"), "root"), "parent_scan_id").select("scan_id", "root", F.lit(d).alias("depth"))
-        if not level.limit(1).count():
-            break
-        out = out.unionByName(level)
-    return out
+def lineage(scans: DataFrame) -> DataFrame:
+    """scan_id, root, depth along parent_scan_id, at any depth.
+
+    Pointers double: each round a scan takes over its ancestor's ancestor, so a chain
+    of n takes log2(n) written rounds. A scan whose chain ends at one that is not
+    there has no row; a cycle is refused.
+    """
+    first = scans.select("scan_id", F.coalesce("parent_scan_id", "scan_id").alias("up"), F.col("parent_scan_id").isNotNull().cast("long").alias("depth"), F.col("parent_scan_id").isNull().alias("done"))
+    step, left = scratch(first, "lineage"), None
+    while True:
+        open_ = step.filter(~F.col("done")).count()
+        if not open_:
+            return step.select("scan_id", F.col("up").alias("root"), "depth")
+        if open_ == left:
+            raise StoreError("cycle in lineage")
+        left = open_
+        above = step.select(F.col("scan_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("done").alias("top"))
+        moved = step.filter(~F.col("done")).join(above, "up").select("scan_id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("top").alias("done"))
+        new = scratch(step.filter("done").unionByName(moved), "lineage")
+        dropped(step)
+        step = new

@@ -39,10 +39,10 @@ def uncertainty(marks: DataFrame, stratum_normal, per_metre: float, by: tuple[st
     """Scatter of the marks about their boundary's level, and with half a pixel the band of a thickness."""
     n = np.array(stratum_normal, float) / np.linalg.norm(stratum_normal)
     t = V.dot(V.p(), V.lit3(n))
-    off = marks.withColumn("t", t).withColumn("e", F.col("t") - F.avg("t").over(Window.partitionBy(*by, "boundary_id")))
-    sigma = F.sqrt(F.avg(F.col("e") * F.col("e")))
+    each = marks.groupBy(*by, "boundary_id").agg(F.count("*").alias("n"), F.var_pop(t).alias("v"))
+    sigma = F.sqrt(F.sum(F.col("n") * F.col("v")) / F.sum("n"))
     pixel = 0.5 / max(per_metre, 1.0)
-    return off.groupBy(*by).agg(sigma.alias("sigma_plane")).withColumn("band", F.sqrt(F.col("sigma_plane") * F.col("sigma_plane") + pixel * pixel))
+    return each.groupBy(*by).agg(sigma.alias("sigma_plane")).withColumn("band", F.sqrt(F.col("sigma_plane") * F.col("sigma_plane") + pixel * pixel))
 
 
 def measure(marks: DataFrame, wall_normal, stratum_normal, per_metre: float = 500.0) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import VolumeError
 from ..functions import vectors as V
+from .mesh import labelled, scratch
 
 
 def heights(points: DataFrame, point, normal, size: float, by: tuple[str, ...] = ()) -> DataFrame:
@@ -59,44 +60,50 @@ def field_volume(cells: DataFrame, size: float, by: tuple[str, ...] = ()) -> Dat
 
 
 def filled_holes(cells: DataFrame, value: str, by: str, sweeps: int = 400) -> DataFrame:
-    """Interior holes of one envelope take the mean of their filled neighbours, sweep by sweep; what the border reaches stays empty."""
+    """Interior holes of one envelope take the mean of their filled neighbours, sweep by sweep; what the border reaches stays empty.
+
+    Empty cells within each grid's bounds are joined to components; one without a cell
+    on the border is a hole. Each hole is filled apart, from its rim. `sweeps` is the
+    published bound; a cell that it leaves empty has a row without a value.
+    """
     import numpy as np
     import pandas as pd
 
+    there = cells.filter(F.col(value).isNotNull()).select(by, "i", "j", F.col(value).alias("v"))
+    b = there.groupBy(by).agg(*(f(c).alias(n + c) for c in "ij" for f, n in ((F.min, "lo"), (F.max, "hi"))))
+    lines = b.withColumn("i", F.explode(F.sequence("loi", "hii"))).repartition(by, "i")
+    every = lines.withColumn("j", F.explode(F.sequence("loj", "hij")))
+    border = (F.col("i") == F.col("loi")) | (F.col("i") == F.col("hii")) | (F.col("j") == F.col("loj")) | (F.col("j") == F.col("hij"))
+    empty = scratch(every.select(by, "i", "j", border.alias("border")).join(there.select(by, "i", "j"), [by, "i", "j"], "left_anti"), "empty")
+    node = F.struct(by, "i", "j")
+    step = lambda pairs: F.explode(F.array(*(F.struct((F.col("i") + a).alias("i"), (F.col("j") + c).alias("j")) for a, c in pairs)))
+    near = empty.select(by, node.alias("u"), step(((0, 1), (1, 0))).alias("o")).select("u", by, "o.i", "o.j")
+    edges = near.join(empty.select(by, "i", "j"), [by, "i", "j"], "left_semi").select("u", node.alias("v"))
+    hole = labelled(empty.select(node.alias("node")), edges)
+    named = empty.withColumn("node", node).join(hole, "node").select(by, "i", "j", "border", "component")
+    open_ = named.filter("border").select("component").distinct()
+    inner = scratch(named.join(open_, "component", "left_anti").select(by, "component", "i", "j"), "holes")
+    rim = inner.select(by, "component", step(((0, 1), (1, 0), (0, -1), (-1, 0))).alias("o")).select(by, "component", "o.i", "o.j").distinct().join(there, [by, "i", "j"])
+
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[value])
-        if not len(pdf):
-            return pd.DataFrame({by: [], "i": [], "j": [], value: [], "filled": []})
-        i0, j0 = int(pdf.i.min()), int(pdf.j.min())
-        grid = np.full((int(pdf.i.max()) - i0 + 1, int(pdf.j.max()) - j0 + 1), np.nan)
-        grid[pdf.i - i0, pdf.j - j0] = pdf[value]
-        was = ~np.isnan(grid)
-        outside = np.zeros_like(was)
-        outside[[0, -1], :] = outside[:, [0, -1]] = True
-        outside &= ~was
-        while True:
-            wide = outside.copy()
-            wide[1:] |= outside[:-1]
-            wide[:-1] |= outside[1:]
-            wide[:, 1:] |= outside[:, :-1]
-            wide[:, :-1] |= outside[:, 1:]
-            wide &= ~was
-            if (wide == outside).all():
-                break
-            outside = wide
+        todo = pdf[pdf.v.isna()]
+        at = {k: n for n, k in enumerate(zip(pdf.i, pdf.j, strict=True))}
+        v = np.append(pdf.v.to_numpy(float), np.nan)
+        own = np.array([at[k] for k in zip(todo.i, todo.j, strict=True)])
+        beside = np.array([[at.get((i + a, j + c), -1) for a, c in ((-1, 0), (1, 0), (0, -1), (0, 1))] for i, j in zip(todo.i, todo.j, strict=True)])
         for _ in range(sweeps):
-            pad = np.pad(grid, 1, constant_values=np.nan)
-            near = np.stack((pad[:-2, 1:-1], pad[2:, 1:-1], pad[1:-1, :-2], pad[1:-1, 2:]))
-            n = (~np.isnan(near)).sum(0)
-            todo = np.isnan(grid) & ~outside & (n > 0)
-            if not todo.any():
+            around = v[beside]
+            n = (~np.isnan(around)).sum(1)
+            now = np.isnan(v[own]) & (n > 0)
+            if not now.any():
                 break
-            grid[todo] = (np.nansum(near, 0) / np.maximum(n, 1))[todo]
-        i, j = np.nonzero(~np.isnan(grid))
-        return pd.DataFrame({by: pdf[by].iloc[0], "i": i + i0, "j": j + j0, value: grid[i, j], "filled": ~was[i, j]})
+            v[own[now]] = np.nansum(around[now], 1) / n[now]
+        return pd.DataFrame({by: todo[by], "i": todo.i, "j": todo.j, value: v[own], "filled": ~np.isnan(v[own])})
 
     kind = dict(cells.dtypes)[by]
-    return cells.select(by, "i", "j", value).groupBy(by).applyInPandas(fill, f"{by} {kind}, i long, j long, {value} double, filled boolean")
+    both = inner.withColumn("v", F.lit(None).cast("double")).unionByName(rim.select(by, "component", "i", "j", "v"))
+    filled = both.groupBy("component").applyInPandas(fill, f"{by} {kind}, i long, j long, {value} double, filled boolean")
+    return there.select(by, "i", "j", F.col("v").alias(value), F.lit(False).alias("filled")).unionByName(filled.withColumn(value, F.nanvl(value, F.lit(None).cast("double"))))
 
 
 # ------------------------------------------------------------------ cavities

@@ -489,7 +489,7 @@ def icp_align(spark, sf_dir):
     target = v.select(F.col("vid").alias("tid"), "x", "y", "z", *(c.alias("n" + k) for c, k in zip(n, "xyz", strict=True)))
     m = V.matrix((0.02, -0.01, 0.015)) @ V.rotation((0, 1, 0), 0.5)
     source = mesh.transformed(v.select(F.col("vid").alias("sid"), "x", "y", "z"), V.rigid_inverse(m))
-    got = registration.icp(source, target, voxels=(1.0,), iterations=6)
+    got = registration.icp(source, target, voxels=(1.0,), iterations=6, distance=1.0)
     return rounded(spark.createDataFrame([(float(got.rmse), int(got.iterations), *map(float, got.transform[:3, 3]))], "rmse double, iterations long, tx double, ty double, tz double"), 4)
 
 
