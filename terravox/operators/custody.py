@@ -92,6 +92,17 @@ def file_faults(declared: DataFrame, found: DataFrame, by: str = "bundle_id") ->
     return off.unionByName(extra)
 
 
+def chain_faults(seals: DataFrame, declared: DataFrame, found: DataFrame, by: str, order: str) -> DataFrame:
+    """by, fault, at: of all bundles the seals off their place or their predecessor (link, index) and the files missing, changed and undeclared.
+
+    seals(by, order, seal_hash, prev_hash), declared and found(by, relative_path, sha256): one query for any number of bundles.
+    """
+    place = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
+    linked = chain_links(seals, by, order).withColumn("place", place)
+    off = F.array_compact(F.array(F.when(F.col("link") != "ok", "link"), F.when(F.col("place") != F.col(order), "index")))
+    return linked.select(by, F.explode(off).alias("fault"), F.col(order).cast("string").alias("at")).unionByName(file_faults(declared, found, by).select(by, "fault", F.col("relative_path").alias("at")))
+
+
 def monotonic_deltas(events: DataFrame, by: str, ts: str, order: str) -> DataFrame:
     """Seconds since the one before, null for the first."""
     t = F.unix_micros(F.col(ts).cast("timestamp"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import GeometryError
+from ..errors import GeometryError, StratigraphyError
 from ..functions import vectors as V
 
 _PAIRS = ("xx", "xy", "xz", "yy", "yz", "zz")
@@ -182,9 +182,11 @@ def ortho_raster(points: DataFrame, point, normal, per_metre: float = 200.0, bas
 
 
 def back_projected(marks: DataFrame, image: DataFrame, per_metre: float, lo: tuple[float, float], point, normal, basis=V.strike_basis) -> DataFrame:
-    """Marks (col, row, ...) as places on the plane at pixel centres; marks without a pixel in the image drop out."""
+    """Marks (col, row, ...) as places on the plane at pixel centres; marks without a pixel in the image drop out, and none left is an error."""
     u, v = basis(normal)
     hit = marks.join(image.select("col", "row"), ["col", "row"], "left_semi")
+    if not hit.limit(1).count():
+        raise StratigraphyError("no marks left")
     a, b = (F.col("col") + 0.5) / per_metre + lo[0], (F.col("row") + 0.5) / per_metre + lo[1]
     return hit.withColumns({c: F.lit(float(point[k])) + a * float(u[k]) + b * float(v[k]) for k, c in enumerate("xyz")})
 

@@ -353,6 +353,16 @@ def closed_meshes(vertices: DataFrame, faces: DataFrame, onto: tuple | None = No
     return _per_mesh(faces, vertices, close, "mesh_id long, kind string, id long, x double, y double, z double, a long, b long, c long")
 
 
+def closed(vertices: DataFrame, faces: DataFrame, onto: tuple | None = None) -> tuple[DataFrame, DataFrame]:
+    """The meshes with their holes closed; a mesh that is still open fails the query."""
+    added = scratch(closed_meshes(vertices, faces, onto), "closed")
+    v = vertices.select("mesh_id", "vid", "x", "y", "z").unionByName(added.filter("kind = 'v'").select("mesh_id", F.col("id").alias("vid"), "x", "y", "z"))
+    f = faces.select("mesh_id", "fid", "a", "b", "c").unionByName(added.filter("kind = 'f'").select("mesh_id", F.col("id").alias("fid"), "a", "b", "c"))
+    still = edge_counts(f).groupBy("mesh_id").agg(F.sum((F.col("n") != 2).cast("long")).alias("open_edges"))
+    refused = F.raise_error(F.concat(F.lit("mesh is still open: "), F.col("mesh_id").cast("string"))).cast("boolean")
+    return v, f.join(still, "mesh_id").filter(F.when(F.col("open_edges") == 0, True).otherwise(refused)).drop("open_edges")
+
+
 def clipped_faces(tri: DataFrame, centre, axes, half) -> DataFrame:
     """Faces (ax..cz) cut to a box: inside ones stay, crossing ones are cut by its six planes and fanned; those with all corners outside go."""
     planes = [(np.array(a, float) * s, float(h)) for a, h in zip(axes, half, strict=True) for s in (1, -1)]

@@ -267,17 +267,40 @@ def fit_axis_least_variance(spark, sf_dir):
     return rounded(fit.least_varying_axis(A.soup_vertices(spark, sf_dir), "label"))
 
 
-@query()
+def _unit_eigenvector(l: str, k: str) -> str:
+    """SQL of a symmetric matrix's unit eigenvector to the eigenvalue l: the longest cross product of two rows of the matrix less l."""
+    rows = [(f"(cxx - {l})", "cxy", "cxz"), ("cxy", f"(cyy - {l})", "cyz"), ("cxz", "cyz", f"(czz - {l})")]
+    cross = lambda u, v: (f"{u[1]} * {v[2]} - {u[2]} * {v[1]}", f"{u[2]} * {v[0]} - {u[0]} * {v[2]}", f"{u[0]} * {v[1]} - {u[1]} * {v[0]}")
+    named = [(c, *cross(rows[i], rows[j])) for c, i, j in (("p", 0, 1), ("q", 0, 2), ("r", 1, 2))]
+    first = ", ".join(f"{e} as {k}{c}{n}" for c, *es in named for e, n in zip(es, "xyz", strict=True))
+    size = {c: f"({k}{c}x * {k}{c}x + {k}{c}y * {k}{c}y + {k}{c}z * {k}{c}z)" for c in "pqr"}
+    pick = ", ".join(f"case greatest({', '.join(size.values())}) when {size['p']} then {k}p{n} when {size['q']} then {k}q{n} else {k}r{n} end / sqrt(greatest({', '.join(size.values())})) as {k}{n}" for n in "xyz")
+    return first, pick
+
+
+_E1, _E3 = _unit_eigenvector("l1", "u"), _unit_eigenvector("l3", "w")
+#: Eigenvalues of the covariance by the cubic's closed form; u, v and w are the axes by falling variance.
+_AXES = f"""{A.SOUP_V}, mo as (select label, count(*) as n, {', '.join(f'avg({c}) as m{c}' for c in 'xyz')}, {', '.join(f'covar_pop({i}, {k}) as c{i}{k}' for i, k in ('xx', 'xy', 'xz', 'yy', 'yz', 'zz'))} from sv group by label),
+m1 as (select *, (cxx + cyy + czz) / 3 as tr from mo), m2 as (select *, sqrt(((cxx - tr) ** 2 + (cyy - tr) ** 2 + (czz - tr) ** 2 + 2 * (cxy ** 2 + cxz ** 2 + cyz ** 2)) / 6) as sp from m1),
+m3 as (select *, acos(greatest(-1e0, least(1e0, ((cxx - tr) * ((cyy - tr) * (czz - tr) - cyz * cyz) - cxy * (cxy * (czz - tr) - cyz * cxz) + cxz * (cxy * cyz - (cyy - tr) * cxz)) / (2 * sp ** 3)))) / 3 as phi from m2),
+m4 as (select *, tr + 2 * sp * cos(phi) as l1, tr + 2 * sp * cos(phi + 2 * pi() / 3) as l3 from m3), m5 as (select *, {_E1[0]}, {_E3[0]} from m4), m6 as (select *, {_E1[1]}, {_E3[1]} from m5),
+ax as (select label, n, mx, my, mz, l3, ux, uy, uz, wy * uz - wz * uy as vx, wz * ux - wx * uz as vy, wx * uy - wy * ux as vz, wx, wy, wz from m6)"""
+
+
+@query(f"with {_AXES} select label, n, {', '.join(r(f'w{c} * case when wy >= 0 then 1 else -1 end', 'n' + c) for c in 'xyz')}, {r('sqrt(greatest(l3, 0e0))', 'rms')} from ax")
 def fit_plane_ls(spark, sf_dir):
     return rounded(fit.planes(A.soup_vertices(spark, sf_dir), "label"))
 
 
-@query()
+_SPAN = ", ".join(f"{f}(sv.x * {k}x + sv.y * {k}y + sv.z * {k}z) as {n}{k}" for k in "uvw" for f, n in (("min", "lo"), ("max", "hi")))
+
+
+@query(f"with {_AXES}, sp as (select label, ax.n, ux, uy, uz, vx, vy, vz, wx, wy, wz, {_SPAN} from sv join ax using (label) group by all) select label, n, {', '.join(r(' + '.join(f'(lo{k} + hi{k}) / 2 * {k}{c}' for k in 'uvw'), 'c' + c) for c in 'xyz')}, {', '.join(r(f'(hi{k} - lo{k}) / 2', 'h' + c) for k, c in zip('uvw', 'xyz'))} from sp")
 def fit_obb_pca(spark, sf_dir):
     return rounded(fit.boxes(A.soup_vertices(spark, sf_dir), "label").drop("axes"))
 
 
-@query()
+@query(f"with {_AXES} select label, {', '.join(r('any_value(m' + c + ')', 'c' + c) for c in 'xyz')}, count(*) as n, {', '.join(r(f'case when count(*) < 3 then 5e-3 else greatest(max(abs((sv.x - mx) * {k}x + (sv.y - my) * {k}y + (sv.z - mz) * {k}z)), 1e-3) end', 'h' + c) for k, c in zip('uvw', 'xyz'))} from sv join ax using (label) group by label")
 def segment_obb(spark, sf_dir):
     return rounded(fit.segment_boxes(A.soup_vertices(spark, sf_dir), "label").drop("axes"))
 
@@ -319,6 +342,18 @@ def thickness_band(spark, sf_dir):
     return rounded(stratigraphy.uncertainty(A.marks(spark, sf_dir), (0.0, 1.0, 0.0), 500.0))
 
 
+@query(f"with {A.MARKS}, {_GROUPS}, o as (select profile_id, y - avg(y) over (partition by profile_id, boundary_id) as e from mk), bd as (select profile_id, sqrt(avg(e * e)) as s, sqrt(avg(e * e) + 1e-6) as band from o group by 1) select profile_id, lower, upper, {r('abs(d)', 'true_thickness')}, {r('abs(d)', 'apparent_thickness')}, {r('s', 'sigma_plane')}, {r('band', 'band')} from pr join bd using (profile_id) where upper is not null")
+def thickness_measure(spark, sf_dir):
+    return rounded(stratigraphy.measure(A.marks(spark, sf_dir), (0.0, 0.0, 1.0), (0.0, 1.0, 0.0)))
+
+
+@query(f"with {A.SOUP_V}, {A.SOUP_T}, {_N}, u as (select fid, fx / fl as x, fy / fl as y, fz / fl as z from nl) select fid, {r('degrees(acos(greatest(-1e0, least(1e0, y))))', 'dip')}, case when sqrt(x * x + z * z) <= 1e-6 then 0e0 else round((degrees(atan2(-x, z)) % 360 + 360) % 360, 6) + 0e0 end as direction from u")
+def face_dip(spark, sf_dir):
+    n = mesh.face_normals(mesh.triangles(A.soup_vertices(spark, sf_dir), A.soup_faces(spark, sf_dir)))
+    angle, direction = V.dip(V.p("n"))
+    return rounded(n.select("fid", angle.alias("dip"), direction.alias("direction")))
+
+
 # ---------------------------------------------------------------- positioning
 
 _K0, _A, _E2 = "9.996e-1", "6378137e0", f"{G.E2!r}::double"
@@ -365,9 +400,15 @@ def geo_dispersion(spark, sf_dir):
     return rounded(positioning.dispersion(f, f.groupBy("burst_id").agg(F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"))), 4)
 
 
-@query()
+_VERDICT = f"""{A.FIXES}, {_MEDIAN}, run2 as (select *, sum(1e0 / (horizontal_accuracy * horizontal_accuracy)) over (partition by burst_id order by longitude, ord rows unbounded preceding) as run, sum(1e0 / (horizontal_accuracy * horizontal_accuracy)) over (partition by burst_id) as al from ok),
+med2 as (select burst_id, min_by(longitude, row(longitude, ord)) as longitude from run2 where run >= al / 2 group by 1), pl as (select * from med join med2 using (burst_id)),
+st as (select burst_id, count(*) as n, {', '.join(f'sum({c} / (horizontal_accuracy * horizontal_accuracy)) / sum(1e0 / (horizontal_accuracy * horizontal_accuracy)) as {c}' for c in ('altitude', 'horizontal_accuracy', 'vertical_accuracy'))} from ok group by 1),
+ds as (select burst_id, case when count(*) >= 2 then sqrt(avg(((ok.latitude - pl.latitude) * 1.1132e5) ** 2 + ((ok.longitude - pl.longitude) * 1.1132e5 * cos(radians(pl.latitude))) ** 2)) end as dispersion from ok join pl using (burst_id) group by 1)"""
+
+
+@query(f"with {_VERDICT} select burst_id, {r('latitude', 'latitude', 6)}, {r('longitude', 'longitude', 6)}, n, {r('altitude', 'altitude', 6)}, {r('horizontal_accuracy', 'horizontal_accuracy', 6)}, {r('vertical_accuracy', 'vertical_accuracy', 6)}, {r('dispersion', 'dispersion', 6)}, case when coalesce(dispersion, 0) <= 15 then 'good' else 'degraded' end as quality from pl join st using (burst_id) join ds using (burst_id)")
 def geo_burst_verdict(spark, sf_dir):
-    return rounded(positioning.verdicts(A.fixes(spark, sf_dir)), 4)
+    return rounded(positioning.verdicts(A.fixes(spark, sf_dir)))
 
 
 @query(f"with {A.FIXES}, {A.TRACK}, d as (select burst_id, tx - lag(tx) over w as dx, tz - lag(tz) over w as dz from tk window w as (partition by burst_id order by ts, ord)) select burst_id, {r('coalesce(sum(sqrt(dx * dx + dz * dz)), 0)', 'length', 4)}, count(*) as n from d group by 1")
@@ -398,7 +439,13 @@ def geo_horn_yaw(spark, sf_dir):
     return rounded(positioning.horn_yaw(pairs))
 
 
-@query()
+_YAW = f"""{A.FIXES}, {A.TRACK}, {_ASOF}, tl as (select burst_id, sum(sqrt(dx * dx + dz * dz)) as len, count(*) as n from (select burst_id, tx - lag(tx) over w as dx, tz - lag(tz) over w as dz from tk window w as (partition by burst_id order by ts, ord)) group by 1),
+og as (select burst_id, avg(latitude) as lat0, avg(longitude) as lon0 from fi group by 1), h as (select burst_id, tx as ax, -tz as ay, (longitude - lon0) * 1.1132e5 * cos(radians(lat0)) as gx, (latitude - lat0) * 1.1132e5 as gy from ip join og using (burst_id) join tl using (burst_id) where n >= 3 and len >= 10),
+c as (select burst_id, ax - avg(ax) over w as ax, ay - avg(ay) over w as ay, gx - avg(gx) over w as gx, gy - avg(gy) over w as gy from h window w as (partition by burst_id)),
+y as (select burst_id, count(*) as n, sum(ax * gy - ay * gx) as num, sum(ax * gx + ay * gy) as den, avg(sqrt(ax * ax + ay * ay)) as rad from c group by 1), z as (select *, atan2(num, den) as yaw from y where abs(num) > 1e-10 or abs(den) > 1e-10)"""
+
+
+@query(f"with {_YAW} select burst_id, any_value(n) as n, {r('any_value(yaw)', 'yaw')}, {r('sqrt(avg((cos(yaw) * ax - sin(yaw) * ay - gx) ** 2 + (sin(yaw) * ax + cos(yaw) * ay - gy) ** 2)) / any_value(rad)', 'sigma')} from c join z using (burst_id) group by burst_id")
 def geo_yaw(spark, sf_dir):
     return rounded(positioning.yaw(A.track(spark, sf_dir), _other(spark, sf_dir)))
 
@@ -460,7 +507,31 @@ def diff_grid_volume(spark, sf_dir):
     return rounded(registration.grid_change(*grids, 0.05, 0.02))
 
 
-@query()
+def _dot(a: tuple, b: tuple) -> str:
+    return "(" + " + ".join(f"({x}) * ({y})" for x, y in zip(a, b, strict=True)) + ")"
+
+
+def _less(a: str, b: str) -> tuple:
+    return tuple(f'(f."{a}{c}" - f."{b}{c}")' if a else f'(p.{c} - f."{b}{c}")' for c in "xyz")
+
+
+def _segment2(a: str, b: str) -> str:
+    """SQL of the squared distance of p from the side a b of face f."""
+    q, e = _less("", a), _less(b, a)
+    t = f"greatest(0e0, least(1e0, {_dot(q, e)} / {_dot(e, e)}))"
+    d = tuple(f"{x} - {t} * {y}" for x, y in zip(q, e, strict=True))
+    return _dot(d, d)
+
+
+_SIGNED = f"""{A.SOUP_V}, {A.SOUP_T}, {_N}, p as (select vid, x, y + 5e-2 as y, z from sv),
+hs as (select p.vid, fid, {_dot(_less('', 'a'), ('fx', 'fy', 'fz'))} / fl as h, sqrt(least({_segment2('a', 'b')}, {_segment2('b', 'c')}, {_segment2('c', 'a')})) as edge,
+ {_dot(_less('', 'a'), _less('b', 'a'))} as d1, {_dot(_less('', 'a'), _less('c', 'a'))} as d2, {_dot(_less('b', 'a'), _less('b', 'a'))} as g11, {_dot(_less('b', 'a'), _less('c', 'a'))} as g12, {_dot(_less('c', 'a'), _less('c', 'a'))} as g22
+ from p join nl f on p.x between least(f.ax, f.bx, f.cx) - 1 and greatest(f.ax, f.bx, f.cx) + 1 and p.y between least(f.ay, f."by", f.cy) - 1 and greatest(f.ay, f."by", f.cy) + 1 and p.z between least(f.az, f.bz, f.cz) - 1 and greatest(f.az, f.bz, f.cz) + 1),
+br as (select *, (g22 * d1 - g12 * d2) / (g11 * g22 - g12 * g12) as s, (g11 * d2 - g12 * d1) / (g11 * g22 - g12 * g12) as t from hs),
+ds as (select vid, fid, case when h < 0 then -1 else 1 end * case when s >= 0 and t >= 0 and s + t <= 1 then abs(h) else edge end as d from br), bs as (select vid, arg_min(d, row(abs(d), fid)) as d from ds group by 1)"""
+
+
+@query(f"with {_SIGNED} select sv.vid, {r('case when abs(d) <= 1 then d else 0 end', 'd')} from sv left join bs using (vid)")
 def diff_signed_distance(spark, sf_dir):
     v = A.soup_vertices(spark, sf_dir)
     tri = mesh.triangles(v, A.soup_faces(spark, sf_dir))
@@ -536,22 +607,26 @@ def hole_fill(spark, sf_dir):
     return rounded(volume.filled_holes(cells, "up", "flag"))
 
 
-@query()
+_WHOLE = f"select mesh_id, 12::bigint as faces, {r('8 * hx * hy * hz', 'volume')} from (select {A._PARTS} from part)"
+
+
+@query(_WHOLE.replace("12::bigint", "14::bigint"))
 def mesh_close(spark, sf_dir):
-    v, f = A.part_vertices(spark, sf_dir), A.part_faces(spark, sf_dir).filter("fid > 1")
-    return mesh.closed_meshes(v, f).groupBy("mesh_id").agg(F.sum((F.col("kind") == "f").cast("long")).alias("faces"), F.sum((F.col("kind") == "v").cast("long")).alias("centres"))
+    v, f = mesh.closed(A.part_vertices(spark, sf_dir), A.part_faces(spark, sf_dir).filter("fid > 1"))
+    return _faces_and_volume(v, f)
 
 
-ORACLE_SQL["mesh_close"] = "select p_partkey as mesh_id, 4::bigint as faces, 1::bigint as centres from part"
+def _faces_and_volume(v, f):
+    volume_ = mesh.closed_volume(mesh.triangles(v, f)).select("mesh_id", F.abs("volume").alias("volume"))
+    return rounded(f.groupBy("mesh_id").agg(F.count("*").alias("faces")).join(volume_, "mesh_id"))
 
 
-@query("select p_partkey as mesh_id, 12::bigint as faces from part")
+@query(_WHOLE)
 def mesh_fix_orientation(spark, sf_dir):
     v, f = A.part_vertices(spark, sf_dir), A.part_faces(spark, sf_dir)
-    mixed = f.select("mesh_id", "fid", "a", F.when(F.col("fid") % 3 == 1, F.col("c")).otherwise(F.col("b")).alias("b"), F.when(F.col("fid") % 3 == 1, F.col("b")).otherwise(F.col("c")).alias("c"))
-    fixed = mesh.oriented_faces(v, mixed)
-    twice = mesh.directed_edges(fixed).groupBy("mesh_id", "u", "v").count().filter("count > 1").select("mesh_id").distinct()
-    return fixed.join(twice, "mesh_id", "left_anti").groupBy("mesh_id").agg(F.count("*").alias("faces"))
+    turned = (F.col("fid") + F.col("mesh_id")) % 3 == 1
+    mixed = f.select("mesh_id", "fid", "a", F.when(turned, F.col("c")).otherwise(F.col("b")).alias("b"), F.when(turned, F.col("b")).otherwise(F.col("c")).alias("c"))
+    return _faces_and_volume(v, mesh.oriented_faces(v, mixed))
 
 
 @query("select p_partkey as mesh_id, 12::bigint as faces from part")
@@ -611,6 +686,21 @@ def custody_extra_files(spark, sf_dir):
     return custody.file_faults(*_bundles(spark, sf_dir)).filter("fault = 'undeclared'")
 
 
+_TURNS = "case turn % 5 when 3 then 'missing' when 4 then 'changed' else 'undeclared' end"
+
+
+@query(f"with {_CHAIN}, l as (select *, lag(seal_hash) over w as b, row_number() over w as k from c window w as (partition by conv_id order by turn)) select conv_id, 'link' as fault, turn::varchar as at from l where (k = 1 and prev_hash is not null) or (k > 1 and prev_hash is distinct from b) union all select conv_id, 'index', turn::varchar from l where k - 1 <> turn union all select conv_id, {_TURNS}, turn::varchar from conversations where turn % 5 in (2, 3, 4)")
+def custody_verify_chain(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = A.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("seal_hash"))
+    seals = c.withColumn("prev_hash", F.when(F.col("turn") > 0, F.when(F.col("turn") % 3 == 2, F.sha2(F.lit("x"), 256)).otherwise(F.lag("seal_hash").over(w))))
+    files = c.select("conv_id", F.col("turn").cast("string").alias("relative_path"), F.col("seal_hash").alias("sha256"), (F.col("turn") % 5).alias("k"))
+    found = files.filter("k <> 3").withColumn("sha256", F.when(F.col("k") == 4, F.sha2(F.lit("x"), 256)).otherwise(F.col("sha256")))
+    return custody.chain_faults(seals, files.filter("k <> 2").drop("k"), found.drop("k"), "conv_id", "turn")
+
+
 @query("select event_id, (epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id)) / 1e6 as delta from events")
 def custody_monotonic_delta(spark, sf_dir):
     return custody.monotonic_deltas(A.table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("event_id", "delta")
@@ -674,11 +764,18 @@ def export_obj_lines(spark, sf_dir):
     return records.obj_lines(v, A.part_faces(spark, sf_dir))
 
 
-@query("select p_partkey as mesh_id, 8::bigint as vertices, 12::bigint as faces from part")
+def _through_ply(spark, sf_dir):
+    return meshfiles.decoded_ply(meshfiles.encoded(A.part_vertices(spark, sf_dir), A.part_faces(spark, sf_dir), "ply"))
+
+
+@query(f"with {A.PART_V} select mesh_id, vid::bigint as vid, x::float::double as x, y::float::double as y, z::float::double as z from pv")
 def codec_ply_round_trip(spark, sf_dir):
-    data = meshfiles.encoded(A.part_vertices(spark, sf_dir), A.part_faces(spark, sf_dir), "ply")
-    v, f = meshfiles.decoded_ply(data)
-    return v.groupBy("mesh_id").agg(F.count("*").alias("vertices")).join(f.groupBy("mesh_id").agg(F.count("*").alias("faces")), "mesh_id")
+    return _through_ply(spark, sf_dir)[0]
+
+
+@query(f"with {A.PART_F} select mesh_id, fid::bigint as fid, a::bigint as a, b::bigint as b, c::bigint as c from pf")
+def codec_ply_faces(spark, sf_dir):
+    return _through_ply(spark, sf_dir)[1]
 
 
 @query("select p_partkey as mesh_id, 84 + 50 * 12 as bytes from part")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ExportError, MeshError
 from ..functions.canonical import number_text
-from ..operators.mesh import whole_meshes
+from ..operators.mesh import scratch, whole_meshes
 
 _FACE = np.dtype([("n", "u1"), ("v", "<i4", 3)])
 _STL = np.dtype([("n", "<f4", 3), ("v", "<f4", 9), ("attr", "<u2")])
@@ -97,9 +97,11 @@ def las_bytes(xyz: np.ndarray, utm: dict | None, day: int = 1, year: int = 2000)
 
 
 def encoded(vertices: DataFrame, faces: DataFrame, form: str = "ply") -> DataFrame:
-    """mesh_id, content: each mesh with faces as a file of the form ply, stl or obj."""
+    """mesh_id, content: each mesh as a file of the form ply, stl or obj; an empty mesh is refused."""
 
     def file(r) -> bytes:
+        if not len(r.fid):
+            raise ExportError("empty mesh")
         xyz, vid = np.column_stack((r.x, r.y, r.z)), np.asarray(r.vid)
         corners = np.column_stack((r.a, r.b, r.c))
         tri = np.searchsorted(vid, corners)
@@ -111,7 +113,7 @@ def encoded(vertices: DataFrame, faces: DataFrame, form: str = "ply") -> DataFra
 
     def make(batches):
         for pdf in batches:
-            rows = [(r.mesh_id, file(r)) for r in pdf.itertuples(index=False) if len(r.fid)]
+            rows = [(r.mesh_id, file(r)) for r in pdf.itertuples(index=False)]
             yield pd.DataFrame(rows, columns=["mesh_id", "content"])
 
     return whole_meshes(vertices, faces).mapInPandas(make, "mesh_id long, content binary")
@@ -127,22 +129,17 @@ def encoded_las(points: DataFrame, utm: dict, by: str = "mesh_id", order: str =
 
 
 def decoded_ply(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices and faces of rows (mesh_id, content)."""
+    """Vertices and faces of rows (mesh_id, content); each file is parsed once, into a written table."""
 
-    def vertices(batches):
+    def parts(batches):
         for pdf in batches:
             for name, data in zip(pdf.mesh_id, pdf.content, strict=True):
-                xyz, _ = ply_parts(data)
-                yield pd.DataFrame({"mesh_id": name, "vid": np.arange(len(xyz)), "x": xyz[:, 0].astype(float), "y": xyz[:, 1].astype(float), "z": xyz[:, 2].astype(float)})
+                xyz, tri = ply_parts(data)
+                yield pd.DataFrame({"mesh_id": name, "kind": "v", "id": np.arange(len(xyz)), **{c: xyz[:, k].astype(float) for k, c in enumerate("xyz")}, "a": 0, "b": 0, "c": 0})
+                yield pd.DataFrame({"mesh_id": name, "kind": "f", "id": np.arange(len(tri)), "x": 0.0, "y": 0.0, "z": 0.0, **{c: tri[:, k].astype("int64") for k, c in enumerate("abc")}})
 
-    def faces(batches):
-        for pdf in batches:
-            for name, data in zip(pdf.mesh_id, pdf.content, strict=True):
-                _, tri = ply_parts(data)
-                yield pd.DataFrame({"mesh_id": name, "fid": np.arange(len(tri)), "a": tri[:, 0].astype("int64"), "b": tri[:, 1].astype("int64"), "c": tri[:, 2].astype("int64")})
-
-    rows = contents.select("mesh_id", "content")
-    return rows.mapInPandas(vertices, "mesh_id long, vid long, x double, y double, z double"), rows.mapInPandas(faces, "mesh_id long, fid long, a long, b long, c long")
+    rows = scratch(contents.select("mesh_id", "content").mapInPandas(parts, "mesh_id long, kind string, id long, x double, y double, z double, a long, b long, c long"), "ply")
+    return rows.filter("kind = 'v'").select("mesh_id", F.col("id").alias("vid"), "x", "y", "z"), rows.filter("kind = 'f'").select("mesh_id", F.col("id").alias("fid"), "a", "b", "c")
 
 
 def read_ply(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

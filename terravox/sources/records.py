@@ -26,11 +26,11 @@ def csv_lines(rows: DataFrame, columns: str, section: int, order: str) -> DataFr
 
 
 def geojson(rows: DataFrame, east: Column, north: Column, epsg: Column, properties: dict[str, Column]) -> DataFrame:
-    """rows with `feature`: a GeoJSON point in projected coordinates, its text fields escaped."""
+    """rows with `feature`: a GeoJSON point in projected coordinates, its text fields escaped. A row without a place fails the query."""
     point = F.struct(F.lit("Point").alias("type"), F.array(east, north).alias("coordinates"))
     feature = F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*(c.alias(n) for n, c in properties.items())).alias("properties"))
     crs = F.struct(F.lit("name").alias("type"), F.struct(F.concat(F.lit("urn:ogc:def:crs:EPSG::"), epsg.cast("string")).alias("name")).alias("properties"))
-    return rows.withColumn("feature", F.when(east.isNotNull() & north.isNotNull(), F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), crs.alias("crs"), F.array(feature).alias("features")))))
+    return rows.withColumn("feature", F.when(east.isNotNull() & north.isNotNull(), F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), crs.alias("crs"), F.array(feature).alias("features")))).otherwise(F.raise_error(F.lit("missing UTM coordinate")).cast("string")))
 
 
 def obj_lines(vertices: DataFrame, faces: DataFrame) -> DataFrame:
