@@ -2,6 +2,11 @@
 
 A stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns
 of documents; the last returns the encoded documents.
+
+Defined results: a null text counts as empty and stays null; empty texts are copies
+of one another, so one of them stays; repeated rows are copies, so one stays; nulls
+in other columns and columns of other names pass through; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations

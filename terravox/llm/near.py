@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop_scratch, hashed_words, in_chunks, shingle_hashes, stored, utf8_list
+from ..operators.mesh import labelled
+from .common import bounded_batches, hashed_words, in_chunks, shingle_hashes, utf8_list
 
 #: Sets in a block.
 BLOCK = 256
@@ -221,24 +222,7 @@ def distinct_leaves(leaves: DataFrame) -> DataFrame:
     return leaves.join(one, "bucket", "left_semi")
 
 
-def components(edges: DataFrame, a: str, b: str, most: int = 200) -> DataFrame:
-    """node, component (its least node) of the graph with these edges.
-
-    Each round takes the least label among neighbours and then the label's own
-    label, so long paths halve; every round is a written table.
-    """
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """node, component (its least node) of the graph with these edges, as a written table."""
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = stored(both.union(both.select("v", "u")).filter("u <> v").distinct(), "edges")
-    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("component")), "labels")
-    for _ in range(most):
-        near = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("least"))
-        step = labels.join(near, "node").select("node", F.least("component", "least").alias("next"), F.col("component").alias("old"))
-        jump = step.join(labels.select(F.col("node").alias("next"), F.col("component").alias("far")), "next", "left")
-        new = stored(jump.select("node", F.least("next", F.coalesce("far", "next")).alias("component"), (F.least("next", F.coalesce("far", "next")) != F.col("old")).alias("changed")), "labels")
-        changed = new.filter("changed").limit(1).count()
-        drop_scratch(labels)
-        labels = new.drop("changed")
-        if not changed:
-            drop_scratch(both)
-            return labels
-    raise RuntimeError("components did not settle")
+    return labelled(both.select(F.explode(F.array("u", "v")).alias("node")).distinct(), both)

@@ -197,7 +197,9 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     twice = stored(windows(source).groupBy("unit").count().filter("count > 1").select("unit"), "twice")
     within = stored(windows(source).join(twice.hint("merge"), "unit").withColumn("words", F.lit(WINDOW)), "windows")
     drop_scratch(twice)
-    within = within.join(within.groupBy("unit").agg(F.min(F.struct("d", "tk", "start", "end")).alias("keep")).hint("merge"), "unit")
+    # A table of its own, so that the join's hot windows can be split.
+    firsts = stored(within.groupBy("unit").agg(F.min(F.struct("d", "tk", "start", "end")).alias("keep")), "firsts")
+    within = within.join(firsts.hint("merge"), "unit")
     hit = hit.drop("unit", "unit2").withColumn("win", F.lit(False)).unionByName(within.drop("unit").withColumn("win", F.lit(True)))
     return _passages(hit, passage, gap)
 

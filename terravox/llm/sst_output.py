@@ -23,6 +23,7 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import struct
@@ -172,6 +173,34 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+#: The normaliser and the word rule of the file under which units are independent of one another and plain ones are words.
+BY_UNITS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+class WholeEncoder:
+    """Ids of whole texts by the tokenizers library: for a tokenizer whose rules allow no shortcut."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.dtype = f"<u{self.width}"
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for lo in range(0, len(texts), 64) for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 64], add_special_tokens=False)]
+
+
 class UnitEncoder:
     """Ids of whole texts by the tokenizers library, which is asked once for each distinct unit.
 
@@ -244,13 +273,22 @@ class UnitEncoder:
         return out
 
 
-_encoders: dict[str, UnitEncoder] = {}
+def encodes_by_units(path: str) -> bool:
+    """Whether the file's normaliser, word rule and model are those that UnitEncoder's shortcut holds for."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    plain = rules["model"]["type"] == "BPE" and not any(rules["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges", "byte_fallback"))
+    alone = all(t["special"] and not (t["lstrip"] or t["rstrip"]) and not any(c.isspace() for c in t["content"]) for t in rules["added_tokens"])
+    return plain and alone and all(rules[k] == v for k, v in BY_UNITS.items())
+
+
+_encoders: dict[str, UnitEncoder | WholeEncoder] = {}
 
 
-def encoder(path: str) -> UnitEncoder:
+def encoder(path: str) -> UnitEncoder | WholeEncoder:
     """One encoder a Python worker; workers are used again by later tasks."""
     if path not in _encoders:
-        _encoders[path] = UnitEncoder(path)
+        _encoders[path] = UnitEncoder(path) if encodes_by_units(path) else WholeEncoder(path)
     return _encoders[path]
 
 

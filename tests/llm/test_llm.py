@@ -110,6 +110,25 @@ def test_op1_odd_rows(spark):
     assert sst_output.token_shards(empty(spark), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_op1_other_tokenizers_are_asked_whole(spark, tmp_path):
+    import json
+
+    assert sst_output.encodes_by_units(P.path("word_bpe_49k.json"))
+    other = P.path("byte_bpe_50k.json")
+    assert not sst_output.encodes_by_units(other)
+    from tokenizers import Tokenizer
+
+    texts = ["It's  a test\n of 123 words", "", "naïve Ünï", " lead"]
+    want = [e.ids for e in Tokenizer.from_file(other).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in sst_output.encoder(other).encode(texts)] == want
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        rules = json.load(f)
+    rules["normalizer"]["normalizers"].pop()
+    changed = tmp_path / "cased.json"
+    changed.write_text(json.dumps(rules), encoding="utf-8")
+    assert not sst_output.encodes_by_units(str(changed))
+
+
 # ---------------------------------------------------------------------- op 2
 
 
@@ -528,6 +547,54 @@ def test_op8_odd_rows(spark):
     assert b"".join(toxicity.windows(b"ab cd" * 100 + b"z" * 500, 64)) == b"ab cd" * 100 + b"z" * 500
 
 
+def toxic_rows(n=160, seed=8):
+    """Prose of made-up words, a quarter with a few marked words among them."""
+    rng = np.random.default_rng(seed)
+    parts = "an ba ce do er fi go hu in ja ke lo mu no or pa qui re su ta".split()
+    word = lambda: "".join(rng.choice(parts, rng.integers(1, 4)))
+    rows = []
+    for i in range(n):
+        w = [word() for _ in range(rng.integers(60, 300))]
+        if i % 4 == 0:
+            for k in rng.integers(0, len(w), 6):
+                w[k] = str(rng.choice(["wretchedly", "blockheads", "filthywitz", "dumbfutzen"]))
+        rows.append((i, " ".join(w), int(i % 4 == 0)))
+    return rows
+
+
+def test_op8_trained_model(spark):
+    """The registered rule on fresh rows, odd rows by a trained model, and each score against a plain recomputation."""
+    import zstandard
+
+    model = toxicity.fit([(t.encode(), y) for _, t, y in toxic_rows()])
+    fresh = toxic_rows(seed=9)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in fresh], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, model).collect()}
+    assert sum(got[i].predicted == y for i, _, y in fresh) >= 0.97 * len(fresh)
+
+    def packed(content, window):
+        how = zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(how.compress(window))
+
+    for i, t, _ in fresh[:12]:
+        pieces = toxicity.windows(t.lower().encode(), toxicity.WINDOW)
+        assert b"".join(pieces) == t.lower().encode()
+        saved = np.array([packed(model.ordinary, w) - packed(model.ordinary + model.toxic, w) for w in pieces])
+        x = np.array([np.sort(saved)[-3:].mean(), np.maximum(0, saved - 1).mean(), np.maximum(0, saved - 1).sum() / np.sqrt(len(saved)), np.log(len(saved))])
+        z = ((x - model.means) / model.scales) @ np.array(model.weights) + model.shift
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-z)), abs=0.02)
+    odd = odd_docs(spark)
+    scores = {(r.doc_id, r.score) for r in toxicity.toxicity_scores(odd, model).collect()}
+    by = {i: x for i, x in scores}
+    assert all(0 <= x <= 1 for _, x in scores) and by[0] == by[1] and by[5] == by[6] and by[0] < 0.7
+    assert toxicity.toxicity_scores(empty(spark), model).count() == 0
+    # All of a long text counts: what stands at its end alone changes the score.
+    long = " ".join(t for _, t, y in fresh if not y)
+    ends = spark.createDataFrame([(0, long), (1, long + " wretchedly blockheads filthywitz dumbfutzen" * 12)], "doc_id long, text string")
+    a, b = (r.score for r in toxicity.toxicity_scores(ends, model).orderBy("doc_id").collect())
+    assert a < b and b >= 0.7
+
+
 # ---------------------------------------------------------------------- op 9
 
 
@@ -683,6 +750,21 @@ def test_pipeline_stages(spark):
     assert key7(stage(spark, docs, sf).collect()) == tiktoken_rows([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_pipeline_on_odd_and_empty_input(spark, tmp_path):
+    """Nulls in every column, repeated rows, clashing columns and no rows at all: every stage keeps the schema, nothing fails."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    for docs in (odd_docs(spark), empty(spark)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == docs.columns, name
+            docs = common.stored(out, "odd")
+        name, stage = corpus_pipeline.STAGES[-1]
+        rows = stage(spark, docs, sf).collect()
+        assert key7(rows) == tiktoken_rows([(r.doc_id, r.text) for r in docs.collect()])
+
+
 def test_the_rest_does_not_import_this_package():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     for folder, _, files in os.walk(os.path.join(root, "terravox")):
