@@ -350,6 +350,34 @@ def test_op4_finds_passages_inside_lines(spark):
     assert all(31 <= r.n_words <= 71 for r in got)
 
 
+def test_op4_equals_brute_force_runs(spark, sf_dir):
+    """Each run of 51 words that stands twice lies, but for its ends, in a passage at each place; each passage has words that stand elsewhere."""
+    rows = {r.doc_id: r.text or "" for r in documents(spark, sf_dir).collect()}
+    words = {d: [(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t.encode())] for d, t in rows.items()}
+    at = {}
+    for d, w in words.items():
+        for i in range(len(w) - 50):
+            at.setdefault(tuple(x[2] for x in w[i : i + 51]), []).append((d, i))
+    spans = {}
+    for r in queries.op4_paragraph_dedup(spark, sf_dir).collect():
+        spans.setdefault(r.doc_id, []).append((r.start, r.end, r.n_words))
+    places = [p for ps in at.values() if len(ps) > 1 for p in ps]
+    assert places
+    for d, i in places:
+        inside = {k for a, b, _ in spans[d] for k in range(i, i + 51) if a <= words[d][k][0] and words[d][k][1] <= b}
+        assert len(inside) >= 31
+    runs = {}
+    for d, w in words.items():
+        for i in range(len(w) - 4):
+            runs.setdefault(tuple(x[2] for x in w[i : i + 5]), set()).add((d, i))
+    for d, ps in spans.items():
+        for a, b, n in ps:
+            own = [k for k, x in enumerate(words[d]) if a <= x[0] and x[1] <= b]
+            assert 30 <= n <= len(own)
+            twice = sum(len(runs[tuple(x[2] for x in words[d][k : k + 5])]) > 1 for k in own[:-4])
+            assert twice >= 0.6 * (n - 4)
+
+
 def test_op4_tuning_meets_recall():
     bands, rows = paragraph_dedup.tune(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 > 1 - (1 - 0.8**rows) ** (bands - 1)
