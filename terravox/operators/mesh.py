@@ -229,6 +229,25 @@ def vertex_components(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return out.select("node.mesh_id", "node.vid", F.col("component.vid").alias("component"))
 
 
+def oriented_faces(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """Faces wound alike across shared edges, with `flipped`; in each piece the least face stays as it is.
+
+    A face has two sides. Two faces of one edge join like sides if they run through it
+    in opposite directions, else unlike ones; the component of a face's first side
+    then says, by the side of its least face, whether the face is turned. Edges of
+    more than two faces join nothing, and a piece that no winding suits stays as it is.
+    """
+    use = directed_edges(faces).withColumn("way", (F.col("u") < F.col("v")).cast("int")).groupBy("mesh_id", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"))
+    pair = use.agg(F.count("*").alias("n"), F.min(F.struct("fid", "way")).alias("f"), F.max(F.struct("fid", "way")).alias("g")).filter("n = 2 and f.fid <> g.fid")
+    node = lambda fid, side: F.struct("mesh_id", fid.alias("fid"), side.cast("int").alias("side"))
+    unlike = F.col("f.way") == F.col("g.way")
+    edges = pair.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).select(node(F.col("f.fid"), F.col("side")).alias("u"), node(F.col("g.fid"), F.when(unlike, 1 - F.col("side")).otherwise(F.col("side"))).alias("v"))
+    sides = faces.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).select(node(F.col("fid"), F.col("side")).alias("node"))
+    turned = labelled(sides, edges).filter("node.side = 0").select("node.mesh_id", "node.fid", (F.col("component.side") == 1).alias("flipped"))
+    out = faces.select("mesh_id", "fid", "a", "b", "c").join(turned, ["mesh_id", "fid"])
+    return out.select("mesh_id", "fid", "a", F.when(F.col("flipped"), F.col("c")).otherwise(F.col("b")).alias("b"), F.when(F.col("flipped"), F.col("b")).otherwise(F.col("c")).alias("c"), "flipped")
+
+
 # --------------------------------------- sequential repairs, a mesh at a time
 
 
@@ -264,32 +283,6 @@ def _neighbours(f: np.ndarray) -> dict:
     return edges
 
 
-def oriented_faces(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """Faces wound alike across shared edges, starting from the least face of each piece."""
-
-    def fix(v: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("fid").reset_index(drop=True)
-        tri = f[["a", "b", "c"]].to_numpy().copy()
-        edges = _neighbours(tri)
-        flip, seen = np.zeros(len(tri), bool), np.zeros(len(tri), bool)
-        for start in range(len(tri)):
-            todo = [] if seen[start] else [start]
-            seen[start] = True
-            while todo:
-                i = todo.pop()
-                a, b, c = tri[i]
-                for u, w in ((a, b), (b, c), (c, a)):
-                    mine = (u < w) != flip[i]
-                    for j, way in edges[min(u, w), max(u, w)]:
-                        if not seen[j]:
-                            seen[j], flip[j] = True, way == mine
-                            todo.append(j)
-        tri[flip] = tri[flip][:, [0, 2, 1]]
-        return pd.DataFrame({"mesh_id": f.mesh_id, "fid": f.fid, "a": tri[:, 0], "b": tri[:, 1], "c": tri[:, 2], "flipped": flip})
-
-    return _per_mesh(faces, vertices, fix, "mesh_id long, fid long, a long, b long, c long, flipped boolean")
-
-
 def manifold_faces(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Faces left when each edge of more than two keeps the two that are most nearly parallel."""
 

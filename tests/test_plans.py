@@ -180,6 +180,25 @@ def test_refusals(spark):
         meshfiles.ply_parts(b"ply\nend_header\n")
 
 
+def test_orientation_of_large_and_odd_meshes(spark):
+    """A torus with faces turned at random, two pieces, a Moebius band, and an edge of three faces."""
+    rng = np.random.default_rng(30)
+    n, m = 24, 15
+    at = lambda i, j: (i % n) * m + j % m
+    good = [f for i in range(n) for j in range(m) for f in ((at(i, j), at(i + 1, j), at(i, j + 1)), (at(i + 1, j), at(i + 1, j + 1), at(i, j + 1)))]
+    turn = rng.uniform(size=len(good)) < 0.4
+    turn[0] = False
+    rows = [(0, k, *((a, c, b) if t else (a, b, c))) for k, ((a, b, c), t) in enumerate(zip(good, turn, strict=True))]
+    band = [(k, (k + 1) % 5, (k + 2) % 5) for k in range(5)]
+    rows += [(1, k, *map(int, f)) for k, f in enumerate(band)] + [(2, 0, 0, 1, 2), (2, 1, 0, 1, 3), (2, 2, 1, 0, 4)]
+    f = spark.createDataFrame(rows, "mesh_id long, fid long, a long, b long, c long")
+    got = {(r.mesh_id, r.fid): r for r in mesh.oriented_faces(f.select("mesh_id", F.col("a").alias("vid")), f).collect()}
+    assert len(got) == len(rows)
+    assert [got[0, k].flipped for k in range(len(good))] == turn.tolist()
+    assert all((r.a, r.b, r.c) == good[k] for (i, k), r in got.items() if i == 0)
+    assert not any(r.flipped for (i, _), r in got.items() if i == 2)
+
+
 def test_contact_is_the_nearest_corners(spark):
     rng = np.random.default_rng(3)
     rows = [(0, i, *map(float, rng.uniform(0, 2, 3)), *map(float, rng.uniform(0.1, 0.4, 3))) for i in range(7)]
