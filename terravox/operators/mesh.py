@@ -309,20 +309,26 @@ def closed_meshes(vertices: DataFrame, faces: DataFrame, onto: tuple | None = No
     """Fan faces that close each mesh's holes, and the fans' centres.
 
     Rows of kind 'v' (id, x, y, z) and 'f' (id, a, b, c). Boundary edges are walked
-    against their own direction, so fans are wound like the mesh. onto: (point,
-    normal) of a plane on which the centres are put.
+    against their own direction, so fans are wound like the mesh; edges that hang
+    together are walked apart from all others, so a task holds a hole's rim, not a mesh.
+    onto: (point, normal) of a plane on which the centres are put.
     """
+    from pyspark.sql import Window
+
+    directed = directed_edges(faces).select("mesh_id", "u", "v").distinct()
+    rim = scratch(directed.join(directed.select("mesh_id", F.col("v").alias("u"), F.col("u").alias("v")), ["mesh_id", "u", "v"], "left_anti"), "rim")
+    node = lambda c: F.struct("mesh_id", F.col(c).alias("vid"))
+    ends = rim.select(node("u").alias("u"), node("v").alias("v"))
+    part = labelled(ends.select(F.explode(F.array("u", "v")).alias("node")).distinct(), ends)
+    named = rim.withColumn("node", node("v")).join(part, "node").select("mesh_id", "u", "v", "component")
+    placed = named.join(vertices.select("mesh_id", F.col("vid").alias("v"), "x", "y", "z"), ["mesh_id", "v"])
 
-    def close(v: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        mesh = (v if len(v) else f).mesh_id.iloc[0]
-        tri = f.sort_values("fid")[["a", "b", "c"]].to_numpy()
-        there = {(u, w) for a, b, c in tri for u, w in ((a, b), (b, c), (c, a))}
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         nexts: dict = {}
-        for u, w in sorted(there):
-            if (w, u) not in there:
-                nexts.setdefault(w, []).append(u)
-        place = v.set_index("vid")[["x", "y", "z"]]
-        vid, fid = int(v.vid.max()) + 1 if len(v) else 0, int(f.fid.max()) + 1 if len(f) else 0
+        place = {}
+        for r in pdf.sort_values(["u", "v"]).itertuples(index=False):
+            nexts.setdefault(r.v, []).append(r.u)
+            place[r.v] = (r.x, r.y, r.z)
         rows = []
         for start in sorted(nexts):
             while nexts.get(start):
@@ -330,20 +336,23 @@ def closed_meshes(vertices: DataFrame, faces: DataFrame, onto: tuple | None = No
                 while at != start and nexts.get(at):
                     loop.append(at)
                     at = nexts[at].pop(0)
-                if at != start or len(loop) < 3:
-                    continue
-                centre = place.loc[loop].to_numpy().mean(0)
-                if onto:
-                    n = np.array(onto[1], float) / np.linalg.norm(onto[1])
-                    centre = centre - n * float((centre - np.array(onto[0])) @ n)
-                rows.append((mesh, "v", vid, *centre, None, None, None))
-                for u, w in zip(loop, [*loop[1:], loop[0]], strict=True):
-                    rows.append((mesh, "f", fid, None, None, None, u, w, vid))
-                    fid += 1
-                vid += 1
-        return pd.DataFrame(rows, columns=["mesh_id", "kind", "id", "x", "y", "z", "a", "b", "c"]).astype({"a": "Int64", "b": "Int64", "c": "Int64"})
-
-    return _per_mesh(faces, vertices, close, "mesh_id long, kind string, id long, x double, y double, z double, a long, b long, c long")
+                if at == start and len(loop) >= 3:
+                    rows.append((int(pdf.mesh_id.iloc[0]), start, len(rows), loop, *np.array([place[k] for k in loop]).mean(0)))
+        return pd.DataFrame(rows, columns=["mesh_id", "start", "nth", "loop", "x", "y", "z"])
+
+    loops = scratch(placed.groupBy("component").applyInPandas(walk, "mesh_id long, start long, nth long, loop array<long>, x double, y double, z double"), "loops")
+    if onto:
+        n = np.array(onto[1], float) / np.linalg.norm(onto[1])
+        d = V.plane_distance(V.p(), onto[0], n)
+        loops = loops.withColumns({c: F.col(c) - d * float(k) for c, k in zip("xyz", n, strict=True)})
+    # New ids go on behind the mesh's own, loop by loop.
+    top = vertices.groupBy("mesh_id").agg((F.max("vid") + 1).alias("v0")).join(faces.groupBy("mesh_id").agg((F.max("fid") + 1).alias("f0")), "mesh_id")
+    w = Window.partitionBy("mesh_id").orderBy("start", "nth")
+    ided = loops.join(top, "mesh_id").withColumn("centre", F.col("v0") + F.row_number().over(w) - 1).withColumn("first", F.col("f0") + F.sum(F.size("loop")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.size("loop"))
+    none, no_place = [F.lit(None).cast("long").alias(c) for c in "abc"], [F.lit(None).cast("double").alias(c) for c in "xyz"]
+    fan = ided.select("mesh_id", "first", "centre", "loop", F.posexplode("loop").alias("k", "a"))
+    b = F.element_at("loop", (F.col("k") + 1) % F.size("loop") + 1)
+    return ided.select("mesh_id", F.lit("v").alias("kind"), F.col("centre").alias("id"), "x", "y", "z", *none).unionByName(fan.select("mesh_id", F.lit("f").alias("kind"), (F.col("first") + F.col("k")).alias("id"), *no_place, "a", b.alias("b"), F.col("centre").alias("c")))
 
 
 def closed(vertices: DataFrame, faces: DataFrame, onto: tuple | None = None) -> tuple[DataFrame, DataFrame]:
