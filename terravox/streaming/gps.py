@@ -35,20 +35,40 @@ def seals(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").schema("index int, rootHash string, prevSealHash string, author string, wallClockMs long").json(folder)
 
 
-def chain_faults(stream: DataFrame, by: str = "bundle_id") -> DataFrame:
-    """Per bundle, with state: seals whose predecessor's hash is not the one before. stream: bundle_id, index, own, previous."""
+def chain_faults(stream: DataFrame, by: str = "bundle_id", late: str = "10 minutes") -> DataFrame:
+    """Per bundle, with state, each seal's link: ok, broken (its predecessor's hash is not the one before) or repeated. stream: bundle_id, index, own, previous, ts.
+
+    Seals may come out of order: one waits in the state for those before it. Once the
+    watermark (`late` behind the newest ts) has passed a bundle's newest seal, what waits is
+    given, a gap before a seal being a broken link. The state of a bundle is its
+    place, a hash, its newest time and what waits. A seal behind the watermark is dropped.
+    """
+    import json
+
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def check(key, batches, state: GroupState):
-        last = state.get[0] if state.exists else None
-        first = not state.exists
+        place, last, newest, waiting = state.get if state.exists else (0, None, 0, "[]")
+        held = {w[0]: w for w in json.loads(waiting)}
         out = []
-        for row in pd.concat(list(batches)).sort_values("index").itertuples(index=False):
-            previous = None if pd.isna(row.previous) else row.previous
-            out.append((key[0], int(row.index), "ok" if previous == (None if first else last) else "broken"))
-            first, last = False, row.own
-        state.update((last,))
+        if not state.hasTimedOut:
+            for pdf in batches:
+                newest = max([newest, *(int(t.timestamp() * 1000) for t in pdf["ts"])])
+                for index, own, previous in zip(pdf["index"], pdf["own"], pdf["previous"], strict=True):
+                    if index < place or index in held:
+                        out.append((key[0], int(index), "repeated"))
+                    else:
+                        held[int(index)] = [int(index), own, None if pd.isna(previous) else previous]
+        for index in sorted(held):
+            if index != place and not state.hasTimedOut:
+                break
+            _, own, previous = held.pop(index)
+            out.append((key[0], index, "ok" if index == place and previous == last else "broken"))
+            place, last = index + 1, own
+        state.update((place, last, newest, json.dumps([held[i] for i in sorted(held)])))
+        if held:
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=[by, "index", "link"])
 
-    return stream.groupBy(by).applyInPandasWithState(check, f"{by} string, index int, link string", "last string", "append", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark("ts", late).groupBy(by).applyInPandasWithState(check, f"{by} string, index int, link string", "place int, last string, newest long, waiting string", "append", GroupStateTimeout.EventTimeTimeout)

@@ -69,3 +69,18 @@ def test_streams(spark, tmp_path):
     q = gps.gate(gps.fixes(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("gate").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("gate").filter(F.col("accepted")).count() == 5
+
+
+def test_seals_may_come_late(spark, tmp_path):
+    """A seal waits for the one before it; what still waits when the watermark has passed is a broken link."""
+    schema = "bundle_id string, index int, own string, previous string, ts timestamp"
+    at = lambda minute: datetime.datetime(2026, 1, 1, 0, minute)
+    batches = [[("b", 0, "h0", None, at(0)), ("b", 2, "h2", "h1", at(1)), ("c", 0, "k0", "x", at(0)), ("c", 2, "k2", "k1", at(1))], [("b", 1, "h1", "h0", at(2)), ("b", 3, "h3", "h9", at(40)), ("b", 1, "h1", "h0", at(3))]]
+    folder = tmp_path / "in"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(folder))
+        faults = gps.chain_faults(spark.readStream.schema(schema).json(str(folder)))
+        q = faults.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(150)
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("bundle_id", "index", "link").collect())
+    assert got == [("b", 0, "ok"), ("b", 1, "ok"), ("b", 1, "repeated"), ("b", 2, "ok"), ("b", 3, "broken"), ("c", 0, "broken"), ("c", 2, "broken")]
