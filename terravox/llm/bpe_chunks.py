@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, text_or_empty
+from .common import bounded_batches, text_or_empty, tidied
 
 
 class ChunkCodec:
@@ -85,13 +85,11 @@ _PIECE = "struct<ids:binary,decoded:binary>"
 
 
 def _encoded(ranks_path: str, pattern: str, limit: int):
-    @F.pandas_udf(_PIECE)
-    def encoded(texts):
-        import pandas as pd
-
+    @F.arrow_udf(_PIECE)
+    def encoded(texts: pa.Array) -> pa.Array:
         c = codec(ranks_path, pattern)
-        ids = [c.encode(t, limit) for t in texts]
-        return pd.DataFrame({"ids": [i.tobytes() for i in ids], "decoded": [c.decode(i) for i in ids]})
+        ids = [c.encode(t, limit) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([c.decode(i) for i in ids], pa.binary())], names=["ids", "decoded"])
 
     return encoded
 
@@ -124,7 +122,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 1 <<
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] + ([T.StructField("ids", T.BinaryType())] if with_ids else []))
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     whole = chunk + overlap
-    short = rows.filter(F.length("text") <= whole).mapInArrow(_digests(ranks_path, pattern, whole, schema, with_ids), schema)
+    short = rows.filter(F.length("text") <= whole).mapInArrow(tidied(_digests(ranks_path, pattern, whole, schema, with_ids)), schema)
     return short.unionByName(_long_texts(rows.filter(F.length("text") > whole), ranks_path, pattern, chunk, overlap, with_ids))
 
 
@@ -136,12 +134,10 @@ def cut_pieces(rows: DataFrame, ranks_path: str, pattern: str, chunk: int, overl
         "doc_id", "row", F.length("text").alias("length"), "text", F.explode(F.sequence(F.lit(0), F.expr(f"int((length(text) - {overlap} - 1) / {chunk})"))).alias("k")
     ).select("doc_id", "row", "length", "k", F.expr(f"substring(text, k * {chunk} + 1, {chunk + overlap})").alias("text"))
 
-    @F.pandas_udf("struct<head:array<int>,tail:array<int>,sure:int>")
-    def edges(texts, ks):
-        import pandas as pd
-
+    @F.arrow_udf("struct<head:array<int>,tail:array<int>,sure:int>")
+    def edges(texts: pa.Array, ks: pa.Array) -> pa.Array:
         c, heads, tails, sures = codec(ranks_path, pattern), [], [], []
-        for t, k in zip(texts, ks, strict=True):
+        for t, k in zip(texts.to_pylist(), ks.to_pylist(), strict=True):
             at = [b for b in c.boundaries(t) if cuttable(t, b)]
             k0 = int(k) * chunk
             heads.append([k0 + b for b in at if b < overlap] if k else [])
@@ -149,13 +145,12 @@ def cut_pieces(rows: DataFrame, ranks_path: str, pattern: str, chunk: int, overl
             tails.append([k0 + b for b in at[:-1] if b >= chunk])
             sure = c.sure.search(t, 1) if k else None
             sures.append(k0 + sure.start() if sure and sure.start() < overlap and sure.start() < len(t) else None)
-        return pd.DataFrame({"head": heads, "tail": tails, "sure": pd.array(sures, "Int32")})
-
-    @F.pandas_udf("int")
-    def agreed(tails, heads):
-        import pandas as pd
+        lists = pa.list_(pa.int32())
+        return pa.StructArray.from_arrays([pa.array(heads, lists), pa.array(tails, lists), pa.array(sures, pa.int32())], names=["head", "tail", "sure"])
 
-        return pd.Series([stitch([] if t is None else list(t), list(h)) for t, h in zip(tails, heads, strict=True)], dtype="Int32")
+    @F.arrow_udf("int")
+    def agreed(tails: pa.Array, heads: pa.Array) -> pa.Array:
+        return pa.array([stitch(t or [], h) for t, h in zip(tails.to_pylist(), heads.to_pylist(), strict=True)], pa.int32())
 
     by_row = Window.partitionBy("row").orderBy("k")
     # The chunks of one text are dealt over all tasks, by row and number.

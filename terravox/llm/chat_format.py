@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, stored, tidied
 
 #: Control strings that texts may not hold bare: this template's and common others'.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -135,7 +135,7 @@ def format_conversations(rows: DataFrame, tokenizer_path: str, learn: str = "ass
         if out:
             yield _batch(out)
 
-    return ordered.mapInArrow(run, _FORMATTED)
+    return ordered.mapInArrow(tidied(run), _FORMATTED)
 
 
 def _batch(out) -> pa.RecordBatch:
@@ -167,7 +167,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * len(_READ)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if "sha" in f.name else pa.int64()) for c, f in zip(columns, _READ, strict=True)], names=[f.name for f in _READ])
 
-    return formatted.mapInArrow(run, _READ)
+    return formatted.mapInArrow(tidied(run), _READ)
 
 
 def chat_digests(rows: DataFrame, tokenizer_path: str) -> DataFrame:

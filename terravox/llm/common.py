@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +76,22 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def tidied(run):
+    """A mapInArrow function that gives memory back when its partition is done: workers live on, and an executor's memory is shared by all that ever ran."""
+
+    def whole(batches):
+        yield from run(batches)
+        import ctypes
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return whole
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -169,6 +186,4 @@ def in_chunks(texts: list[bytes], max_bytes: int = 1 << 20):
 
 def utf8_list(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes; null becomes empty."""
-    import pyarrow as pa
-
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

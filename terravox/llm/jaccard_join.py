@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import near
-from .common import bounded_batches, drop_scratch, few, hashed_words, in_chunks, shingle_hashes, stored, text_key, text_or_empty, utf8_list
+from .common import bounded_batches, drop_scratch, few, hashed_words, in_chunks, shingle_hashes, stored, text_key, text_or_empty, tidied, utf8_list
 
 COORDINATES = 24
 #: Coordinates that two signatures must share.
@@ -66,7 +66,7 @@ def signatures(docs: DataFrame, width: int = 5, coordinates: int = COORDINATES)
                         sig[i] = v
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sig, pa.list_(pa.int32()))], names=[f.name for f in schema])
 
-    return bounded_batches(docs).select(F.col("doc_id").cast("long"), text_key().alias("sid"), text_or_empty().alias("text")).mapInArrow(run, schema)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), text_key().alias("sid"), text_or_empty().alias("text")).mapInArrow(tidied(run), schema)
 
 
 def row_key(doc_id, sid):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.mesh import labelled
-from .common import bounded_batches, hashed_words, in_chunks, shingle_hashes, utf8_list
+from .common import bounded_batches, hashed_words, in_chunks, shingle_hashes, tidied, utf8_list
 
 #: Sets in a block.
 BLOCK = 256
@@ -48,7 +48,7 @@ def shingle_sets(rows: DataFrame, width: int = 5) -> DataFrame:
                 sets = [np.unique(runs[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["sid", "shingles"])
 
-    return bounded_batches(rows).select("sid", "text").mapInArrow(run, "sid binary, shingles binary").groupBy("sid").agg(F.first("shingles").alias("shingles"))
+    return bounded_batches(rows).select("sid", "text").mapInArrow(tidied(run), "sid binary, shingles binary").groupBy("sid").agg(F.first("shingles").alias("shingles"))
 
 
 def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -150,7 +150,7 @@ def plausible(leaves: DataFrame, signatures: DataFrame, agree: int) -> DataFrame
         if parts:
             yield _members(hits())
 
-    return bounded_batches(spread).mapInArrow(run, "bucket long, sid binary").distinct()
+    return bounded_batches(spread).mapInArrow(tidied(run), "bucket long, sid binary").distinct()
 
 
 def _members(rows) -> pa.RecordBatch:
@@ -201,7 +201,7 @@ def verified(leaves: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         if out:
             yield _edges(out)
 
-    return bounded_batches(spread).mapInArrow(run, "sid binary, root binary, links long")
+    return bounded_batches(spread).mapInArrow(tidied(run), "sid binary, root binary, links long")
 
 
 def _edges(rows) -> pa.RecordBatch:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import near
-from .common import bounded_batches, drop_scratch, few, hashed_words, in_chunks, mix64, shingle_hashes, stored, text_or_empty, utf8_list
+from .common import bounded_batches, drop_scratch, few, hashed_words, in_chunks, mix64, shingle_hashes, stored, text_or_empty, tidied, utf8_list
 
 
 def tune(similarity: float, recall: float, unlike: float = 0.2, false: float = 0.1) -> tuple[int, int]:
@@ -84,7 +84,7 @@ def windows(docs: DataFrame) -> DataFrame:
                 take = pa.array(text + lo)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int32()) for x in (start, end, first)), pa.array(unit.view(np.int64))], names=["d", "tk", "start", "end", "first_word", "unit"])
 
-    return bounded_batches(docs).select("d", "tk", "text").mapInArrow(run, _WINDOWS)
+    return bounded_batches(docs).select("d", "tk", "text").mapInArrow(tidied(run), _WINDOWS)
 
 
 def _windows(texts: list[bytes]):
@@ -114,7 +114,7 @@ def paragraphs(docs: DataFrame, bands: int, rows: int, least: int, width: int =
                 take = pa.array(text + lo)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int32()) for x in (start, end, words, first)), pa.array(unit.view(np.int64)), pa.array(unit2.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=[f.name for f in _UNITS])
 
-    return bounded_batches(docs).select("d", "tk", "text").mapInArrow(run, _UNITS)
+    return bounded_batches(docs).select("d", "tk", "text").mapInArrow(tidied(run), _UNITS)
 
 
 def _units(texts: list[bytes], bands: int, rows: int, least: int, width: int):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, few, hashed_words, in_chunks, shingle_hashes, stored, utf8_list
+from .common import bounded_batches, few, hashed_words, in_chunks, shingle_hashes, stored, tidied, utf8_list
 
 SYMBOLS = "#*$%&|<>"
 
@@ -97,7 +97,7 @@ def count_ngrams(docs: DataFrame, trusted: DataFrame, buckets: int, at_once: int
         if size:
             yield counted(parts)
 
-    sums = marked.select("text", F.coalesce("__t", F.lit(False))).mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    sums = marked.select("text", F.coalesce("__t", F.lit(False))).mapInArrow(tidied(run), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     rows = sums.toArrow()  # at most `buckets` rows
     raw, target = np.zeros(buckets), np.zeros(buckets)
     at = rows["bucket"].to_numpy()
@@ -147,7 +147,7 @@ def score_documents(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                     names=[f.name for f in _SCHEMA],
                 )
 
-    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SCHEMA)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), _SCHEMA)
 
 
 def bounded_sample(ids: DataFrame, most: int) -> DataFrame:

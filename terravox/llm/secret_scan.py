@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, in_chunks, text_or_empty
+from .common import bounded_batches, in_chunks, text_or_empty, tidied
 
 
 @dataclass(frozen=True)
@@ -247,7 +247,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 names=[f.name for f in _SCAN_SCHEMA],
             )
 
-    return bounded_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, _SCAN_SCHEMA)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(tidied(run), _SCAN_SCHEMA)
 
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -274,4 +274,4 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
                 columns[c] = pa.array([old if t is None or not f else len(t) for old, t, f in zip(columns[c].to_pylist(), new, found, strict=True)], columns[c].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return bounded_batches(docs).mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(tidied(run), docs.schema)

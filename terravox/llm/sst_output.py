@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, scratch_path, text_or_empty
+from .common import bounded_batches, scratch_path, text_or_empty, tidied
 
 MAGIC = b"TVXSST01"
 _FOOTER = struct.Struct("<QQQQQQBBI8s")  # entries, ids, index place, blocks, bloom place, bloom bytes, id width, hashes, crc, magic
@@ -323,7 +323,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, target: str, end_id
         size = store.get_file_info(final).size
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int64()), (f"shard-{shard:06d}.sst", pa.string()), (size, pa.int64()), (writer.entries, pa.int64()), (writer.ids, pa.int64()))], names=[f.name for f in _WRITTEN])
 
-    return dealt.mapInArrow(run, _WRITTEN)
+    return dealt.mapInArrow(tidied(run), _WRITTEN)
 
 
 _READ = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
@@ -346,7 +346,7 @@ def read_token_shards(written: DataFrame, target: str, base: dict[int, int], bat
                             rows = []
                     yield _rows(rows)
 
-    return written.select("shard", "file", "bytes").repartition(max(1, len(base))).mapInArrow(run, _READ)
+    return written.select("shard", "file", "bytes").repartition(max(1, len(base))).mapInArrow(tidied(run), _READ)
 
 
 def _rows(rows) -> pa.RecordBatch:

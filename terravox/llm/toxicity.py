@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, in_chunks, text_or_empty, utf8_list
+from .common import bounded_batches, in_chunks, text_or_empty, tidied, utf8_list
 from .quality_ratio import bounded_sample
 
 #: Bytes of a window; of the windows that the ordinary dictionary is trained on; of a dictionary; neighbours that must be new in a toxic sample.
@@ -225,7 +225,7 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s.score(utf8_list(batch.column(2))))], names=[f.name for f in _SCORES])
 
-    scored = bounded_batches(docs).select(F.col("doc_id").cast("long"), held_out().alias("held_out"), text_or_empty().alias("text")).mapInArrow(run, _SCORES)
+    scored = bounded_batches(docs).select(F.col("doc_id").cast("long"), held_out().alias("held_out"), text_or_empty().alias("text")).mapInArrow(tidied(run), _SCORES)
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
@@ -238,4 +238,4 @@ def without_toxic(docs: DataFrame, model: Model, cut: float = 0.7) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(s.score(utf8_list(batch.column(at))) < cut))
 
-    return bounded_batches(docs).mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(tidied(run), docs.schema)
