@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, chat_format, decontaminate, jaccard_join, paragraph_dedup, quality_ratio, secret_scan, sst_output, toxicity, url_filter
+from . import bpe_chunks, chat_format, decontaminate, hard_negatives, jaccard_join, merkle_manifest, neighbour_quality, paragraph_dedup, quality_ratio, secret_scan, sst_output, toxicity, url_filter
 from .common import table
 
 
@@ -62,7 +62,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sst_shards, op2_secret_scan, op3_url_filter, op4_paragraph_dedup, op5_decontaminate, op6_quality_ratio, op7_bpe_chunks, op8_toxicity, op9_chat_format, op10_jaccard_join)}
+def op11_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return neighbour_quality.quality_scores(docs, neighbour_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.merkle_proofs(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sst_shards, op2_secret_scan, op3_url_filter, op4_paragraph_dedup, op5_decontaminate, op6_quality_ratio, op7_bpe_chunks, op8_toxicity, op9_chat_format, op10_jaccard_join, op11_neighbour_quality, op12_merkle_manifest, op13_hard_negatives)}
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
@@ -115,4 +128,27 @@ its as (select r, count(*) as n_items, string_agg(id, ',' order by id) as ids fr
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
        sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated, coalesce(n_near, 0)::bigint as n_near
 from d left join pos using (r) left join its using (r) left join nr using (r)""",
+    "op12_merkle_manifest": """
+with recursive x as (select *, unnest([0, 1]) as v from documents),
+lf as (select doc_id, lang, v, sha256(coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+ || coalesce(strlen((n_chars + v)::varchar) || ':' || (n_chars + v), '-') || coalesce(strlen(text) || ':' || text, '-')) as h from x),
+le as (select a.doc_id, a.lang, a.h as leaf, b.h as changed, row_number() over (partition by a.lang order by a.doc_id) - 1 as i, count(*) over (partition by a.lang) as n from lf a join lf b on a.doc_id = b.doc_id and a.v = 0 and b.v = 1),
+lv as (select lang, 0 as l, i, leaf as h, n from le union all select lang, l + 1, i // 2, sha256(string_agg(h, '' order by i)), (any_value(n) + 1) // 2 from lv where n > 1 group by lang, l, i // 2),
+sr as (select lang, h, row_number() over (order by lang nulls first) - 1 as g, count(*) over () as m from lv where n = 1),
+tp as (select 0 as l, g as i, h, m as n from sr union all select l + 1, i // 2, sha256(string_agg(h, '' order by i)), (any_value(n) + 1) // 2 from tp where n > 1 group by l, i // 2),
+nd as (select g, l, i, lv.h, n from lv join sr using (lang) union all select -1, l, i, h, n from tp),
+lc as (select doc_id, leaf, case when crc % 7 = 0 then changed else leaf end as f0, sr.h as subroot, g, i from (select *, xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+ lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: xor(c >> 1, (c & 1) * 3988292384))), 4294967295) as crc from le) join sr using (lang)),
+up as (select doc_id, g as tree, g, 0 as l, i, f0 as f, '' as p, false as top from lc union all
+ select u.doc_id, case when me.n = 1 then -1 else u.tree end, u.g, case when me.n = 1 then 0 else u.l + 1 end, case when me.n = 1 then u.g else u.i // 2 end,
+ case when me.n = 1 then u.f when s.h is null then sha256(u.f) when u.i % 2 = 1 then sha256(s.h || u.f) else sha256(u.f || s.h) end, u.p || case when me.n = 1 then '' else coalesce(s.h, '') end, me.n = 1 and u.tree = -1
+ from up u join nd me on me.g = u.tree and me.l = u.l and me.i = u.i left join nd s on s.g = u.tree and s.l = u.l and s.i = xor(u.i, 1) where not u.top)
+select doc_id, leaf, subroot, (select h from tp where n = 1) as root, sha256(p) as proof_sha256, f as folded_root, f = (select h from tp where n = 1) as verified from up join lc using (doc_id) where top""",
+    "op13_hard_negatives": """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+ from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, r.vec_id, r.label = a.label as same, list_dot_product(a.v, r.v)::bigint as score from e a join e r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::integer as rank, vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score qualify rank <= 10""",
 }
