@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..errors import CustodyError
 from ..functions import canonical as C
+from ..sources.hashes import hashed
 
 
 def is_content(path):
@@ -22,12 +23,8 @@ def is_content(path):
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """relative_path, bytes, sha256 of every regular file under root."""
-    base = root.rstrip("/") + "/"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
-    rel = F.expr(f"substring(p, {len('/' + base.split(':', 1)[-1].lstrip('/')) + 1})")
-    return found.withColumn("p", path).select(rel.alias("relative_path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """relative_path, bytes, sha256 of every regular file under root; a task feeds a file to the hash a mebibyte at a time, so it may be of any size."""
+    return hashed(spark, root)
 
 
 def manifest(found: DataFrame) -> DataFrame:

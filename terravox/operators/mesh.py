@@ -9,22 +9,27 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import MeshError, SpatialError
 from ..functions import vectors as V
 
 
-def scratch(df: DataFrame, label: str) -> DataFrame:
-    """df as a written table in the cluster's shared folder; on one machine without such a folder, in the warehouse."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the cluster's shared folder; on one machine without such a folder, in the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise SpatialError("spark.checkpoint.dir names no shared folder")
         root = spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/terravox-{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/terravox-{label}-{uuid.uuid4().hex}"
+
+
+def scratch(df: DataFrame, label: str) -> DataFrame:
+    """df as a written table at a scratch path."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

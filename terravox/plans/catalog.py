@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canonical as C
@@ -14,29 +11,7 @@ from ..functions import vectors as V
 from ..operators import custody, fit, mesh, positioning, registration, segmentation, store, stratigraphy, volume
 from ..sources import meshfiles, records
 from . import adapters as A
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded and without a negative zero, as the SQL has them."""
-    return df.select(*((F.round(F.col(c), digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
-
-
-def r(expr: str, name: str, digits: int = 6) -> str:
-    return f"round({expr}, {digits}) + 0e0 as {name}"
-
+from .registry import query, r, rounded
 
 UP = ((0.0, 0.5, 0.0), (0.0, 1.0, 0.0))
 #: i and j run along z and x for a level plane.

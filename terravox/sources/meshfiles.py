@@ -20,7 +20,7 @@ from ..operators.mesh import scratch, whole_meshes
 
 _FACE = np.dtype([("n", "u1"), ("v", "<i4", 3)])
 _STL = np.dtype([("n", "<f4", 3), ("v", "<f4", 9), ("attr", "<u2")])
-_LAS = np.dtype([("xyz", "<i4", 3), ("intensity", "<u2"), ("returns", "u1"), ("flags", "u1"), ("klass", "u1"), ("user", "u1"), ("angle", "<i2"), ("source", "<u2"), ("time", "<f8")])
+_LAS = np.dtype([("xyz", "<i4", 3), ("intensity", "<u2"), ("returns", "u1"), ("klass", "u1"), ("angle", "i1"), ("user", "u1"), ("source", "<u2"), ("rgb", "<u2", 3)])
 
 
 def ply_bytes(xyz: np.ndarray, tri: np.ndarray) -> bytes:
@@ -77,23 +77,43 @@ def wkt(epsg: int) -> str:
     return f'PROJCS["{name}",GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433]],PROJECTION["Transverse_Mercator"],PARAMETER["latitude_of_origin",0],PARAMETER["central_meridian",{meridian}],PARAMETER["scale_factor",0.9996],PARAMETER["false_easting",500000],PARAMETER["false_northing",10000000],UNIT["metre",1],AUTHORITY["EPSG","{epsg}"]]'
 
 
-def las_bytes(xyz: np.ndarray, utm: dict | None, day: int = 1, year: int = 2000) -> bytes:
-    """LAS 1.4, point format 1, millimetre grid about the UTM place; equal positions once, in first order."""
+#: The millimetre grid and the point format (positions and colour) of LAS files.
+LAS_SCALE, LAS_FORMAT = 0.001, 2
+
+
+def las_place(utm: dict | None) -> np.ndarray:
     if utm is None:
         raise ExportError("missing UTM coordinate")
-    _, first = np.unique(xyz, axis=0, return_index=True)
-    p = xyz[np.sort(first)] + np.array([utm["easting"], utm["northing"], utm.get("height", 0.0)])
-    offset, scale = np.floor(p.min(0)) if len(p) else np.zeros(3), 0.001
-    points = np.zeros(len(p), _LAS)
-    points["xyz"] = np.trunc(np.round((p - offset) / scale, 6))
-    points["returns"] = 0x09
+    return np.array([utm["easting"], utm["northing"], utm.get("height", 0.0)])
+
+
+def las_head(n: int, lo: np.ndarray, hi: np.ndarray, utm: dict, day: int = 1, year: int = 2000) -> bytes:
+    """Header and projection record of n points within lo and hi, on a grid that starts at the UTM place."""
+    if not n:
+        raise ExportError("no points")
     record = wkt(utm["epsg"]).encode() + b"\0"
-    vlr = struct.pack("<H16sHH32s", 0, b"LASF_Projection", 2112, len(record), b"OGC WKT") + record
-    lo, hi = (p.min(0), p.max(0)) if len(p) else (np.zeros(3), np.zeros(3))
-    head = struct.pack("<4sHHIHH8sBB32s32sHHHIIBHI5I", b"LASF", 0, 0x10, 0, 0, 0, b"\0" * 8, 1, 4, b"terravox", b"terravox", day, year, 375, 375 + len(vlr), 1, 1, _LAS.itemsize, len(p) if len(p) < 1 << 32 else 0, *([len(p)] + [0] * 4))
-    head += struct.pack("<12d", scale, scale, scale, *offset, hi[0], lo[0], hi[1], lo[1], hi[2], lo[2])
-    head += struct.pack("<QQIQ15Q", 0, 0, 0, len(p), *([len(p)] + [0] * 14))
-    return head + vlr + points.tobytes()
+    vlr = struct.pack("<H16sHH32s", 0, b"LASF_Projection", 2112, len(record), b"OGC WKT CRS") + record
+    legacy = n if n < 1 << 32 else 0
+    head = struct.pack("<4sHHIHH8sBB32s32sHHHIIBHI5I", b"LASF", 0, 0x10, 0, 0, 0, b"\0" * 8, 1, 4, b"terravox", b"terravox", day, year, 375, 375 + len(vlr), 1, LAS_FORMAT, _LAS.itemsize, legacy, legacy, 0, 0, 0, 0)
+    head += struct.pack("<12d", LAS_SCALE, LAS_SCALE, LAS_SCALE, *las_place(utm), hi[0], lo[0], hi[1], lo[1], hi[2], lo[2])
+    return head + struct.pack("<QQIQ15Q", 0, 0, 0, n, n, *[0] * 14) + vlr
+
+
+def las_records(xyz: np.ndarray) -> bytes:
+    """Records of places about the UTM place, in whole millimetres towards it."""
+    points = np.zeros(len(xyz), _LAS)
+    points["xyz"] = np.trunc(np.round(xyz / LAS_SCALE, 6))
+    points["returns"] = 0x09
+    return points.tobytes()
+
+
+def las_bytes(xyz: np.ndarray, utm: dict | None, day: int = 1, year: int = 2000) -> bytes:
+    """LAS 1.4, point format 2, millimetre grid about the UTM place; equal positions once, in first order; a cloud without points is refused."""
+    place = las_place(utm)
+    _, first = np.unique(xyz, axis=0, return_index=True)
+    p = xyz[np.sort(first)]
+    lo, hi = (p.min(0) + place, p.max(0) + place) if len(p) else (place, place)
+    return las_head(len(p), lo, hi, utm, day, year) + las_records(p)
 
 
 def encoded(vertices: DataFrame, faces: DataFrame, form: str = "ply") -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from terravox.plans import catalog
+from terravox.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -28,11 +28,11 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_oracle(spark, sf_dir, duck, name):
-    df = catalog.QUERIES[name](spark, sf_dir)
+    df = registry.QUERIES[name](spark, sf_dir)
     got = df.collect()
-    cursor = duck.execute(catalog.ORACLE_SQL[name])
+    cursor = duck.execute(registry.ORACLE_SQL[name])
     names = [c[0] for c in cursor.description]
     assert sorted(names) == sorted(df.columns)
     order = sorted(names)
@@ -41,9 +41,9 @@ def test_oracle(spark, sf_dir, duck, name):
     assert mine == theirs
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES.keys() - catalog.ORACLE_SQL.keys()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES.keys() - registry.ORACLE_SQL.keys()))
 def test_runs(spark, sf_dir, name):
-    assert catalog.QUERIES[name](spark, sf_dir).count() > 0
+    assert registry.QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_entry():
