@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_scratch, stored
 
-#: Dimensions between two prunings; a pair of FEW left is scored at once; rows and anchors that are scored together.
-CHUNK, FEW, ROWS, ANCHORS = 8, 16, 4096, 256
+#: Dimensions whose postings are one list, after which pairs are pruned; a pair of FEW left is scored at once; rows and anchors that are scored together.
+CHUNK, FEW, ROWS, ANCHORS = 16, 16, 4096, 256
 #: A window's ends, in hundredths of the positive's score.
 LOWEST, HIGHEST = 30, 90
 
@@ -64,7 +64,7 @@ def wide(x: np.ndarray, dims: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Postings of a batch of rows: for each dimension the rows that have it in the index, and their values there."""
+    """Postings of a batch of rows: for each CHUNK of dimensions the rows that have some of them in the index, and their values there (0 where they have not)."""
 
     rows: np.ndarray
     norms: np.ndarray  # of each row's dimensions before each one
@@ -82,7 +82,11 @@ def indexed(rows: np.ndarray, least: float, longest: float) -> Index:
     norms = norms_before(rows)
     out = (norms[:, 1:] * longest < least).sum(1)
     held = (rows != 0) & (np.arange(rows.shape[1]) >= out[:, None])
-    return Index(rows, norms, out, [(at := np.flatnonzero(held[:, d]), rows[at, d]) for d in range(rows.shape[1])])
+    lists = []
+    for d in range(0, rows.shape[1], CHUNK):
+        at = np.flatnonzero(held[:, d : d + CHUNK].any(1))
+        lists.append((at, np.where(held[at, d : d + CHUNK], rows[at, d : d + CHUNK], 0).T))
+    return Index(rows, norms, out, lists)
 
 
 def reaching(index: Index, anchors: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,13 +95,13 @@ def reaching(index: Index, anchors: np.ndarray, thresholds: np.ndarray) -> tuple
     partial, left = np.zeros((len(anchors), n)), norms_before(anchors)
     below, least = int(index.first.max(initial=0)), thresholds[:, None]
     alive = np.ones((len(anchors), n), bool)
-    for d in range(dims - 1, -1, -1):
-        at, values = index.postings[d]
+    for d in range((dims - 1) // CHUNK * CHUNK, -1, -CHUNK):
+        at, values = index.postings[d // CHUNK]
         if len(at) == n:
-            partial += anchors[:, d, None] * values
+            partial += anchors[:, d : d + CHUNK] @ values
         elif len(at):
-            partial[:, at] += anchors[:, d, None] * values
-        if d % CHUNK == 0 and d >= below:
+            partial[:, at] += anchors[:, d : d + CHUNK] @ values
+        if d >= below:
             alive &= partial + left[:, d, None] * index.norms[:, d] >= least
             if alive.sum() * FEW < alive.size:
                 break  # few enough to be scored one by one
