@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..errors import GeometryError, StratigraphyError
 from ..functions import vectors as V
@@ -135,34 +136,82 @@ def scored(points: DataFrame, hypotheses: list[tuple], threshold: float) -> Data
     return each.groupBy("hid").agg(F.sum((d <= threshold).cast("long")).alias("inliers"), F.sum(F.least(d * d, F.lit(t2))).alias("msac"))
 
 
-def ransac_plane(points: DataFrame, order: str, iterations: int = 500, threshold: float = 0.02, least: int = 50, constraint: str = "none", tilt: float = 0.0, near=None, seed: int = 42) -> dict:
-    """Plane of the best MSAC score among seeded hypotheses, refined by least squares on its inliers.
+def hypotheses(points: DataFrame, order: str, n: int, constraint: str = "none", tilt: float = 0.0, near=None, seed: int = 42) -> list[tuple]:
+    """(hid, px, py, pz, nx, ny, nz) of those of n seeded draws that make a plane which meets the constraint.
 
-    Triples are drawn from 3 * iterations points, those of the smallest seeded hash
-    of `order`; all hypotheses that meet the constraint are scored in one job over
-    all points. The draw is the same for the same seed.
+    Triples are drawn from 3 * n points, those of the smallest md5 of seed and `order`.
+    Where points have normals (nx, ny, nz), only those whose normal meets the
+    constraint are drawn from, if there are three of them.
     """
-    drawn = points.select("x", "y", "z", order).orderBy(F.xxhash64(F.lit(seed), order), order).limit(3 * iterations).collect()
+    pool = points
+    if "nx" in points.columns and constraint != "none":
+        fits = points.filter(_column_meets(constraint, tilt, near))
+        pool = fits if len(fits.limit(3).collect()) == 3 else points
+    text = F.col(order).cast("string") if not isinstance(points.schema[order].dataType, StructType) else F.concat_ws(",", *(F.col(f"{order}.{f}").cast("string") for f in points.schema[order].dataType.names))
+    drawn = pool.select("x", "y", "z", order).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), text)), order).limit(3 * n).collect()
     if len(drawn) < 3:
         raise GeometryError("too few points")
-    draws = (V.splitmix64(seed, 3 * iterations) % np.uint64(len(drawn))).astype(np.int64).reshape(-1, 3)
+    draws = (V.splitmix64(seed, 3 * n) % np.uint64(len(drawn))).astype(np.int64).reshape(-1, 3)
     place = [(r.x, r.y, r.z) for r in drawn]
-    rows = []
+    out = []
     for i, (a, b, c) in enumerate(draws):
         made = plane_through(place[a], place[b], place[c]) if len({a, b, c}) == 3 else None
         if made and _meets(made[1], constraint, tilt, near):
-            rows.append((i, *map(float, made[0]), *map(float, made[1])))
-    if not rows:
-        raise GeometryError("no consensus")
-    best = scored(points, rows, threshold).filter(F.col("inliers") >= least).orderBy("msac", "hid").first()
-    if best is None:
+            out.append((i, *map(float, made[0]), *map(float, made[1])))
+    return out
+
+
+#: Hypotheses that the first round scores; each round after it scores twice as many.
+FIRST_ROUND = 32
+
+
+def ransac_plane(points: DataFrame, order: str, iterations: int = 500, threshold: float = 0.02, least: int = 50, constraint: str = "none", tilt: float = 0.0, near=None, seed: int = 42, scoring: str = "msac", confidence: float | None = None) -> dict:
+    """Plane of the best score among seeded hypotheses, refined by least squares on its inliers.
+
+    scoring: msac, the least sum of squared distances cut at the threshold, or inliers,
+    the greatest count; the first of equally good hypotheses wins. confidence: if given, draws end
+    once as many were made as find a plane of the best one's share of inliers, w, with
+    that chance: log(1 - confidence) / log(1 - w**3). Rounds score many hypotheses at once,
+    in one job over all points each, and are then gone through in order, so the result is
+    that of one after another.
+    """
+    if scoring not in ("msac", "inliers"):
+        raise GeometryError(f"unknown scoring {scoring}")
+    rows, total = hypotheses(points, order, iterations, constraint, tilt, near, seed), None
+    best, share, until, done, size = None, 0.0, iterations, 0, FIRST_ROUND if confidence else len(rows)
+    while done < len(rows) and rows[done][0] < until:
+        batch = rows[done : done + size]
+        got = {r.hid: r for r in scored(points, batch, threshold).collect()}
+        if total is None and confidence:
+            total = points.count()
+            share = min(0.999, max(1, least) / total)
+        for h in batch:
+            if h[0] >= until:
+                break
+            r = got[h[0]]
+            value = (r.msac if scoring == "msac" else -r.inliers, h[0])
+            if best is None or value < best[0]:
+                best = value, h, r
+                if confidence:
+                    share = max(share, r.inliers / total)
+                    chance = np.log1p(-(share**3)) if share < 1 else -np.inf
+                    until = min(iterations, max(1, int(np.log1p(-confidence) / chance))) if chance < 0 else iterations
+        done, size = done + size, 2 * size
+    if best is None or best[2].inliers < least:
         raise GeometryError("no consensus")
-    raw = next(r for r in rows if r[0] == best.hid)
+    _, raw, won = best
     inside = points.filter(F.abs(V.plane_distance(V.p(), raw[1:4], raw[4:7])) <= threshold)
     fine = plane(inside)
     if not _meets(fine["normal"], constraint, tilt, near):
         fine |= {"point": raw[1:4], "normal": raw[4:7]}
-    return fine | {"inliers": best.inliers, "msac": best.msac}
+    return fine | {"inliers": won.inliers, "msac": won.msac, "hid": raw[0], "raw": raw[1:], "iterations": min(until, iterations)}
+
+
+def _column_meets(constraint: str, tilt: float, near):
+    """Whether a point's normal meets the constraint; a normal need not have length one."""
+    n = V.normalized(V.p("n"))
+    c, s = float(np.cos(np.radians(tilt))), float(np.sin(np.radians(tilt)))
+    return {"horizontal": lambda: F.abs(n[1]) >= c, "vertical": lambda: F.abs(n[1]) <= s, "near": lambda: F.abs(V.dot(n, V.lit3(near))) >= c}[constraint]()
 
 
 def _meets(n, constraint: str, tilt: float, near) -> bool:

@@ -185,11 +185,44 @@ def decimated(vertices: DataFrame, faces: DataFrame, size: float) -> tuple[DataF
     return new.drop("key"), remapped(faces, names)
 
 
-def merged(vertices: DataFrame, faces: DataFrame, quantum: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+#: Bounds of the spacing that thins parts out, in metres.
+LEAST_SPACING, MOST_SPACING = 0.005, 0.05
+
+
+def sampling_stride(spacing: float, quantum: float) -> int:
+    """Every how many vertices of a part one is kept, so that they are about `spacing` apart."""
+    return max(1, int(np.floor(min(max(spacing, LEAST_SPACING), MOST_SPACING) / quantum + 0.5)))
+
+
+def thinned(vertices: DataFrame, faces: DataFrame, stride: int) -> tuple[DataFrame, DataFrame]:
+    """Each part's every stride-th vertex by its place in order of vid; a face's corner becomes the kept vertex nearest in place. A face with a corner that is not there goes."""
+    part = F.struct("mesh_id", "part_id").alias("mesh_id")
+    placed = scratch(numbered(vertices.select(part, F.col("vid").alias("old"), "x", "y", "z"), "old").withColumnRenamed("vid", "i"), "thinned")
+    kept = placed.filter(F.col("i") % stride == 0)
+    last = placed.groupBy("mesh_id").agg(F.floor((F.count("*") - 1) / stride).alias("last"))
+    slot = F.least(F.col("last"), F.floor((F.col("i") + stride // 2) / stride))
+    names = placed.join(last, "mesh_id").select("mesh_id", "old", (slot * stride).cast("long").alias("i"))
+    names = names.join(kept.select("mesh_id", "i", F.col("old").alias("new")), ["mesh_id", "i"])
+    corner = faces.select(part, "fid", F.posexplode(F.array("a", "b", "c")).alias("k", "old")).join(names, ["mesh_id", "old"])
+    wide = corner.groupBy("mesh_id", "fid").agg(F.count("*").alias("n"), *(F.max(F.when(F.col("k") == k, F.col("new"))).alias(n) for k, n in enumerate("abc"))).filter("n = 3")
+    return kept.select("mesh_id.*", F.col("old").alias("vid"), "x", "y", "z"), wide.select("mesh_id.*", "fid", "a", "b", "c")
+
+
+def merged(vertices: DataFrame, faces: DataFrame, quantum: float = 1e-3, transforms: DataFrame | None = None, stride: int = 1) -> tuple[DataFrame, DataFrame]:
     """Parts (mesh_id, part_id, ...) as one mesh: points of one rounded cell are one vertex, the first part's first.
 
-    Faces keep their order of corners; those that a shared vertex collapses stay, as zero-area faces.
+    transforms(mesh_id, part_id, m): each part's 4x4 matrix, row by row, into the world; a
+    part without one stays. stride: every how many vertices of a part one is kept (see
+    `sampling_stride`). A part without faces adds nothing. Faces keep their order of
+    corners; those that a shared vertex collapses stay, as zero-area faces.
     """
+    if stride > 1:
+        vertices, faces = thinned(vertices, faces, stride)
+    vertices = vertices.join(faces.select("mesh_id", "part_id").distinct(), ["mesh_id", "part_id"], "left_semi")
+    if transforms is not None:
+        m = lambda r, c: F.element_at("m", 4 * r + c + 1)
+        moved = [F.when(F.col("m").isNull(), F.col(k)).otherwise(m(r, 0) * F.col("x") + m(r, 1) * F.col("y") + m(r, 2) * F.col("z") + m(r, 3)) for r, k in enumerate("xyz")]
+        vertices = vertices.join(transforms.select("mesh_id", "part_id", "m"), ["mesh_id", "part_id"], "left").select("mesh_id", "part_id", "vid", *(c.alias(k) for c, k in zip(moved, "xyz", strict=True)))
     key = F.struct(*(V.rounded_cell(F.col(c), quantum).alias("k" + c) for c in "xyz"))
     keyed = vertices.withColumn("key", key)
     first = keyed.groupBy("mesh_id", "key").agg(F.min(F.struct("part_id", "vid", "x", "y", "z")).alias("f"))
@@ -263,86 +296,107 @@ def whole_meshes(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return v.join(f, "mesh_id", "left").select("mesh_id", *(F.col("v." + c).alias(c) for c in ("vid", "x", "y", "z")), *(F.coalesce("f." + c, F.expr("cast(array() as array<bigint>)")).alias(c) for c in ("fid", "a", "b", "c")))
 
 
-def _per_mesh(faces: DataFrame, vertices: DataFrame, fn, schema: str) -> DataFrame:
-    """fn(vertices, faces) of each mesh, whole, a batch of meshes at a time: for repairs that walk a mesh face by face."""
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                v = pd.DataFrame({"mesh_id": r.mesh_id, "vid": r.vid, "x": r.x, "y": r.y, "z": r.z})
-                f = pd.DataFrame({"mesh_id": r.mesh_id, "fid": r.fid, "a": r.a, "b": r.b, "c": r.c})
-                if len(f):
-                    out.append(fn(v, f))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    return whole_meshes(vertices, faces).mapInPandas(run, schema)
-
-
-def _neighbours(f: np.ndarray) -> dict:
-    edges: dict = {}
-    for i, (a, b, c) in enumerate(f):
-        for u, v in ((a, b), (b, c), (c, a)):
-            edges.setdefault((min(u, v), max(u, v)), []).append((i, u < v))
-    return edges
+#: Digits by which the parallelism of two faces is compared.
+DIGITS = 9
 
 
 def manifold_faces(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """Faces left when each edge of more than two keeps the two that are most nearly parallel."""
-
-    def prune(v: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("fid").reset_index(drop=True)
-        place = v.set_index("vid")[["x", "y", "z"]]
-        tri = f[["a", "b", "c"]].to_numpy()
-        p = [place.loc[tri[:, k]].to_numpy() for k in range(3)]
-        n = np.cross(p[1] - p[0], p[2] - p[0])
-        n /= np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1e-12)
-        live = np.ones(len(tri), bool)
-        for _, users in sorted(_neighbours(tri).items()):
-            ids = [i for i, _ in users if live[i]]
-            if len(ids) > 2:
-                pairs = [(-abs(float(n[i] @ n[j])), i, j) for k, i in enumerate(ids) for j in ids[k + 1 :]]
-                _, i, j = min(pairs)
-                live[[k for k in ids if k not in (i, j)]] = False
-        return f[live]
-
-    return _per_mesh(faces, vertices, prune, "mesh_id long, fid long, a long, b long, c long")
+    """Faces left when each edge of more than two keeps the two that are most nearly parallel.
+
+    Edges decide in order (lo, hi), each over the faces that those before it left. In
+    a round every edge decides that is the least undecided one of all its live faces:
+    such edges share no face, so this is what one after another gives. An edge of two
+    faces or fewer has nothing to decide. Each round is a written table of the
+    edges still undecided; their faces are the only ones a round reads.
+    """
+    n = V.normalized(face_normal())
+    unit = triangles(vertices, faces).select("mesh_id", "fid", *(c.alias("n" + k) for c, k in zip(n, "xyz", strict=True)))
+    uses = directed_edges(faces).select("mesh_id", "fid", F.struct(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).alias("edge"))
+    crowded = lambda u: u.join(u.groupBy("mesh_id", "edge").agg(F.count("*").alias("n")).filter("n > 2").select("mesh_id", "edge"), ["mesh_id", "edge"], "left_semi")
+    left = scratch(crowded(uses.distinct()).join(unit, ["mesh_id", "fid"]), "crowded")
+    gone = []
+    while not left.isEmpty():
+        first = left.groupBy("mesh_id", "fid").agg(F.min("edge").alias("edge"), F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.first("nz").alias("nz"))
+        size = left.groupBy("mesh_id", "edge").agg(F.count("*").alias("of"))
+        now = first.join(first.groupBy("mesh_id", "edge").agg(F.count("*").alias("n")).join(size, ["mesh_id", "edge"]).filter("n = of").select("mesh_id", "edge"), ["mesh_id", "edge"])
+        a, b = (now.select("mesh_id", "edge", F.col("fid").alias(k), *(F.col("n" + c).alias(k + c) for c in "xyz")) for k in "ij")
+        alike = F.round(F.abs(V.dot(V.p("i"), V.p("j"))), DIGITS)
+        kept = a.join(b, ["mesh_id", "edge"]).filter("i < j").groupBy("mesh_id", "edge").agg(F.min(F.struct((-alike).alias("d"), "i", "j")).alias("k")).select("mesh_id", "edge", F.explode(F.array("k.i", "k.j")).alias("fid"))
+        lost = scratch(now.select("mesh_id", "edge", "fid").join(kept, ["mesh_id", "edge", "fid"], "left_anti").select("mesh_id", "fid"), "lost")
+        gone.append(lost)
+        after = scratch(crowded(left.join(lost, ["mesh_id", "fid"], "left_anti")), "crowded")
+        dropped(left)
+        left = after
+    out = faces
+    for lost in gone:
+        out = out.join(lost, ["mesh_id", "fid"], "left_anti")
+    return out.select("mesh_id", "fid", "a", "b", "c")
+
+
+def rims(faces: DataFrame) -> DataFrame:
+    """mesh_id, u, v: the edges of exactly one face, as it runs through them."""
+    edge = directed_edges(faces).groupBy("mesh_id", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"))
+    return edge.agg(F.count("*").alias("n"), F.min("u").alias("u"), F.min("v").alias("v")).filter("n = 1 and lo <> hi").select("mesh_id", "u", "v")
+
+
+def walked(edges: list[tuple[int, int]]) -> list[list[int]]:
+    """The loops of rim edges (u, v), each edge in one at most, wound against most of its edges.
+
+    A walk starts at the least vertex left and goes on against the edges' own
+    direction where it can, else along it (faces wound unlike), to the least vertex;
+    a path that does not come back to its start is no loop.
+    """
+    at: dict[int, list[tuple[bool, int, int]]] = {}
+    for k, (u, v) in enumerate(edges):
+        at.setdefault(v, []).append((False, u, k))
+        at.setdefault(u, []).append((True, v, k))
+    used, loops = set(), []
+    for start in sorted(at):
+        at[start].sort()
+        while True:
+            loop, here, along, path = [start], start, 0, []
+            while True:
+                step = next((s for s in sorted(at[here]) if s[2] not in used), None)
+                if step is None:
+                    break
+                used.add(step[2])
+                path.append(step[2])
+                along += 1 if step[0] else -1
+                here = step[1]
+                if here == start:
+                    break
+                loop.append(here)
+            if not path:
+                break
+            if here == start and len(loop) >= 3:
+                loops.append(loop if along <= 0 else [loop[0], *loop[:0:-1]])
+    return loops
 
 
 def closed_meshes(vertices: DataFrame, faces: DataFrame, onto: tuple | None = None) -> DataFrame:
     """Fan faces that close each mesh's holes, and the fans' centres.
 
-    Rows of kind 'v' (id, x, y, z) and 'f' (id, a, b, c). Boundary edges are walked
-    against their own direction, so fans are wound like the mesh; edges that hang
-    together are walked apart from all others, so a task holds a hole's rim, not a mesh.
+    Rows of kind 'v' (id, x, y, z) and 'f' (id, a, b, c). A hole's rim are edges of one
+    face; they are walked against that face's direction, so fans are wound like the
+    mesh (like most of a rim whose faces are wound unlike). Edges that hang together
+    are walked apart from all others, so a task holds a hole's rim, not a mesh.
     onto: (point, normal) of a plane on which the centres are put.
     """
     from pyspark.sql import Window
 
-    directed = directed_edges(faces).select("mesh_id", "u", "v").distinct()
-    rim = scratch(directed.join(directed.select("mesh_id", F.col("v").alias("u"), F.col("u").alias("v")), ["mesh_id", "u", "v"], "left_anti"), "rim")
+    rim = scratch(rims(faces), "rim")
     node = lambda c: F.struct("mesh_id", F.col(c).alias("vid"))
     ends = rim.select(node("u").alias("u"), node("v").alias("v"))
     part = labelled(ends.select(F.explode(F.array("u", "v")).alias("node")).distinct(), ends)
     named = rim.withColumn("node", node("v")).join(part, "node").select("mesh_id", "u", "v", "component")
-    placed = named.join(vertices.select("mesh_id", F.col("vid").alias("v"), "x", "y", "z"), ["mesh_id", "v"])
+    placed = named
+    for c in "uv":
+        placed = placed.join(vertices.select("mesh_id", F.col("vid").alias(c), F.array("x", "y", "z").alias("p" + c)), ["mesh_id", c])
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        nexts: dict = {}
-        place = {}
-        for r in pdf.sort_values(["u", "v"]).itertuples(index=False):
-            nexts.setdefault(r.v, []).append(r.u)
-            place[r.v] = (r.x, r.y, r.z)
-        rows = []
-        for start in sorted(nexts):
-            while nexts.get(start):
-                loop, at = [start], nexts[start].pop(0)
-                while at != start and nexts.get(at):
-                    loop.append(at)
-                    at = nexts[at].pop(0)
-                if at == start and len(loop) >= 3:
-                    rows.append((int(pdf.mesh_id.iloc[0]), start, len(rows), loop, *np.array([place[k] for k in loop]).mean(0)))
+        place = dict(zip(pdf.u, pdf.pu, strict=True)) | dict(zip(pdf.v, pdf.pv, strict=True))
+        edges = sorted((int(u), int(v)) for u, v in zip(pdf.u, pdf.v, strict=True))
+        rows = [(int(pdf.mesh_id.iloc[0]), loop[0], k, loop, *np.array([place[x] for x in loop]).mean(0)) for k, loop in enumerate(walked(edges))]
         return pd.DataFrame(rows, columns=["mesh_id", "start", "nth", "loop", "x", "y", "z"])
 
     loops = scratch(placed.groupBy("component").applyInPandas(walk, "mesh_id long, start long, nth long, loop array<long>, x double, y double, z double"), "loops")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import VolumeError
 from ..functions import vectors as V
-from .mesh import labelled, scratch
+from .mesh import dropped, labelled, scratch
 
 
 def heights(points: DataFrame, point, normal, size: float, by: tuple[str, ...] = ()) -> DataFrame:
@@ -59,30 +59,52 @@ def field_volume(cells: DataFrame, size: float, by: tuple[str, ...] = ()) -> Dat
     )
 
 
+def gaps(there: DataFrame, by: str) -> DataFrame:
+    """by, i, j0, j1, open: the runs of empty cells between two filled ones of a row.
+
+    A run is open if it lies in the first or last row, or if the row above or below has
+    no cell at all or ends before the run does: then it reaches the border there.
+    """
+    from pyspark.sql import Window
+
+    row = Window.partitionBy(by, "i").orderBy("j")
+    runs = there.select(by, "i", "j", F.lag("j").over(row).alias("before")).filter("j - before > 1").select(by, "i", (F.col("before") + 1).alias("j0"), (F.col("j") - 1).alias("j1"))
+    ends = there.groupBy(by, "i").agg(F.min("j").alias("from"), F.max("j").alias("to"))
+    beside = runs
+    for name, shift in (("up", 1), ("down", -1)):
+        beside = beside.join(ends.select(by, (F.col("i") + shift).alias("i"), F.col("from").alias(name + "0"), F.col("to").alias(name + "1")), [by, "i"], "left")
+    inside = [F.coalesce((F.col("j0") >= F.col(n + "0")) & (F.col("j1") <= F.col(n + "1")), F.lit(False)) for n in ("up", "down")]
+    return beside.select(by, "i", "j0", "j1", (~(inside[0] & inside[1])).alias("open"))
+
+
 def filled_holes(cells: DataFrame, value: str, by: str, sweeps: int = 400) -> DataFrame:
     """Interior holes of one envelope take the mean of their filled neighbours, sweep by sweep; what the border reaches stays empty.
 
-    Empty cells within each grid's bounds are joined to components; one without a cell
-    on the border is a hole. Each hole is filled apart, from its rim. `sweeps` is the
+    Only gaps within rows are rows here, never the cells of the bounds: a hole is made
+    of gaps that overlap from row to row, of which none reaches the border. Of two
+    rows' gaps each is joined to the last one of the other row that starts no later,
+    as it overlaps no earlier one. Each hole is filled apart, from its rim. `sweeps` is the
     published bound; a cell that it leaves empty has a row without a value.
     """
     import numpy as np
     import pandas as pd
+    from pyspark.sql import Window
 
     there = cells.filter(F.col(value).isNotNull()).select(by, "i", "j", F.col(value).alias("v"))
-    b = there.groupBy(by).agg(*(f(c).alias(n + c) for c in "ij" for f, n in ((F.min, "lo"), (F.max, "hi"))))
-    lines = b.withColumn("i", F.explode(F.sequence("loi", "hii"))).repartition(by, "i")
-    every = lines.withColumn("j", F.explode(F.sequence("loj", "hij")))
-    border = (F.col("i") == F.col("loi")) | (F.col("i") == F.col("hii")) | (F.col("j") == F.col("loj")) | (F.col("j") == F.col("hij"))
-    empty = scratch(every.select(by, "i", "j", border.alias("border")).join(there.select(by, "i", "j"), [by, "i", "j"], "left_anti"), "empty")
-    node = F.struct(by, "i", "j")
+    runs = scratch(gaps(there, by), "gaps")
+    node = F.struct(by, "i", "j0")
+    pairs = runs.select(by, "j0", "j1", node.alias("node"), F.explode(F.array(F.struct(F.col("i").alias("pair"), F.lit(0).alias("side")), F.struct((F.col("i") - 1).alias("pair"), F.lit(1).alias("side")))).alias("e")).select("*", "e.*")
+    order = Window.partitionBy(by, "pair").orderBy("j0", "side")
+    last = lambda side: F.last(F.when(F.col("side") == side, F.struct("node", "j1")), True).over(order)
+    met = pairs.withColumn("other", F.when(F.col("side") == 0, last(1)).otherwise(last(0))).filter(F.col("other.j1") >= F.col("j0"))
+    # Two gaps that start together meet once: the second sees the first.
+    hole = labelled(runs.select(node.alias("node")), met.select(F.col("node").alias("u"), F.col("other.node").alias("v")))
+    named = runs.withColumn("node", node).join(hole, "node").select(by, "i", "j0", "j1", "open", "component")
+    open_ = named.filter("open").select("component").distinct()
+    shut = named.join(open_, "component", "left_anti")
+    inner = scratch(shut.select(by, "component", "i", F.explode(F.sequence("j0", "j1")).alias("j")), "holes")
+    dropped(runs)
     step = lambda pairs: F.explode(F.array(*(F.struct((F.col("i") + a).alias("i"), (F.col("j") + c).alias("j")) for a, c in pairs)))
-    near = empty.select(by, node.alias("u"), step(((0, 1), (1, 0))).alias("o")).select("u", by, "o.i", "o.j")
-    edges = near.join(empty.select(by, "i", "j"), [by, "i", "j"], "left_semi").select("u", node.alias("v"))
-    hole = labelled(empty.select(node.alias("node")), edges)
-    named = empty.withColumn("node", node).join(hole, "node").select(by, "i", "j", "border", "component")
-    open_ = named.filter("border").select("component").distinct()
-    inner = scratch(named.join(open_, "component", "left_anti").select(by, "component", "i", "j"), "holes")
     rim = inner.select(by, "component", step(((0, 1), (1, 0), (0, -1), (-1, 0))).alias("o")).select(by, "component", "o.i", "o.j").distinct().join(there, [by, "i", "j"])
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:

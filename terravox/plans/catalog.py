@@ -163,6 +163,37 @@ def mesh_merge_dedup(spark, sf_dir):
     return v.groupBy("mesh_id").agg(F.count("*").alias("vertices")).join(f.groupBy("mesh_id").agg(F.count("*").alias("faces")), "mesh_id")
 
 
+_TURNS4 = ((1, 0, 0, 1), (0, 1, -1, 0), (-1, 0, 0, -1), (0, -1, 1, 0))
+#: Parts of five boxes each, turned by quarters about the second axis and moved apart by whole cells, so that corners meet.
+_PLACED = f"""{A.PART_V}, {A.PART_F}, q as (select *, mesh_id % 4 as t, (mesh_id % 6) / 4e0 as move from pv), w as (select mesh_id // 5 as mesh, mesh_id as part, vid,
+ case t {' '.join(f'when {i} then {a}e0 * x + {b}e0 * z' for i, (a, b, _, _) in enumerate(_TURNS4))} end + move as x, y, case t {' '.join(f'when {i} then {c}e0 * x + {d}e0 * z' for i, (_, _, c, d) in enumerate(_TURNS4))} end - move as z from q),
+ky as (select *, round(x / 5e-1)::bigint as kx, round(y / 5e-1)::bigint as ky, round(z / 5e-1)::bigint as kz from w),
+fi as (select *, row_number() over (partition by mesh, kx, ky, kz order by part, vid) as o from ky),
+nw as (select *, row_number() over (partition by mesh order by part, vid) - 1 as nid from fi where o = 1),
+nm as (select fi.mesh, fi.part, fi.vid, nw.nid from fi join nw using (mesh, kx, ky, kz))"""
+
+
+def _placed_parts(spark, sf_dir):
+    part = lambda df: df.withColumn("part_id", F.col("mesh_id")).withColumn("mesh_id", F.floor(F.col("mesh_id") / 5).cast("long"))
+    v, f = part(A.part_vertices(spark, sf_dir)), part(A.part_faces(spark, sf_dir))
+    turn = [F.when(F.col("part_id") % 4 == i, F.array(*(F.lit(float(k)) for k in t))) for i, t in enumerate(_TURNS4)]
+    t, move = F.coalesce(*turn), (F.col("part_id") % 6) / 4.0
+    at = lambda i: F.element_at(t, i + 1)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    m = F.array(at(0), zero, at(1), move, zero, one, zero, zero, at(2), zero, at(3), -move, zero, zero, zero, one)
+    return mesh.merged(v, f, 0.5, v.select("mesh_id", "part_id").distinct().withColumn("m", m))
+
+
+@query(f"with {_PLACED} select mesh as mesh_id, nid as vid, {r('x', 'x')}, {r('y', 'y')}, {r('z', 'z')} from nw")
+def mesh_merge_world(spark, sf_dir):
+    return rounded(_placed_parts(spark, sf_dir)[0])
+
+
+@query(f"with {_PLACED} select a.mesh as mesh_id, f.mesh_id as part_id, f.fid::bigint as fid, a.nid as a, b.nid as b, c.nid as c from pf f join nm a on a.part = f.mesh_id and a.vid = f.a join nm b on b.part = f.mesh_id and b.vid = f.b join nm c on c.part = f.mesh_id and c.vid = f.c")
+def mesh_merge_world_faces(spark, sf_dir):
+    return _placed_parts(spark, sf_dir)[1]
+
+
 # ---------------------------------------------------------- regions and planes
 
 _TURN = np.radians(30)
@@ -280,6 +311,37 @@ def segment_obb(spark, sf_dir):
     return rounded(fit.segment_boxes(A.soup_vertices(spark, sf_dir), "label").drop("axes"))
 
 
+def _mix(z: str, shift: int, by: int | None = None) -> str:
+    """A step of the SplitMix64 finaliser in 128-bit SQL."""
+    x = f"xor({z}, {z} >> {shift})"
+    return f"({x} * {by}::uhugeint) % 18446744073709551616::uhugeint" if by else x
+
+
+#: Draws, planes and scores of 100 seeded hypotheses, gone through in order until the stop count.
+_RANSAC = f"""{A.PTS}, k as (select x, y, z, concat_ws(',', l_orderkey, l_partkey, l_suppkey, l_linenumber) as id from pts),
+pool as (select x, y, z, row_number() over (order by md5('42:' || id), id) - 1 as i from k qualify i < 300), m as (select count(*) as m from pool),
+d0 as (select j, ((42::uhugeint + (j + 1)::uhugeint * 11400714819323198485::uhugeint) % 18446744073709551616::uhugeint) as s from generate_series(0, 299) t(j)),
+d1 as (select j, {_mix('s', 30, 13787848793156543929)} as s from d0), d2 as (select j, {_mix('s', 27, 10723151780598845931)} as s from d1), d3 as (select j, ({_mix('s', 31)} % m::uhugeint)::bigint as i from d2, m),
+tr as (select a.j // 3 as hid, pa.x as ax, pa.y as ay, pa.z as az, pb.x - pa.x as bx, pb.y - pa.y as b_y, pb.z - pa.z as bz, pc.x - pa.x as cx, pc.y - pa.y as cy, pc.z - pa.z as cz
+ from d3 a join d3 b on b.j = a.j + 1 join d3 c on c.j = a.j + 2 join pool pa on pa.i = a.i join pool pb on pb.i = b.i join pool pc on pc.i = c.i where a.j % 3 = 0 and a.i <> b.i and b.i <> c.i and a.i <> c.i),
+nn as (select *, b_y * cz - bz * cy as ux, bz * cx - bx * cz as uy, bx * cy - b_y * cx as uz from tr), hy as (select hid, ax, ay, az, ux / l as nx, uy / l as ny, uz / l as nz from (select *, sqrt(ux * ux + uy * uy + uz * uz) as l from nn) where l > 1e-6),
+sc as (select hid, count(*) filter (d <= 5e-2) as inliers, sum(least(d * d, 5e-2 ** 2)) as msac, count(*) as n from (select hid, abs((k.x - ax) * nx + (k.y - ay) * ny + (k.z - az) * nz) as d from hy, k) group by hid),
+rn as (select *, (min(row(msac, hid)) over w) = row(msac, hid) as better from sc window w as (order by hid rows unbounded preceding)),
+sh as (select *, greatest(least(0.999, 50e0 / n), coalesce(max(case when better then inliers * 1e0 / n end) over w, 0)) as share from rn window w as (order by hid rows unbounded preceding)),
+un as (select *, least(100, greatest(1, trunc(ln(1 - 0.99) / ln(1 - share ** 3))))::bigint as until from sh),
+gone as (select *, max((hid >= before)::int) over (order by hid rows unbounded preceding) as past from (select *, coalesce(lag(until) over (order by hid), 100) as before from un)),
+won as (select *, max_by(until, hid) over () as stop from gone where past = 0 qualify row_number() over (order by msac, hid) = 1)"""
+
+
+@query(f"with {_RANSAC} select hid, inliers, stop as iterations, {r('msac', 'msac')}, {r('nx', 'nx')}, {r('ny', 'ny')}, {r('nz', 'nz')} from won join hy using (hid)")
+def fit_ransac_winner(spark, sf_dir):
+    """The winning hypothesis, before its refinement, and how many were to be drawn."""
+    p = A.points(spark, sf_dir).withColumn("id", F.concat_ws(",", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    got = fit.ransac_plane(p, "id", iterations=100, threshold=0.05, confidence=0.99)
+    row = (int(got["hid"]), int(got["inliers"]), int(got["iterations"]), float(got["msac"]), *map(float, got["raw"][3:]))
+    return rounded(spark.createDataFrame([row], "hid long, inliers long, iterations long, msac double, nx double, ny double, nz double"))
+
+
 @query()
 def fit_plane_ransac(spark, sf_dir):
     p = A.points(spark, sf_dir).withColumn("id", F.struct(*A.PTS_ORDER))
@@ -572,10 +634,23 @@ def specimen_relations(spark, sf_dir):
     return rounded(segmentation.relations(A.specimen_boxes(spark, sf_dir), 0.2))
 
 
-# ------------------------------------------------- repairs, a mesh in one task
+# ----------------------------------------------------------------- repairs
 
 
-@query()
+_SIDES = "(values (1, 0), (-1, 0), (0, 1), (0, -1)) s(di, dj)"
+#: Empty cells that the border does not reach, then sweep by sweep the means of filled neighbours, until none is left.
+_FILL = f"""with recursive {A.PTS}, f as (select l_returnflag as flag, cast(floor(z / 5e-2) as bigint) as i, cast(floor(x / 5e-2) as bigint) as j, y - 5e-1 as h from pts where not (x between 0.4 and 0.6 and z between 0.4 and 0.6)),
+th as (select flag, i, j, max(case when h >= 0 then h end) as up from f group by all having max(case when h >= 0 then h end) is not null),
+bo as (select flag, min(i) as i0, max(i) as i1, min(j) as j0, max(j) as j1 from th group by flag),
+al as (select flag, i, j, i in (i0, i1) or j in (j0, j1) as edge from bo, unnest(generate_series(i0, i1)) s(i), unnest(generate_series(j0, j1)) t(j)), em as (select * from al anti join th using (flag, i, j)),
+rc as (select flag, i, j from em where edge union select em.flag, em.i, em.j from rc, {_SIDES} join em on em.flag = rc.flag and em.i = rc.i + di and em.j = rc.j + dj),
+ho as (select flag, i, j from (select flag, i, j from em) anti join rc using (flag, i, j)),
+sw as (select 0 as k, flag, i, j, up as v from th union all select 0, flag, i, j, null from ho),
+st as (select * from sw union all select c.k + 1, c.flag, c.i, c.j, coalesce(c.v, c.around) from (select a.k, a.flag, a.i, a.j, a.v, avg(b.v) as around, count(*) filter (a.v is null) over () as open from st a cross join {_SIDES} left join st b on b.flag = a.flag and b.i = a.i + di and b.j = a.j + dj group by a.k, a.flag, a.i, a.j, a.v) c where open > 0 and c.k < 400)
+select flag, i, j, {r('max_by(v, k)', 'up')}, (flag, i, j) in (select (flag, i, j) from ho) as filled from st group by flag, i, j"""
+
+
+@query(_FILL)
 def hole_fill(spark, sf_dir):
     p = A.points(spark, sf_dir).withColumn("flag", F.col("l_returnflag")).filter("not (x between 0.4 and 0.6 and z between 0.4 and 0.6)")
     cells = volume.envelope(volume.heights(p, *UP, 0.05, ("flag",)), ("flag",))
@@ -604,11 +679,27 @@ def mesh_fix_orientation(spark, sf_dir):
     return _faces_and_volume(v, mesh.oriented_faces(v, mixed))
 
 
-@query("select p_partkey as mesh_id, 12::bigint as faces from part")
+def _decided(k: int, before: str, lo: int, hi: int) -> str:
+    """SQL of the faces that are left when the edge (lo, hi) has kept its two most nearly parallel ones of more than two."""
+    on = f"{lo} in (a, b, c) and {hi} in (a, b, c)"
+    return f"""u{k} as (select *, count(*) over (partition by mesh_id) as n from {before} where {on}),
+p{k} as (select i.mesh_id, i.fid as fi, j.fid as fj, row_number() over (partition by i.mesh_id order by round(abs(i.nx * j.nx + i.ny * j.ny + i.nz * j.nz), 9) desc, i.fid, j.fid) as o from u{k} i join u{k} j on i.mesh_id = j.mesh_id and i.fid < j.fid where i.n > 2),
+s{k} as (select t.* from {before} t left join p{k} p on p.mesh_id = t.mesh_id and p.o = 1 where p.o is null or not ({on}) or t.fid in (p.fi, p.fj))"""
+
+
+#: Fins on the edge from corner 0 to 2 of each box; the third of them also touches the edge from 2 to 6.
+_FINS = ((99, 0, 2, 7, 1), (98, 0, 2, 5, 2), (97, 0, 2, 6, 3))
+_FINNED = f"""{A.PART_V}, {A.PART_F}, ff as (select * from pf union all select p_partkey, fid, a, b, c from part, (values {', '.join(str(x) for x in _FINS)}) x(fid, a, b, c, every) where p_partkey % every = 0),
+{A.PART_T.replace('pt as', 'ft as').replace('from pf f', 'from ff f')}, {_PN.split('vn as')[0].strip().removesuffix(',').replace('pn as', 'fn as').replace('from pt', 'from ft')},
+n0 as (select mesh_id, fid, a, b, c, fx / l as nx, fy / l as ny, fz / l as nz from (select *, sqrt(fx * fx + fy * fy + fz * fz) as l from fn))"""
+
+
+@query(f"with {_FINNED}, {_decided(1, 'n0', 0, 2)}, {_decided(2, 's1', 2, 6)} select mesh_id, fid::bigint as fid from s2")
 def mesh_manifold_pass(spark, sf_dir):
     v, f = A.part_vertices(spark, sf_dir), A.part_faces(spark, sf_dir)
-    fin = f.filter("fid = 0").select("mesh_id", F.lit(99).cast("long").alias("fid"), F.lit(0).cast("long").alias("a"), F.lit(2).cast("long").alias("b"), F.lit(7).cast("long").alias("c"))
-    return mesh.manifold_faces(v, f.unionByName(fin)).groupBy("mesh_id").agg(F.count("*").alias("faces"))
+    fins = F.array(*(F.struct(*(F.lit(x).cast("long").alias(n) for n, x in zip(("fid", "a", "b", "c", "every"), fin, strict=True))) for fin in _FINS))
+    extra = f.filter("fid = 0").select("mesh_id", F.explode(fins).alias("x")).select("mesh_id", "x.*").filter("mesh_id % every = 0").drop("every")
+    return mesh.manifold_faces(v, f.unionByName(extra)).select("mesh_id", "fid")
 
 
 # ------------------------------------------------------------ custody, store

@@ -234,3 +234,134 @@ def test_chain_faults_name_place_and_kind(spark):
     found = spark.createDataFrame([("b", "b.ply", "3"), ("b", "c.ply", "4")], "bundle_id string, relative_path string, sha256 string")
     got = {tuple(r) for r in custody.chain_faults(seals, declared, found, "bundle_id", "n").collect()}
     assert got == {("b", "link", "3"), ("b", "index", "3"), ("c", "link", "0"), ("b", "missing", "a.ply"), ("b", "changed", "b.ply"), ("b", "undeclared", "c.ply")}
+
+
+# ------------------------------------------- repairs and fits that run in rounds
+
+
+def test_two_cells_far_apart_have_no_holes(spark):
+    import time
+
+    cells = spark.createDataFrame([("a", 0, 0, 1.0), ("a", 10_000, 10_000, 2.0), ("a", 5_000, 5, 1.0), ("a", 5_000, 9_999, 1.0)], "flag string, i long, j long, up double")
+    began = time.time()
+    assert volume.filled_holes(cells, "up", "flag").count() == 4
+    assert time.time() - began < 60
+    ring = [("a", i, j, 1.0) for i in (0, 3000) for j in (0, 1, 2)] + [("a", i, j, 1.0) for i in range(1, 3000) for j in (0, 2)]
+    got = volume.filled_holes(spark.createDataFrame(ring, "flag string, i long, j long, up double"), "up", "flag")
+    assert got.filter("filled").count() == 2999 and got.filter("up <> 1").count() == 0
+
+
+def sequential_manifold(v, f):
+    place = {r[1]: np.array(r[2:5]) for r in v}
+    normal = {}
+    for _, fid, a, b, c in f:
+        n = np.cross(place[b] - place[a], place[c] - place[a])
+        normal[fid] = n / max(np.linalg.norm(n), 1e-12)
+    edges, live = {}, {r[1] for r in f}
+    for _, fid, a, b, c in sorted(f):
+        for x, y in ((a, b), (b, c), (c, a)):
+            edges.setdefault((min(x, y), max(x, y)), []).append(fid)
+    for e in sorted(edges):
+        own = [i for i in edges[e] if i in live]
+        if len(own) > 2:
+            _, i, j = min((-round(abs(float(normal[i] @ normal[j])), mesh.DIGITS), i, j) for k, i in enumerate(own) for j in own[k + 1 :])
+            live -= set(own) - {i, j}
+    return live
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_manifold_rounds_equal_one_after_another(spark, seed):
+    rng = np.random.default_rng(seed)
+    n = (8, 12, 40)[seed]
+    v = [(7, i, *map(float, rng.standard_normal(3))) for i in range(n)]
+    tri = {tuple(sorted(map(int, rng.choice(n, 3, replace=False)))) for _ in range(6 * n)}
+    f = [(7, k, *t) for k, t in enumerate(sorted(tri))]
+    got = mesh.manifold_faces(spark.createDataFrame(v, "mesh_id long, vid long, x double, y double, z double"), spark.createDataFrame(f, "mesh_id long, fid long, a long, b long, c long"))
+    want = sequential_manifold(v, f)
+    assert {r.fid for r in got.collect()} == want and len(want) < len(f)
+
+
+CUBE = [(0, 2, 1), (1, 2, 3), (4, 5, 6), (5, 7, 6), (0, 1, 4), (1, 5, 4), (2, 6, 3), (3, 6, 7), (0, 4, 2), (2, 4, 6), (1, 3, 5), (3, 7, 5)]
+
+
+def cubes(spark, many):
+    """many: of each mesh its faces (fid, a, b, c)."""
+    v = [(m, k, float(k & 1), float(k >> 1 & 1), float(k >> 2)) for m in many for k in range(8)]
+    f = [(m, *x) for m, fs in many.items() for x in fs]
+    return spark.createDataFrame(v, "mesh_id long, vid long, x double, y double, z double"), spark.createDataFrame(f, "mesh_id long, fid long, a long, b long, c long")
+
+
+def test_faces_wound_unlike_make_no_rim(spark):
+    turned = lambda *which: [(i, a, c, b) if i in which else (i, a, b, c) for i, (a, b, c) in enumerate(CUBE)]
+    whole = {1: turned(), 2: turned(5), 3: turned(0, 7, 11)}
+    assert mesh.closed_meshes(*cubes(spark, whole)).count() == 0
+    assert mesh.closed(*cubes(spark, whole))[1].count() == 36
+    # Holes beside a turned face, two holes that touch in a corner, and one in a well-wound cube.
+    without = {4: [x for x in turned(1) if x[0] != 0], 5: [x for x in turned() if x[0] not in (0, 5)], 6: [x for x in turned() if x[0] > 1]}
+    v, f = mesh.closed(*cubes(spark, without))
+    shut = {r.mesh_id: r for r in mesh.watertightness(v, f).collect()}
+    assert all(r.is_closed and r.euler == 2 for r in shut.values()) and len(shut) == 3
+    assert {r.mesh_id: round(r.volume, 9) for r in mesh.closed_volume(mesh.triangles(v, f)).collect()}[6] == pytest.approx(mesh.closed_volume(mesh.triangles(*cubes(spark, {6: turned()}))).first().volume)
+
+
+def test_merge_moves_and_thins_parts(spark):
+    rng = np.random.default_rng(3)
+    v, f, want_v, want_f = [], [], [], []
+    quantum, stride = 0.25, 3
+    m = {}
+    for p in range(3):
+        n = (10, 4, 7)[p]
+        local = rng.integers(0, 5, (n, 3)) * 0.25
+        m[p] = np.array([[0.0, 0, 1, p], [0, 1, 0, 0.5], [-1, 0, 0, 0], [0, 0, 0, 1]])
+        v += [(0, p, 5 + 2 * k, *map(float, q)) for k, q in enumerate(local)]
+        tri = rng.integers(0, n, (6, 3)).tolist() if p < 2 else []
+        f += [(0, p, k, *(5 + 2 * x for x in t)) for k, t in enumerate(tri)]
+        if not tri:
+            continue
+        slot, seen = [], {tuple(np.round(q / quantum)): i for i, q in enumerate(want_v)}
+        for k in range(0, n, stride):
+            w = (m[p] @ np.append(local[k], 1))[:3]
+            key = tuple(np.round(w / quantum))
+            if key not in seen:
+                seen[key] = len(want_v)
+                want_v.append(w)
+            slot.append(seen[key])
+        want_f += [(p, k, *(slot[max(0, min(len(slot) - 1, (x + stride // 2) // stride))] for x in t)) for k, t in enumerate(tri)]
+    f.append((0, 0, 99, 5, 7, 1000))  # a corner that is not there
+    vs = spark.createDataFrame(v, "mesh_id long, part_id long, vid long, x double, y double, z double")
+    fs = spark.createDataFrame(f, "mesh_id long, part_id long, fid long, a long, b long, c long")
+    ts = spark.createDataFrame([(0, p, [float(x) for x in a.ravel()]) for p, a in m.items()], "mesh_id long, part_id long, m array<double>")
+    gv, gf = mesh.merged(vs, fs, quantum, ts, stride)
+    assert np.allclose([(r.x, r.y, r.z) for r in gv.orderBy("vid").collect()], want_v)
+    assert sorted((r.part_id, r.fid, r.a, r.b, r.c) for r in gf.collect()) == sorted(want_f)
+    assert mesh.sampling_stride(0.01, 1e-3) == 10 and mesh.sampling_stride(0, 1e-3) == 5 and mesh.sampling_stride(1, 0.1) == 1
+
+
+@pytest.mark.parametrize("scoring", ["msac", "inliers"])
+def test_ransac_equals_one_after_another(spark, scoring):
+    rng = np.random.default_rng(8)
+    flat = np.column_stack((rng.uniform(0, 3, 260), rng.normal(0, 0.004, 260), rng.uniform(0, 3, 260)))
+    pts = np.vstack((flat, rng.uniform(0, 3, (140, 3))))
+    n = np.tile((0.0, 1.0, 0.0), (400, 1))
+    n[260:] = rng.standard_normal((140, 3))
+    df = spark.createDataFrame([(i, *map(float, p), *map(float, q)) for i, (p, q) in enumerate(zip(pts, n, strict=True))], "id long, x double, y double, z double, nx double, ny double, nz double")
+    options = {"constraint": "horizontal", "tilt": 10.0, "seed": 5}
+    got = fit.ransac_plane(df, "id", 200, 0.02, 30, scoring=scoring, confidence=0.99, **options)
+    best, share, until = None, min(0.999, 30 / 400), 200
+    for hid, *h in fit.hypotheses(df, "id", 200, **options):
+        if hid >= until:
+            break
+        d = np.abs((pts - h[:3]) @ np.array(h[3:]))
+        inliers, msac = int((d <= 0.02).sum()), float(np.minimum(d * d, 0.0004).sum())
+        value = (msac if scoring == "msac" else -inliers, hid)
+        if best is None or value < best[0]:
+            best = value, inliers, h
+            share = max(share, inliers / 400)
+            until = min(200, max(1, int(np.log1p(-0.99) / np.log1p(-(share**3)))))
+    assert (got["hid"], got["inliers"], got["iterations"]) == (best[0][1], best[1], until) and until < 200
+    assert abs(got["normal"][1]) > 0.999
+    # Only points whose normals agree are drawn from.
+    few = fit.hypotheses(df.withColumn("ny", F.when(F.col("id") < 3, F.col("ny")).otherwise(0.0)).withColumn("nx", F.when(F.col("id") < 3, 0.0).otherwise(1.0)).withColumn("nz", F.lit(0.0)), "id", 20, **options)
+    assert {tuple(np.round(h[1:4], 9)) for h in few} <= {tuple(np.round(p, 9)) for p in pts[:3]}
+    with pytest.raises(GeometryError):
+        fit.ransac_plane(df, "id", scoring="other")
