@@ -145,28 +145,23 @@ def plane_height(u: Column, v: Column, a, b, c) -> Column:
     return F.when(F.abs(d) > 1e-12, a[2] + s * (b[2] - a[2]) + t * (c[2] - a[2]))
 
 
-def segment_distance2(q: V3, a: V3, b: V3) -> Column:
-    ab, aq = sub(b, a), sub(q, a)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(dot(aq, ab) / F.nullif(dot(ab, ab), F.lit(0.0)), F.lit(0.0))))
-    d = tuple(x - t * y for x, y in zip(aq, ab, strict=True))
-    return dot(d, d)
-
-
-def triangle_distance(q: V3, a: V3, b: V3, c: V3) -> Column:
-    """Exact distance from q to the triangle, signed by the side of its normal."""
-    n = cross(sub(b, a), sub(c, a))
-    n2 = F.nullif(dot(n, n), F.lit(0.0))
-    aq = sub(q, a)
-    height = dot(aq, n)
-    inside = F.lit(True)
-    for m, o in ((a, b), (b, c), (c, a)):
-        inside = inside & (dot(cross(sub(o, m), sub(q, m)), n) >= 0)
-    edge = F.least(segment_distance2(q, a, b), segment_distance2(q, b, c), segment_distance2(q, c, a))
-    d = F.when(inside & n2.isNotNull(), F.abs(height) / F.sqrt(n2)).otherwise(F.sqrt(edge))
-    return F.when(height < 0, -d).otherwise(d)
+# ------------------------------------------------------------ driver matrices
 
 
-# ------------------------------------------------------------ driver matrices
+def triangle_distances(q: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact distance of each row's point to its triangle, signed by the side of its normal."""
+    n = np.cross(b - a, c - a)
+    n2 = (n * n).sum(1)
+    height = ((q - a) * n).sum(1)
+    inside, edge = n2 > 0, np.full(len(q), np.inf)
+    for m, o in ((a, b), (b, c), (c, a)):
+        e, f = o - m, q - m
+        inside &= (np.cross(e, f) * n).sum(1) >= 0
+        e2 = (e * e).sum(1)
+        t = np.clip(np.divide((f * e).sum(1), e2, out=np.zeros(len(q)), where=e2 > 0), 0, 1)
+        edge = np.minimum(edge, ((f - t[:, None] * e) ** 2).sum(1))
+    d = np.where(inside, np.abs(height) / np.sqrt(np.where(n2 > 0, n2, 1)), np.sqrt(edge))
+    return np.where(height < 0, -d, d)
 
 
 def matrix(translation, quaternion=(0.0, 0.0, 0.0, 1.0)) -> np.ndarray:

@@ -1,7 +1,8 @@
 """Nearest neighbours, point-to-plane ICP and change between two scans.
 
 The nearest-neighbour join is a bucket join: the target's cell is exploded to
-its 27 neighbours, joined by cell, and the least (distance, id) wins.
+its 27 neighbours, joined by cell, and the least (distance, id) wins; where cells are
+crowded they are halved until none is.
 """
 
 from __future__ import annotations
@@ -9,33 +10,101 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import RegistrationError
 from ..functions import vectors as V
-from .mesh import labelled
+from .mesh import dropped, labelled, scratch
 
 
 def _cells(size: float) -> list:
     return [V.cell(F.col(c), size).alias("k" + c) for c in "xyz"]
 
 
-def nearest(source: DataFrame, target: DataFrame, size: float) -> DataFrame:
+#: Targets of one cell that may meet its sources all at once; halvings of a cell.
+CROWD, DEPTH = 512, 24
+
+
+def around(target: DataFrame, size: float) -> DataFrame:
+    """The target's rows (in t), once for each of the 27 cells around their own."""
+    t = target.select(F.struct("*").alias("t"), *_cells(size))
+    for k in ("kx", "ky", "kz"):
+        t = t.withColumn("o", F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))).withColumn(k, F.col(k) + F.col("o")).drop("o")
+    return t
+
+
+def nearest(source: DataFrame, target: DataFrame, size: float, exploded: DataFrame | None = None) -> DataFrame:
     """sid, tid, d2 (and the target's row in t): the nearest target within the 27 cells around each source point.
 
     source(sid, x, y, z), target(tid, x, y, z, ...). A source point without one has nulls.
+    exploded: the target's rows by cell, from `around`, for a target that is asked again
+    and again and is thin. Else cells with more than CROWD targets are halved until
+    none has (see `descended`), so that no cell's points all meet in one task.
     """
-    around = F.array(*(F.lit(i) for i in (-1, 0, 1)))
+    if exploded is None and (target.groupBy(*_cells(size)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > CROWD:
+        best = descended(source, target, size)
+        return source.select("sid", "x", "y", "z").join(best, "sid", "left").join(target.select("tid", F.struct(*target.columns).alias("t")), "tid", "left").select("sid", "x", "y", "z", "tid", "d2", "t")
     s = source.select("sid", "x", "y", "z", *_cells(size))
-    t = target.select(F.struct("*").alias("t"), *_cells(size))
-    for k in ("kx", "ky", "kz"):
-        t = t.withColumn("o", F.explode(around)).withColumn(k, F.col(k) + F.col("o")).drop("o")
     d = V.sub(V.p(), V.p("t."))
-    near = s.join(t, ["kx", "ky", "kz"]).withColumn("d2", V.dot(d, d)).groupBy("sid").agg(F.min_by(F.struct("d2", "t"), F.struct("d2", "t.tid")).alias("m"))
+    near = s.join(around(target, size) if exploded is None else exploded, ["kx", "ky", "kz"]).withColumn("d2", V.dot(d, d)).groupBy("sid").agg(F.min_by(F.struct("d2", "t"), F.struct("d2", "t.tid")).alias("m"))
     return source.select("sid", "x", "y", "z").join(near, "sid", "left").select("sid", "x", "y", "z", F.col("m.t.tid").alias("tid"), F.col("m.d2").alias("d2"), F.col("m.t").alias("t"))
 
 
+_KEY = ["kx", "ky", "kz"]
+
+
+def descended(source: DataFrame, target: DataFrame, size: float) -> DataFrame:
+    """sid, tid, d2 as `nearest` has them, by halving crowded cells.
+
+    Each cell has a place of one of its targets, which bounds the distance from above,
+    and its box bounds it from below. A source point starts with the 27 cells
+    around it and goes down level by level into the eighths of crowded ones, leaving
+    all cells that lie farther than the best bound. So it ends with few cells, none
+    of which is crowded; only then do points meet points. Targets in one place
+    count as their first. Each level is a written table.
+    """
+    cell = lambda level: [V.cell(F.col(c), size / 2**level).alias("k" + c) for c in "xyz"]
+    left = scratch(target.groupBy("x", "y", "z").agg(F.min("tid").alias("tid")), "targets")
+    levels, leaves = [], None
+    for level in range(DEPTH + 1):
+        keyed = left.select("tid", "x", "y", "z", *cell(level))
+        cells = scratch(keyed.groupBy(*_KEY).agg(F.count("*").alias("n"), F.min(F.struct("tid", "x", "y", "z")).alias("rep")).select(*_KEY, (F.col("n") > (CROWD if level < DEPTH else 1 << 62)).alias("crowded"), F.col("rep.x").alias("rx"), F.col("rep.y").alias("ry"), F.col("rep.z").alias("rz")), "cells")
+        levels.append(cells)
+        split = keyed.join(cells.select(*_KEY, "crowded"), _KEY)
+        own = split.filter("not crowded").select(F.lit(level).alias("level"), *_KEY, "tid", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"))
+        leaves = own if leaves is None else leaves.unionByName(own)
+        if cells.filter("crowded").isEmpty():
+            break
+        left = scratch(split.filter("crowded").select("tid", "x", "y", "z"), "targets")
+
+    def bounded(rows: DataFrame, level: int) -> DataFrame:
+        step = size / 2**level
+        gap = [F.greatest(F.lit(0.0), F.col("k" + c) * step - F.col(c), F.col(c) - (F.col("k" + c) + 1) * step) - 1e-6 * step for c in "xyz"]
+        rep = [F.col(c) - F.col("r" + c) for c in "xyz"]
+        return rows.select("sid", "x", "y", "z", F.lit(level).alias("level"), *_KEY, "crowded", sum((F.greatest(F.lit(0.0), g) ** 2 for g in gap), F.lit(0.0)).alias("low"), V.dot(rep, rep).alias("high"))
+
+    def pruned(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("high", F.min("high").over(Window.partitionBy("sid"))).filter(F.col("low") <= F.col("high") * (1 + 1e-9))
+
+    start = source.select("sid", "x", "y", "z", *cell(0))
+    for k in _KEY:
+        start = start.withColumn("o", F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))).withColumn(k, F.col(k) + F.col("o")).drop("o")
+    rows = scratch(pruned(bounded(start.join(levels[0], _KEY), 0)), "candidates")
+    for level, cells in enumerate(levels[1:], 1):
+        # A cell's eighths are those whose halved places are its own.
+        eighths = cells.select("*", *(F.shiftright(k, 1).alias("u" + k) for k in _KEY))
+        open_ = rows.filter("crowded").select("sid", "x", "y", "z", *(F.col(k).alias("u" + k) for k in _KEY))
+        below = bounded(open_.join(eighths, ["u" + k for k in _KEY]), level)
+        new = scratch(pruned(rows.filter("not crowded").unionByName(below)), "candidates")
+        dropped(rows)
+        rows = new
+    d = [F.col(c) - F.col("t" + c) for c in "xyz"]
+    met = rows.select("sid", "x", "y", "z", "level", *_KEY).join(leaves, ["level", *_KEY]).select("sid", "tid", V.dot(d, d).alias("d2"))
+    return met.groupBy("sid").agg(F.min(F.struct("d2", "tid")).alias("m")).select("sid", "m.tid", "m.d2")
+
+
 #: Pairs that may be ranked in one task; bins of a step towards them.
 RANKED, BINS = 10_000, 1024
 
@@ -95,10 +164,10 @@ class Alignment:
 SETTLED, WORSE, DAMPING, LEAST_DAMPING, TURN, ENOUGH, FINAL_CELL = 1e-7, 1.1, 1e-3, 1e-8, 0.2, 10, 0.1
 
 
-def matched(source: DataFrame, target: DataFrame, m: np.ndarray, cell: float, distance: float, cut: float, degrees: float) -> tuple[DataFrame, DataFrame]:
+def matched(source: DataFrame, target: DataFrame, m: np.ndarray, cell: float, distance: float, cut: float, degrees: float, exploded: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The pairs that an iteration solves from: nearest, nearer than `distance`, trimmed, with normals that agree where the source has some; and the pairs that are kept in memory for it."""
     moved = source.withColumns(dict(zip("xyz", V.rigid(m, V.p()), strict=True)))
-    pairs = nearest(moved, target, cell).filter(F.col("d2") < distance * distance)
+    pairs = nearest(moved, target, cell, exploded).filter(F.col("d2") < distance * distance)
     flat = trimmed(pairs.persist(), cut).select("sid", "x", "y", "z", *(F.col("t." + c).alias(n) for c, n in (("x", "qx"), ("y", "qy"), ("z", "qz"), ("nx", "nx"), ("ny", "ny"), ("nz", "nz"))))
     if "nx" in source.columns:
         turn = np.eye(4)
@@ -132,9 +201,11 @@ def icp(source: DataFrame, target: DataFrame, initial: np.ndarray | None = None,
         keys = [V.cell(F.col(c), size).alias("k" + c) for c in "xyz"]
         pick = lambda df, i: df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), i).alias("p")).select("p.*")  # noqa: B023,E731
         s, t = pick(source, "sid").cache(), pick(target, "tid").cache()
+        # The target does not move: its cells are dealt once, and each iteration deals the source alone. A voxel has one point, so no cell is crowded.
+        cells = around(t, 2 * size).repartition("kx", "ky", "kz").cache()
         n_all, last, level = s.count(), np.inf, None
         for turn in range(iterations if min(n_all, t.count()) >= ENOUGH else 0):
-            flat, held = matched(s, t, m, 2 * size, distance, cut, degrees)
+            flat, held = matched(s, t, m, 2 * size, distance, cut, degrees, cells)
             row = normal_equations(flat).first()
             held.unpersist()
             if not row.n or row.n < 6:
@@ -160,8 +231,8 @@ def icp(source: DataFrame, target: DataFrame, initial: np.ndarray | None = None,
             move = np.eye(4)
             move[:3, :3], move[:3, 3] = V.small_rotation(turned), shift
             m = move @ m
-        s.unpersist()
-        t.unpersist()
+        for held in (cells, s, t):
+            held.unpersist()
         if level is not None:
             if level[3] > degenerate_over:
                 raise RegistrationError("degenerate geometry")
@@ -174,32 +245,49 @@ def icp(source: DataFrame, target: DataFrame, initial: np.ndarray | None = None,
 # -------------------------------------------------------------------- change
 
 
+def _least_distances(batches):
+    """Of rows (vid, fid, point, corners) each batch's nearest face of each point. The distance's expression is too large to be compiled, so it is taken for a batch at once."""
+    for batch in batches:
+        vid, fid = (batch.column(k).to_numpy() for k in (0, 1))
+        at = np.column_stack([batch.column(k).to_numpy() for k in range(2, 14)])
+        d = V.triangle_distances(at[:, :3], at[:, 3:6], at[:, 6:9], at[:, 9:])
+        order = np.lexsort((fid, np.abs(d), vid))
+        first = order[np.concatenate(([True], vid[order][1:] != vid[order][:-1]))] if len(order) else order
+        yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (vid, fid, d)], names=["vid", "fid", "d"])
+
+
 def signed_distances(points: DataFrame, tri: DataFrame, reach: float) -> DataFrame:
     """vid, d: exact signed distance to the nearest face within reach; 0 where there is none.
 
     A face lies in the grid of its own scale: cells of reach * 2**level that are no
     smaller than it, so its bounds widened by reach touch few of them. A point is
-    joined by its cell in each of the levels that occur. Pairs out of reach of the
-    bounds or of the plane go before the exact distance is taken.
+    joined by its cell in each of the levels that occur, with the bounds and the plane of the
+    faces alone; only pairs within reach of both meet the face's shape.
     """
     ends = {c: (F.least(*(F.col(k + c) for k in "abc")) - reach, F.greatest(*(F.col(k + c) for k in "abc")) + reach) for c in "xyz"}
     extent = F.greatest(*(hi - lo - 2 * reach for lo, hi in ends.values()))
-    f = tri.select("fid", *(a + c for a in "abc" for c in "xyz"), *(e.alias(n + c) for c, (lo, hi) in ends.items() for e, n in ((lo, "lo"), (hi, "hi"))), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(reach)) / reach))).cast("int").alias("level"))
+    n = V.cross(V.sub(V.p("b"), V.p("a")), V.sub(V.p("c"), V.p("a")))
+    bounds = [e.alias(k + c) for c, (lo, hi) in ends.items() for e, k in ((lo, "lo"), (hi, "hi"))]
+    plane = [c.alias("n" + k) for c, k in zip(n, "xyz", strict=True)]
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(reach)) / reach))).cast("int").alias("level")
+    f = tri.select("fid", *bounds, *plane, V.dot(V.p("a"), n).alias("at"), level)
     levels = sorted(r.level for r in f.select("level").distinct().collect())  # as many as the sizes have binary orders
     if not levels:
         return points.select("vid", "x", "y", "z", F.lit(0.0).alias("d"))
     size = F.pow(F.lit(2.0), F.col("level")) * reach
     for c in "xyz":
         f = f.withColumn("k" + c, F.explode(F.sequence(F.floor(F.col("lo" + c) / size), F.floor(F.col("hi" + c) / size))))
-    p = points.select("vid", "x", "y", "z", F.explode(F.array(*map(F.lit, levels))).alias("level"))
-    p = p.withColumns({"k" + c: F.floor(F.col(c) / size) for c in "xyz"})
-    near = p.join(f, ["level", "kx", "ky", "kz"])
+    q = points.select("vid", "x", "y", "z", F.explode(F.array(*map(F.lit, levels))).alias("level"))
+    q = q.withColumns({"k" + c: F.floor(F.col(c) / size) for c in "xyz"})
+    near = q.join(f, ["level", "kx", "ky", "kz"])
     for c in "xyz":
         near = near.filter(F.col(c).between(F.col("lo" + c), F.col("hi" + c)))
-    n = V.cross(V.sub(V.p("b"), V.p("a")), V.sub(V.p("c"), V.p("a")))
-    near = near.filter(F.abs(V.dot(V.sub(V.p(), V.p("a")), n)) <= reach * V.length(n) * (1 + 1e-9) + 1e-300)
-    near = near.withColumn("d", V.triangle_distance(V.p(), V.p("a"), V.p("b"), V.p("c")))
-    best = near.groupBy("vid").agg(F.min_by("d", F.struct(F.abs("d"), "fid")).alias("d"))
+    # Rounding: as the products are, not as their difference is.
+    slack = 1e-9 * (reach * V.length(V.p("n")) + F.abs("at"))
+    near = near.filter(F.abs(V.dot(V.p(), V.p("n")) - F.col("at")) <= reach * V.length(V.p("n")) + slack).select("vid", "x", "y", "z", "fid")
+    corners = [k + c for k in "abc" for c in "xyz"]
+    far = near.join(tri.select("fid", *corners), "fid").select("vid", "fid", "x", "y", "z", *corners)
+    best = far.mapInArrow(_least_distances, "vid long, fid long, d double").groupBy("vid").agg(F.min_by("d", F.struct(F.abs("d"), "fid")).alias("d"))
     return points.select("vid", "x", "y", "z").join(best, "vid", "left").withColumn("d", F.when(F.abs("d") <= reach, F.col("d")).otherwise(0.0))
 
 

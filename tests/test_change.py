@@ -73,3 +73,24 @@ def test_segments_of_a_box_are_its_sides(spark):
     boxes = spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0, 0.1, 0.1, 0.1), (0, 2, 0.19, 0.0, 0.0, 0.1, 0.1, 0.1)], "scan long, id long, cx double, cy double, cz double, hx double, hy double, hz double")
     kinds = {r.kind: r.value for r in segmentation.relations(boxes, 0.05).collect()}
     assert kinds["azimuth"] == pytest.approx(90) and kinds["contact"] == pytest.approx(0.01) and len(kinds) == 4
+
+
+@pytest.mark.parametrize("crowd", [3, 40])
+def test_nearest_in_crowded_cells(spark, monkeypatch, crowd):
+    monkeypatch.setattr(registration, "CROWD", crowd)
+    rng = np.random.default_rng(crowd)
+    thick = np.concatenate((rng.normal(0.3, 1e-3, (300, 3)), rng.uniform(-3, 3, (200, 3)), rng.normal(-1.7, 0.05, (150, 3)), np.full((60, 3), 0.25), rng.uniform(0, 1, (80, 3)).round(1)))
+    asked = np.concatenate((rng.uniform(-3.5, 3.5, (150, 3)), thick[::9] + rng.normal(0, 1e-3, (len(thick[::9]), 3)), [[50.0, 0, 0], [0.25, 0.25, 0.25]]))
+    t = spark.createDataFrame([(i, *map(float, p), f"t{i}") for i, p in enumerate(thick)], "tid long, x double, y double, z double, name string").repartition(5)
+    s = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(asked)], "sid long, x double, y double, z double").repartition(3)
+    got = {r.sid: r for r in registration.nearest(s, t, 1.0).collect()}
+    assert len(got) == len(asked)
+    for i, p in enumerate(asked):
+        near = np.flatnonzero((np.abs(np.floor(thick) - np.floor(p)) <= 1).all(1))
+        d2 = ((thick[near] - p) ** 2).sum(1)
+        want = min(zip(d2, near, strict=True), default=(None, None))
+        assert got[i].tid == want[1]
+        if want[1] is not None:
+            assert got[i].d2 == pytest.approx(want[0], abs=1e-12) and got[i].t.name == f"t{want[1]}"
+    plan = registration.descended(s, t, 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
