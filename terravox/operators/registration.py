@@ -28,28 +28,46 @@ CROWD, DEPTH = 512, 24
 
 
 def around(target: DataFrame, size: float) -> DataFrame:
-    """The target's rows (in t), once for each of the 27 cells around their own."""
-    t = target.select(F.struct("*").alias("t"), *_cells(size))
+    """tid and place (tx, ty, tz) of each target, once for each of the 27 cells around its own."""
+    t = target.select("tid", *(F.col(c).alias("t" + c) for c in "xyz"), *_cells(size))
     for k in ("kx", "ky", "kz"):
         t = t.withColumn("o", F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))).withColumn(k, F.col(k) + F.col("o")).drop("o")
     return t
 
 
-def nearest(source: DataFrame, target: DataFrame, size: float, exploded: DataFrame | None = None) -> DataFrame:
+def _first_nearest(batches):
+    """Of rows (sid, tid, d2) each batch's least (d2, tid) of each sid, so that few rows are shuffled; a JVM aggregate over the pair would sort them all."""
+    for batch in batches:
+        sid, tid, d2 = (batch.column(k).to_numpy() for k in range(3))
+        order = np.lexsort((tid, d2, sid))
+        first = order[np.concatenate(([True], sid[order][1:] != sid[order][:-1]))] if len(order) else order
+        yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (sid, tid, d2)], names=["sid", "tid", "d2"])
+
+
+def least(pairs: DataFrame) -> DataFrame:
+    """sid, tid, d2: the least (d2, tid) of each sid, of pairs (sid, tid, d2) with whole-number ids."""
+    few = pairs.select(F.col("sid").cast("long"), F.col("tid").cast("long"), "d2").mapInArrow(_first_nearest, "sid long, tid long, d2 double")
+    return few.groupBy("sid").agg(F.min(F.struct("d2", "tid")).alias("m")).select("sid", "m.tid", "m.d2")
+
+
+def nearest(source: DataFrame, target: DataFrame, size: float, exploded: DataFrame | None = None, within: float | None = None) -> DataFrame:
     """sid, tid, d2 (and the target's row in t): the nearest target within the 27 cells around each source point.
 
     source(sid, x, y, z), target(tid, x, y, z, ...). A source point without one has nulls.
-    exploded: the target's rows by cell, from `around`, for a target that is asked again
+    exploded: the target's places by cell, from `around`, for a target that is asked again
     and again and is thin. Else cells with more than CROWD targets are halved until
     none has (see `descended`), so that no cell's points all meet in one task.
+    within: pairs at this distance or farther are no candidates.
     """
     if exploded is None and (target.groupBy(*_cells(size)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > CROWD:
         best = descended(source, target, size)
-        return source.select("sid", "x", "y", "z").join(best, "sid", "left").join(target.select("tid", F.struct(*target.columns).alias("t")), "tid", "left").select("sid", "x", "y", "z", "tid", "d2", "t")
-    s = source.select("sid", "x", "y", "z", *_cells(size))
-    d = V.sub(V.p(), V.p("t."))
-    near = s.join(around(target, size) if exploded is None else exploded, ["kx", "ky", "kz"]).withColumn("d2", V.dot(d, d)).groupBy("sid").agg(F.min_by(F.struct("d2", "t"), F.struct("d2", "t.tid")).alias("m"))
-    return source.select("sid", "x", "y", "z").join(near, "sid", "left").select("sid", "x", "y", "z", F.col("m.t.tid").alias("tid"), F.col("m.d2").alias("d2"), F.col("m.t").alias("t"))
+    else:
+        s = source.select("sid", "x", "y", "z", *_cells(size))
+        d = V.sub(V.p(), V.p("t"))
+        met = s.join(around(target, size) if exploded is None else exploded, ["kx", "ky", "kz"]).select("sid", "tid", V.dot(d, d).alias("d2"))
+        best = least(met if within is None else met.filter(F.col("d2") < within * within))
+    found = source.select("sid", "x", "y", "z").join(best, "sid", "left")
+    return found.join(target.select("tid", F.struct(*target.columns).alias("t")), "tid", "left").select("sid", "x", "y", "z", "tid", "d2", "t")
 
 
 _KEY = ["kx", "ky", "kz"]
@@ -102,7 +120,7 @@ def descended(source: DataFrame, target: DataFrame, size: float) -> DataFrame:
         rows = new
     d = [F.col(c) - F.col("t" + c) for c in "xyz"]
     met = rows.select("sid", "x", "y", "z", "level", *_KEY).join(leaves, ["level", *_KEY]).select("sid", "tid", V.dot(d, d).alias("d2"))
-    return met.groupBy("sid").agg(F.min(F.struct("d2", "tid")).alias("m")).select("sid", "m.tid", "m.d2")
+    return least(met)
 
 
 #: Pairs that may be ranked in one task; bins of a step towards them.
@@ -164,10 +182,20 @@ class Alignment:
 SETTLED, WORSE, DAMPING, LEAST_DAMPING, TURN, ENOUGH, FINAL_CELL = 1e-7, 1.1, 1e-3, 1e-8, 0.2, 10, 0.1
 
 
+def moved_by(source: DataFrame, m: np.ndarray) -> DataFrame:
+    """source moved by a rigid transform that is a row of its own: as literals its numbers would have each iteration's plan compiled anew."""
+    m = np.array(m, float)
+    m[:3, :3] /= np.maximum(np.linalg.norm(m[:3, :3], axis=0), 1e-12)
+    row = source.sparkSession.createDataFrame([(m[:3].ravel().tolist(),)], "__m array<double>")
+    at = lambda r, c: F.element_at("__m", 4 * r + c + 1)
+    place = {k: sum((at(r, c) * F.col(n) for c, n in enumerate("xyz")), at(r, 3)) for r, k in enumerate("xyz")}
+    return source.crossJoin(F.broadcast(row)).withColumns(place).drop("__m")
+
+
 def matched(source: DataFrame, target: DataFrame, m: np.ndarray, cell: float, distance: float, cut: float, degrees: float, exploded: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The pairs that an iteration solves from: nearest, nearer than `distance`, trimmed, with normals that agree where the source has some; and the pairs that are kept in memory for it."""
-    moved = source.withColumns(dict(zip("xyz", V.rigid(m, V.p()), strict=True)))
-    pairs = nearest(moved, target, cell, exploded).filter(F.col("d2") < distance * distance)
+    moved = moved_by(source, m)
+    pairs = nearest(moved, target, cell, exploded, distance).filter(F.col("d2") < distance * distance)
     flat = trimmed(pairs.persist(), cut).select("sid", "x", "y", "z", *(F.col("t." + c).alias(n) for c, n in (("x", "qx"), ("y", "qy"), ("z", "qz"), ("nx", "nx"), ("ny", "ny"), ("nz", "nz"))))
     if "nx" in source.columns:
         turn = np.eye(4)
@@ -200,7 +228,8 @@ def icp(source: DataFrame, target: DataFrame, initial: np.ndarray | None = None,
     for size in voxels:
         keys = [V.cell(F.col(c), size).alias("k" + c) for c in "xyz"]
         pick = lambda df, i: df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), i).alias("p")).select("p.*")  # noqa: B023,E731
-        s, t = pick(source, "sid").cache(), pick(target, "tid").cache()
+        # Few points meet many: they stay in as many tasks as a shuffle has, however little there is of them.
+        s, t = pick(source, "sid").repartition(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid").cache(), pick(target, "tid").cache()
         # The target does not move: its cells are dealt once, and each iteration deals the source alone. A voxel has one point, so no cell is crowded.
         cells = around(t, 2 * size).repartition("kx", "ky", "kz").cache()
         n_all, last, level = s.count(), np.inf, None
