@@ -223,3 +223,36 @@ def test_op13_index_omits_and_loses_nothing():
         assert set(zip(a.tolist(), r.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(exact >= t[:, None])), strict=True))
         assert (s == exact[a, r]).all()
         assert (sum((values != 0).sum() for _, values in index.postings) < (rows != 0).sum()) == (share > 0)
+
+
+# ---------------------------------------------------------------------- op 6
+
+
+def test_op6_packed_counts_are_unpacked():
+    from terravox.llm import quality_ratio
+
+    rng = np.random.default_rng(6)
+    keys = np.unique(rng.integers(0, 1 << 18, 40_000))
+    n = rng.integers(1, 1 << 40, len(keys))
+    blocks, data = quality_ratio.packed_counts(keys, n)
+    back = [quality_ratio.unpacked_counts(b, d) for b, d in zip(blocks, data, strict=True)]
+    assert (np.concatenate([k for k, _ in back]) == keys).all() and (np.concatenate([m for _, m in back]) == n).all()
+    one = quality_ratio.packed_counts(np.array([2 * quality_ratio.BLOCK - 1]), np.array([7]))
+    assert [(k.tolist(), m.tolist()) for k, m in map(quality_ratio.unpacked_counts, *one)] == [([2 * quality_ratio.BLOCK - 1], [7])]
+
+
+def test_op6_registered_size_equals_plain_counts(spark, sf_dir):
+    from terravox.llm import common, quality_ratio
+
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    trusted = common.stored(labels.filter("quality = 1").select("doc_id"), "trusted")
+    buckets = quality_ratio.model_size(docs)
+    raw, target = quality_ratio.count_ngrams(docs, trusted, buckets, at_once=5000)
+    good, want, own = {r.doc_id for r in trusted.collect()}, np.zeros(buckets), np.zeros(buckets)
+    for r in docs.collect():
+        h, _, _, first = common.hashed_words([(r.text or "").encode()])
+        b, _ = quality_ratio.ngram_buckets(h, first, buckets)
+        np.add.at(want, b, 1)
+        if r.doc_id in good:
+            np.add.at(own, b, 1)
+    assert (raw == want).all() and (target == own).all()
