@@ -19,6 +19,11 @@ def iso_ms(ts: Column) -> Column:
     return F.date_format(F.timestamp_millis(unix_ms(ts)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def parsed_iso(text: Column) -> Column:
+    """The instant of a UTC text with or without fractions of a second; null for any other text."""
+    return F.when(text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,6})?Z$"), F.try_to_timestamp(text))
+
+
 def unix_ms(ts: Column) -> Column:
     return F.round(F.unix_micros(ts) / 1000.0).cast("long")
 

@@ -131,6 +131,57 @@ def payload(root: str, ms: int, author: str) -> bytes:
     return f"{root}|{ms}|{author}".encode()
 
 
+def payload_text(root, ms, author):
+    """The signed text of seals, as a column."""
+    return F.concat_ws("|", root, ms.cast("string"), author)
+
+
+def signatures(seals: DataFrame, signer: Signer) -> DataFrame:
+    """seals(text, ...) with `signature`, as hex text."""
+    return _signed(seals.withColumn("signature", F.lit("")), lambda text, _: signer.sign(text.encode()).hex(), "signature", T.StringType())
+
+
+def signature_checks(seals: DataFrame, signer: Signer) -> DataFrame:
+    """seals(text, signature, ...) with `genuine`; a signature that is no hex text is not."""
+
+    def check(text, signature):
+        try:
+            return text is not None and signer.verify(text.encode(), bytes.fromhex(signature))
+        except (ValueError, TypeError):
+            return False
+
+    return _signed(seals.withColumn("genuine", F.lit(False)), check, "genuine", T.BooleanType())
+
+
+def _signed(rows: DataFrame, fn, name: str, kind: T.DataType) -> DataFrame:
+    """rows with column `name` filled by fn(text, signature), a batch at a time where the rows lie."""
+    at, text, signature = (rows.columns.index(c) if c in rows.columns else None for c in (name, "text", "signature"))
+    kind_ = to_arrow_type(kind)
+
+    def run(batches):
+        for batch in batches:
+            texts, given = batch.column(text).to_pylist(), batch.column(signature).to_pylist()
+            columns = [pa.array([fn(t, g) for t, g in zip(texts, given, strict=True)], kind_) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def verified_chains(seals: DataFrame, declared: DataFrame, found: DataFrame, signer: Signer, by: str, order: str) -> DataFrame:
+    """by, fault, at of all bundles: links, places and files as `chain_faults`, seals with a false signature, and the root where the last seal's is not that of the declared files.
+
+    seals(by, order, seal_hash, prev_hash, root_hash, ms, author, signature), declared(by, relative_path, bytes, sha256), found(by, relative_path, sha256).
+    """
+    text = payload_text(F.col("root_hash"), F.col("ms"), F.col("author"))
+    false = signature_checks(seals.select(by, F.col(order).alias("at"), text.alias("text"), "signature"), signer).filter("not genuine")
+    last = seals.groupBy(by).agg(F.max_by("root_hash", order).alias("sealed"), F.max(order).alias("at"))
+    roots = last.join(root_hash(declared, by), by, "left").filter(~F.col("sealed").eqNullSafe(F.col("root_hash")))
+    out = chain_faults(seals, declared, found, by, order)
+    for rows, fault in ((false, "signature"), (roots, "root hash")):
+        out = out.unionByName(rows.select(by, F.lit(fault).alias("fault"), F.col("at").cast("string").alias("at")))
+    return out
+
+
 def seal(entries: list[dict], author: str, ms: int, previous: dict | None, signer: Signer) -> dict:
     """The seal of one bundle's manifest entries, linked to the previous seal."""
     ordered = sorted(entries, key=lambda e: e["relativePath"])

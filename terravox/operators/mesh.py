@@ -425,19 +425,17 @@ def closed(vertices: DataFrame, faces: DataFrame, onto: tuple | None = None) ->
 
 
 def clipped_faces(tri: DataFrame, centre, axes, half) -> DataFrame:
-    """Faces (ax..cz) cut to a box: inside ones stay, crossing ones are cut by its six planes and fanned; those with all corners outside go."""
+    """Faces (ax..cz) cut to a box: inside ones stay, crossing ones are cut by its six planes and fanned; those with all corners outside go. Only crossing faces leave the JVM."""
     planes = [(np.array(a, float) * s, float(h)) for a, h in zip(axes, half, strict=True) for s in (1, -1)]
     c0 = np.array(centre, float)
+    names = [a + c for a in "abc" for c in "xyz"]
 
     def cut(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
                 poly = [np.array(v) for v in ((r.ax, r.ay, r.az), (r.bx, r.by, r.bz), (r.cx, r.cy, r.cz))]
-                inside = [all((v - c0) @ n <= h + 1e-3 for n, h in planes) for v in poly]
-                if not any(inside):
-                    continue
-                for n, h in [] if all(inside) else planes:
+                for n, h in planes:
                     kept = []
                     for v, w in zip(poly, [*poly[1:], poly[0]], strict=True) if poly else ():
                         dv, dw = (v - c0) @ n - h, (w - c0) @ n - h
@@ -447,6 +445,19 @@ def clipped_faces(tri: DataFrame, centre, axes, half) -> DataFrame:
                             kept.append(v + (w - v) * (dv / (dv - dw)))
                     poly = kept
                 out += [(r.mesh_id, r.fid, k, *poly[0], *poly[k], *poly[k + 1]) for k in range(1, len(poly) - 1)]
-            yield pd.DataFrame(out, columns=["mesh_id", "fid", "piece", *(a + c for a in "abc" for c in "xyz")])
-
-    return tri.mapInPandas(cut, "mesh_id long, fid long, piece long, " + ", ".join(f"{a}{c} double" for a in "abc" for c in "xyz"))
+            yield pd.DataFrame(out, columns=["mesh_id", "fid", "piece", *names])
+
+    inside = [V.in_box(V.p(k), centre, axes, half) for k in "abc"]
+    flagged = tri.select("mesh_id", "fid", *names, (inside[0] & inside[1] & inside[2]).alias("whole"), (inside[0] | inside[1] | inside[2]).alias("some"))
+    crossing = flagged.filter("some and not whole").select("mesh_id", "fid", *names).mapInPandas(cut, "mesh_id long, fid long, piece long, " + ", ".join(f"{n} double" for n in names))
+    return flagged.filter("whole").select(F.col("mesh_id").cast("long"), F.col("fid").cast("long"), F.lit(1).cast("long").alias("piece"), *(F.col(n).cast("double") for n in names)).unionByName(crossing)
+
+
+def welded(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices and faces of pieces (mesh_id, fid, piece, ax..cz): corners in one place are one vertex, numbered by their first piece and corner."""
+    corner = pieces.select("mesh_id", "fid", "piece", F.posexplode(F.array(*(F.struct(*((F.col(k + c) + 0.0).alias(c) for c in "xyz")) for k in "abc"))).alias("k", "p"))
+    first = corner.groupBy("mesh_id", "p").agg(F.min(F.struct("fid", "piece", "k")).alias("o"))
+    v = numbered(first.select("mesh_id", "p", "o"), "o")
+    wide = corner.join(v.select("mesh_id", "p", "vid"), ["mesh_id", "p"]).groupBy("mesh_id", "fid", "piece").agg(*(F.max(F.when(F.col("k") == k, F.col("vid"))).alias(n) for k, n in enumerate("abc")))
+    f = numbered(wide.select("mesh_id", F.struct("fid", "piece").alias("o"), "a", "b", "c"), "o")
+    return v.select("mesh_id", "vid", "p.*"), f.select("mesh_id", F.col("vid").alias("fid"), "a", "b", "c")

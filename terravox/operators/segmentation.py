@@ -53,6 +53,11 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
+def reboxed(members: DataFrame, vertices: DataFrame, by: str = "segment") -> DataFrame:
+    """The box of each segment of members(by, mesh_id, vid), after its vertices have changed."""
+    return segment_boxes(members.select(by, "mesh_id", "vid").distinct().join(vertices.select("mesh_id", "vid", "x", "y", "z"), ["mesh_id", "vid"]), by)
+
+
 def corners(boxes: DataFrame) -> DataFrame:
     """boxes (id, cx..cz, hx..hz), level ones, with the array of their eight corners (x, y, z)."""
     at = lambda k: F.struct(*((F.col("c" + c) + (1.0 if k >> b & 1 else -1.0) * F.col("h" + c)).alias(c) for b, c in enumerate("xyz")))

@@ -59,6 +59,21 @@ def field_volume(cells: DataFrame, size: float, by: tuple[str, ...] = ()) -> Dat
     )
 
 
+#: Fixed value: how many points of a prior scan give its support plane.
+SUPPORT = 2000
+
+
+def support_plane(prior: DataFrame, order: str, most: int = SUPPORT) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Mean and direction of least variance of the first points of a prior scan by `order`, through which its heights are taken."""
+    from .fit import plane
+
+    first = prior.orderBy(order).limit(most)
+    if len(first.limit(3).collect()) < 3:
+        raise VolumeError("the prior scan has too few points")
+    found = plane(first)
+    return tuple(map(float, found["point"])), tuple(map(float, found["normal"]))
+
+
 def gaps(there: DataFrame, by: str) -> DataFrame:
     """by, i, j0, j1, open: the runs of empty cells between two filled ones of a row.
 

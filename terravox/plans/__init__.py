@@ -1,3 +1,3 @@
 """Registered queries: importing the package registers them all."""
 
-from . import catalog, stores  # noqa: F401
+from . import catalog, more, stores  # noqa: F401

@@ -824,10 +824,23 @@ def export_geojson_feature(spark, sf_dir):
     return records.geojson(s, 300000 + F.col("s_suppkey"), (6000000 + F.col("s_nationkey")).cast("long"), F.lit(32719), {"title": F.col("s_name"), "id": F.col("s_suppkey").cast("string")}).select("s_suppkey", "feature")
 
 
-@query(f"with {A.PART_F} select p_partkey as mesh_id, 1 as part, k + 1 as ord, 'v ' || p_partkey || ' ' || k || ' ' || p_size as line from part, unnest(generate_series(0, 7)) t(k) union all select mesh_id, 2, fid, 'f ' || (a + 1) || ' ' || (b + 1) || ' ' || (c + 1) from pf")
+_OBJ = f"select p_partkey as mesh_id, 0 as part, 0 as ord, 'o ' || p_partkey as line from part union all select p_partkey, 1, k + 1, 'v ' || (p_partkey / 2e0) || ' ' || (k + 25e-2) || ' ' || p_size from part, unnest(generate_series(0, 7)) t(k)"
+
+
+def _obj_vertices(spark, sf_dir):
+    v = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("mesh_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("vid"), (F.col("p_partkey") / 2.0).alias("x"), "p_size")
+    return v.select("mesh_id", "vid", "x", (F.col("vid") + 0.25).alias("y"), F.col("p_size").alias("z"))
+
+
+@query(f"with {A.PART_F} {_OBJ} union all select mesh_id, 3, fid, 'f ' || (a + 1) || ' ' || (b + 1) || ' ' || (c + 1) from pf")
 def export_obj_lines(spark, sf_dir):
-    v = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("mesh_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("vid"), F.col("p_partkey").alias("x"), "p_size").select("mesh_id", "vid", "x", F.col("vid").alias("y"), F.col("p_size").alias("z"))
-    return records.obj_lines(v, A.part_faces(spark, sf_dir))
+    return records.obj_lines(_obj_vertices(spark, sf_dir), A.part_faces(spark, sf_dir))
+
+
+@query(f"with {A.PART_F} {_OBJ} union all select p_partkey, 2, k + 1, 'vn 0.0 ' || (k / 4e0) || ' -1.0' from part, unnest(generate_series(0, 7)) t(k) union all select mesh_id, 3, fid, 'f ' || (a + 1) || '//' || (a + 1) || ' ' || (b + 1) || '//' || (b + 1) || ' ' || (c + 1) || '//' || (c + 1) from pf")
+def export_obj_normals(spark, sf_dir):
+    v = _obj_vertices(spark, sf_dir)
+    return records.obj_lines(v, A.part_faces(spark, sf_dir), v.select("mesh_id", "vid", F.lit(0.0).alias("nx"), (F.col("vid") / 4.0).alias("ny"), F.lit(-1.0).alias("nz")))
 
 
 def _through_ply(spark, sf_dir):
