@@ -71,15 +71,6 @@ def few(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") ->
     return left.join(F.broadcast(right) if right.count() * ROW_BYTES <= BROADCAST_BYTES else right, on, how)
 
 
-def own_session(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
-    """A session beside spark's, with its settings and these."""
-    own = spark.newSession()
-    for key, value in (spark.conf.getAll | settings).items():
-        if spark.conf.isModifiable(key):
-            own.conf.set(key, value)
-    return own
-
-
 def bounded_batches(df: DataFrame) -> DataFrame:
     """df, in a session whose Arrow batches hold at most 1,000 rows and 8 MB: texts are long, and a Python worker keeps the most it ever used."""
     conf = df.sparkSession.conf

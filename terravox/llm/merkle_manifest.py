@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, few, own_session, reopened, stored
+from ..sessions import own_session
+from .common import BROADCAST_BYTES, few, reopened, stored
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: A step of a proof: the sibling's side (- for none) and its digest.

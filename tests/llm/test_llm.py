@@ -247,7 +247,7 @@ def test_oracles(spark):
 
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     for name, sql in queries.ORACLE_SQL.items():
         df = queries.QUERIES[name](spark, sf)
