@@ -10,7 +10,7 @@ item, diagonal), of which those with two anchors or more stay. Each candidate is
 then compared with the document word by word, in the index: every word of the item
 is looked up at its place on the diagonal, so matches are exact and no text is
 read again. Anchors that fall near one another, but not on one diagonal, are
-proximity matches; they are counted beside the exact ones.
+proximity matches; they are counted beside the exact ones, and `matches` gives the places of both.
 
 All of it is DataFrame operations. Benchmark-side tables are broadcast by Spark
 only while their files are below its broadcast threshold; beyond it the same
@@ -111,14 +111,19 @@ def verified(index: DataFrame, found: DataFrame, items: DataFrame, window: int)
     return whole.select("key", "item", (F.col("diag") + F.col("s")).alias("start"), "n")
 
 
-def found_in(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, key, n_words of every row of docs; hits: key, n_hit, items, n_near of those with any), written tables."""
+def searched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(index, items, places of whole windows, diagonals), written tables."""
     items = stored(benchmark_items(benchmark), "items")
     terms = stored(items.select(F.explode("words").alias("term")).distinct(), "terms")
     index = stored(index_of(keyed(docs), terms), "index")
     anchor = stored(anchors(items, frequencies(index, terms), window), "anchors")
     met = stored(diagonals(index.select("term", "key", "pos"), anchor), "diagonals")
-    places = stored(verified(index, stored(candidates(met, items), "candidates"), items, window), "places")
+    return index, items, stored(verified(index, stored(candidates(met, items), "candidates"), items, window), "places"), met
+
+
+def found_in(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, key, n_words of every row of docs; hits: key, n_hit, items, n_near of those with any), written tables."""
+    index, items, places, met = searched(docs, benchmark, window)
     words = places.select("key", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
     ids = places.select("key", "item").distinct().join(items.select("item", "ids"), "item").select("key", F.explode("ids").alias("id")).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("items"))
     near = proximity_matches(met, items).groupBy("key").agg(F.count("*").alias("n_near"))
@@ -126,6 +131,18 @@ def found_in(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tup
     return index.filter(F.col("term") == END).select("doc_id", "key", F.col("pos").cast("long").alias("n_words")), hits
 
 
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = 5, least: int = 2) -> DataFrame:
+    """doc_id, item_id, kind, start, n: every place of a whole window (kind exact; start is its first word in the document, n its words) and every item near by (kind near; start is where the item would begin, n its anchors there).
+
+    Rows of one id and text are one document; items of equal words are told by each of their ids.
+    """
+    index, items, places, met = searched(docs.select("doc_id", "text"), benchmark, window)
+    names = index.filter(F.col("term") == END).select("doc_id", "key").distinct()
+    exact = places.select("key", "item", F.lit("exact").alias("kind"), F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n")).distinct()
+    near = proximity_matches(met, items, slack, least).select("key", "item", F.lit("near").alias("kind"), F.col("diag").cast("long").alias("start"), F.col("n").cast("long").alias("n"))
+    return exact.unionByName(near).join(items.select("item", "ids"), "item").join(names, "key").select("doc_id", F.explode("ids").alias("item_id"), "kind", "start", "n")
+
+
 def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, key, n_words, n_hit, items, n_near, contaminated of every row of docs."""
     rows, hits = found_in(docs, benchmark, window)

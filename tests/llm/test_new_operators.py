@@ -256,3 +256,41 @@ def test_op6_registered_size_equals_plain_counts(spark, sf_dir):
         if r.doc_id in good:
             np.add.at(own, b, 1)
     assert (raw == want).all() and (target == own).all()
+
+
+# ---------------------------------------------------------------------- op 5
+
+
+def test_op5_matches_have_their_places(spark):
+    from terravox.llm import decontaminate
+
+    item = " ".join(f"w{i}" for i in range(20))
+    loose = "aa bb cc dd ee ff gg hh"
+    bench = spark.createDataFrame([("one", item), ("same", item.upper()), ("two", loose), (None, "solo")], "item_id string, text string")
+    body = f"x y z {item} end"
+    docs = spark.createDataFrame([(1, body), (1, body), (2, "aa bb cc so dd ee it ff gg hh"), (3, "nothing here"), (4, None), (5, "solo and solo")], "doc_id long, text string")
+    got = {tuple(r) for r in decontaminate.matches(docs, bench).collect()}
+    exact = {r for r in got if r[2] == "exact"}
+    assert exact == {(1, i, "exact", s, 13) for i in ("one", "same") for s in range(3, 11)} | {(5, "", "exact", s, 1) for s in (0, 2)}
+    near = {r[:2] for r in got if r[2] == "near"}
+    assert (2, "two") in near and {r[0] for r in got} == {1, 2, 5}
+    assert decontaminate.matches(docs.limit(0), bench).count() == 0
+
+
+def test_op3_very_long_urls(spark):
+    from terravox.llm import url_filter
+
+    urls = ["http://x.org/" + "a" * 20_000, "http://" + "b." * 5_000 + "com/fr/" + "c" * 10, "http://example.org/en/1" + "?q" * 10_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.url_verdicts(pages).collect()}
+    assert [(got[i].rule, got[i].verdict) for i in range(3)] == [("org/", "allow"), ("com/fr/", "allow"), ("example.org/en/1", "block")]
+    assert len(got[0].path) == 20_001 and len(got[1].host) == 10_003
+
+
+def test_op4_one_row_many_times(spark):
+    from terravox.llm import paragraph_dedup
+
+    text = " ".join(f"t{i}" for i in range(80))
+    rows = [(7, text)] * 60 + [(8, text), (9, "other words " * 4)]
+    got = paragraph_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(r.doc_id for r in got) == [7] * 60 + [8] and len({r.class_id for r in got}) == 1
