@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terravox.errors import ExportError, MeshError, RegistrationError, StoreError, StratigraphyError
+from terravox.errors import ExportError, GeometryError, MeshError, RegistrationError, StoreError, StratigraphyError
 from terravox.functions import vectors as V
 from terravox.operators import custody, fit, mesh, positioning, registration, segmentation, store, volume
 from terravox.sources import meshfiles, records
