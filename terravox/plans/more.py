@@ -91,9 +91,9 @@ def geo_site_frame(spark, sf_dir):
     return rounded(spark.createDataFrame([(burst, float(got["yaw"]), float(got["sigma"]), float(got["utm"]["easting"]), float(got["utm"]["northing"]), got["quality"])], "burst_id long, yaw double, sigma double, easting double, northing double, quality string"), 4)
 
 
-@query()
+@query(f"with {A.SOUP_V}, g as (select cast(floor(x / 5e-1) as bigint) as i, cast(floor(z / 5e-1) as bigint) as j, max(y) as b, max(y + 3e-1) as c from sv group by 1, 2) select {r('coalesce(sum(case when c - b > 1.5e-1 then c - b end), 0) * 2.5e-1', 'gained', 4)}, {r('coalesce(sum(case when c - b < -1.5e-1 then b - c end), 0) * 2.5e-1', 'lost', 4)}, count(*) as cells from g")
 def diff_pipeline(spark, sf_dir):
-    """Gained and lost volume of two halves of the points about the surface of one."""
+    """Gained and lost volume of a scan that has risen by 0.3 against the surface of the one before."""
     import numpy as np
 
     v = A.soup_vertices(spark, sf_dir)
