@@ -1,5 +1,7 @@
 """What keeps the registered queries whole on large tables."""
 
+import re
+
 import pytest
 
 from terravox.plans import adapters, registry
@@ -32,3 +34,41 @@ def test_meshes_are_dealt(spark, sf_dir, monkeypatch):
     for df in (adapters.part_vertices(spark, sf_dir), adapters.part_faces(spark, sf_dir)):
         parts = df.select("mesh_id").rdd.mapPartitions(lambda rows: [{r.mesh_id for r in rows}]).collect()
         assert len(parts) == 1 + n // 30 and sum(map(len, parts)) == n == len(set.union(*parts))
+
+
+@pytest.mark.parametrize("name", ["edge_multiplicity", "mesh_watertightness"])
+def test_edges_are_counted_where_meshes_are_dealt(spark, sf_dir, monkeypatch, name):
+    """Edges stay with their mesh: what is shuffled before they are counted is the parts' rows."""
+    monkeypatch.setattr(adapters, "MESHES_A_TASK", 30)
+    plan = static_plan(registry.QUERIES[name](spark, sf_dir))
+    assert "REPARTITION_BY_NUM" in plan and not re.search(r"hashpartitioning\(mesh_id#\d+L?, lo#", plan)
+
+
+def test_decoded_files_share_batches(spark, monkeypatch):
+    """Files are handed on together, not a frame each, and equal what was encoded."""
+    import pandas as pd
+
+    from terravox.sources import meshfiles
+
+    v = adapters.part_vertices(spark, "/root/testdata/sf0.001").filter("mesh_id < 40")
+    f = adapters.part_faces(spark, "/root/testdata/sf0.001").filter("mesh_id < 40")
+    rows = meshfiles.encoded(v, f).toPandas()
+    decode = {}
+    monkeypatch.setattr(meshfiles, "scratch", lambda df, label: df)
+
+    class Contents:
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, function, schema):
+            decode["f"] = function
+            return spark.createDataFrame([], schema)
+
+    meshfiles.decoded_ply(Contents())
+    made = list(decode["f"]([rows]))
+    assert len(made) == 1
+    got = pd.concat(made)
+    want = f.toPandas().sort_values(["mesh_id", "fid"])
+    mine = got[got.kind == "f"].sort_values(["mesh_id", "id"])
+    assert mine[["mesh_id", "id", "a", "b", "c"]].to_numpy().tolist() == want[["mesh_id", "fid", "a", "b", "c"]].to_numpy().tolist()
+    assert (got.kind == "v").sum() == 8 * len(rows)
