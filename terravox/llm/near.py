@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.mesh import labelled
+from ..operators.mesh import in_rounds
 from .common import bounded_batches, hashed_words, in_chunks, shingle_hashes, tidied, utf8_list
 
 #: Sets in a block.
@@ -225,4 +225,4 @@ def distinct_leaves(leaves: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, component (its least node) of the graph with these edges, as a written table."""
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    return labelled(both.select(F.explode(F.array("u", "v")).alias("node")).distinct(), both)
+    return in_rounds(both.select(F.explode(F.array("u", "v")).alias("node")).distinct(), both)

@@ -72,3 +72,32 @@ def test_decoded_files_share_batches(spark, monkeypatch):
     mine = got[got.kind == "f"].sort_values(["mesh_id", "id"])
     assert mine[["mesh_id", "id", "a", "b", "c"]].to_numpy().tolist() == want[["mesh_id", "fid", "a", "b", "c"]].to_numpy().tolist()
     assert (got.kind == "v").sum() == 8 * len(rows)
+
+
+@pytest.mark.parametrize("name", ["volume_closed_mesh", "mesh_vertex_normals"])
+def test_dealt_meshes_stay(spark, sf_dir, monkeypatch, name):
+    """Corners and vertices of dealt meshes are joined where they are: nothing but the parts' rows is shuffled."""
+    monkeypatch.setattr(adapters, "MESHES_A_TASK", 30)
+    assert not re.search(r"hashpartitioning\(mesh_id#\d+L?, [a-z]", static_plan(registry.QUERIES[name](spark, sf_dir)))
+
+
+def test_components_without_rounds(spark, monkeypatch):
+    """Components that lie together are joined where they are, those over several tasks by links of their centres."""
+    from pyspark.sql import functions as F
+
+    from terravox.operators import mesh
+
+    node = lambda c: F.struct(F.lit(7).cast("long").alias("mesh_id"), c.cast("long").alias("vid"))
+    n = spark.range(3000)
+    nodes = n.select(node(F.col("id")).alias("node"))
+    chains = n.filter("id % 10 < 9").select(node(F.col("id")).alias("u"), node(F.col("id") + 1).alias("v")).repartition(5)
+    got = lambda edges: {r.node.vid: r.component.vid for r in mesh.labelled(nodes, edges).collect()}
+    rounds = mesh.in_rounds
+    monkeypatch.setattr(mesh, "in_rounds", lambda *_: pytest.fail("rounds"))
+    assert got(chains) == {i: i // 10 * 10 for i in range(3000)}
+    # An edge to what is no node joins nothing.
+    stray = spark.createDataFrame([((7, 5), (7, -1)), ((7, 25), (7, -1))], chains.schema)
+    assert got(chains.unionByName(stray)) == {i: i // 10 * 10 for i in range(3000)}
+    monkeypatch.setattr(mesh, "in_rounds", rounds)
+    monkeypatch.setattr(mesh, "TOGETHER", 64)
+    assert got(chains) == {i: i // 10 * 10 for i in range(3000)}
