@@ -285,38 +285,58 @@ def _least_distances(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (vid, fid, d)], names=["vid", "fid", "d"])
 
 
+#: Cells of a reach in which a point looks for a corner that bounds its distance, fine ones first.
+FINER = (32, 16, 8, 4)
+#: Tasks over which the points of one cell are dealt.
+DEALS = 8
+
+
+def bounded_by_corners(points: DataFrame, tri: DataFrame, reach: float) -> DataFrame:
+    """vid, x, y, z, r: no nearest face within reach is farther than r, as a corner in the point's own cell of some size is that near."""
+    corner = tri.select(F.explode(F.array(*(F.struct(*(F.col(k + c).alias(c) for c in "xyz")) for k in "abc"))).alias("p")).select("p.*")
+    out = points.select("vid", "x", "y", "z", F.lit(float(reach)).alias("r"))
+    for fine in FINER:
+        rep = corner.groupBy(*_cells(reach / fine)).agg(F.min(F.struct("x", "y", "z")).alias("rep"))
+        off = [F.col(c) - F.col("rep." + c) for c in "xyz"]
+        out = out.select("*", *_cells(reach / fine)).join(rep, ["kx", "ky", "kz"], "left").select("vid", "x", "y", "z", F.least("r", V.length(off) * (1 + 1e-6)).alias("r"))
+    return out
+
+
 def signed_distances(points: DataFrame, tri: DataFrame, reach: float) -> DataFrame:
     """vid, d: exact signed distance to the nearest face within reach; 0 where there is none.
 
     A face lies in the grid of its own scale: cells of reach * 2**level that are no
     smaller than it, so its bounds widened by reach touch few of them. A point is
-    joined by its cell in each of the levels that occur, with the bounds and the plane of the
-    faces alone; only pairs within reach of both meet the face's shape.
+    joined by its cell in each of the levels that occur; only pairs whose bounds and plane are as
+    near as some corner is (see `bounded_by_corners`) meet the face's shape, in the task that joined them.
     """
     ends = {c: (F.least(*(F.col(k + c) for k in "abc")) - reach, F.greatest(*(F.col(k + c) for k in "abc")) + reach) for c in "xyz"}
     extent = F.greatest(*(hi - lo - 2 * reach for lo, hi in ends.values()))
     n = V.cross(V.sub(V.p("b"), V.p("a")), V.sub(V.p("c"), V.p("a")))
-    bounds = [e.alias(k + c) for c, (lo, hi) in ends.items() for e, k in ((lo, "lo"), (hi, "hi"))]
-    plane = [c.alias("n" + k) for c, k in zip(n, "xyz", strict=True)]
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(reach)) / reach))).cast("int").alias("level")
-    f = tri.select("fid", *bounds, *plane, V.dot(V.p("a"), n).alias("at"), level)
+    corners = [k + c for k in "abc" for c in "xyz"]
+    f = tri.select("fid", *corners, level)
     levels = sorted(r.level for r in f.select("level").distinct().collect())  # as many as the sizes have binary orders
     if not levels:
         return points.select("vid", "x", "y", "z", F.lit(0.0).alias("d"))
     size = F.pow(F.lit(2.0), F.col("level")) * reach
     for c in "xyz":
-        f = f.withColumn("k" + c, F.explode(F.sequence(F.floor(F.col("lo" + c) / size), F.floor(F.col("hi" + c) / size))))
-    q = points.select("vid", "x", "y", "z", F.explode(F.array(*map(F.lit, levels))).alias("level"))
+        f = f.withColumn("k" + c, F.explode(F.sequence(F.floor(ends[c][0] / size), F.floor(ends[c][1] / size))))
+    q = bounded_by_corners(points, tri, reach).select("vid", "x", "y", "z", "r", F.explode(F.array(*map(F.lit, levels))).alias("level"))
     q = q.withColumns({"k" + c: F.floor(F.col(c) / size) for c in "xyz"})
-    near = q.join(f, ["level", "kx", "ky", "kz"])
+    # Large faces lie in few cells: a cell's points are dealt over several tasks, each with the cell's faces, however few bytes they are.
+    keys = ["level", "kx", "ky", "kz", "deal"]
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = q.withColumn("deal", F.pmod(F.hash("vid"), F.lit(DEALS))).repartition(tasks, *keys)
+    f = f.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1)))).repartition(tasks, *keys)
+    near = q.join(f, keys)
     for c in "xyz":
-        near = near.filter(F.col(c).between(F.col("lo" + c), F.col("hi" + c)))
+        near = near.filter(F.col(c).between(F.least(*(F.col(k + c) for k in "abc")) - F.col("r"), F.greatest(*(F.col(k + c) for k in "abc")) + F.col("r")))
     # Rounding: as the products are, not as their difference is.
-    slack = 1e-9 * (reach * V.length(V.p("n")) + F.abs("at"))
-    near = near.filter(F.abs(V.dot(V.p(), V.p("n")) - F.col("at")) <= reach * V.length(V.p("n")) + slack).select("vid", "x", "y", "z", "fid")
-    corners = [k + c for k in "abc" for c in "xyz"]
-    far = near.join(tri.select("fid", *corners), "fid").select("vid", "fid", "x", "y", "z", *corners)
-    best = far.mapInArrow(_least_distances, "vid long, fid long, d double").groupBy("vid").agg(F.min_by("d", F.struct(F.abs("d"), "fid")).alias("d"))
+    at = V.dot(V.p("a"), n)
+    slack = 1e-9 * (reach * V.length(n) + F.abs(at))
+    near = near.filter(F.abs(V.dot(V.p(), n) - at) <= F.col("r") * V.length(n) + slack).select("vid", "fid", "x", "y", "z", *corners)
+    best = near.mapInArrow(_least_distances, "vid long, fid long, d double").groupBy("vid").agg(F.min_by("d", F.struct(F.abs("d"), "fid")).alias("d"))
     return points.select("vid", "x", "y", "z").join(best, "vid", "left").withColumn("d", F.when(F.abs("d") <= reach, F.col("d")).otherwise(0.0))
 
 
@@ -357,10 +377,20 @@ def change_clusters(distances: DataFrame, threshold: float, size: float, least:
     return each.groupBy("component").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in "xyz"), (F.sum(F.abs("d")) * float(size) ** 2).alias("volume"), F.sum("d").alias("total")).filter(F.col("n") >= least).select("component", "n", "x", "y", "z", "volume", F.when(F.col("total") >= 0, "gained").otherwise("lost").alias("kind"))
 
 
-def diff(baseline_points: DataFrame, baseline_tri: DataFrame, current: DataFrame, alignment: Alignment, size: float) -> dict:
+class Change(dict):
+    """distances, volumes, threshold and size of a change; clusters, which take jobs of their own, are sought once they are asked for."""
+
+    def __missing__(self, key):
+        if key != "clusters":
+            raise KeyError(key)
+        self[key] = change_clusters(self["distances"], self["threshold"], self["size"])
+        return self[key]
+
+
+def diff(baseline_points: DataFrame, baseline_tri: DataFrame, current: DataFrame, alignment: Alignment, size: float) -> Change:
     """Clusters and volumes of change of the current scan, put in place by its alignment."""
     moved = current.withColumns(dict(zip("xyz", V.rigid(alignment.transform, V.p()), strict=True)))
     floor = noise_floor(alignment.rmse)
     d = signed_distances(moved, baseline_tri, max(size, 3 * floor))
     volume = grid_change(height_grid(baseline_points, size), height_grid(moved, size), size, floor)
-    return {"distances": d, "clusters": change_clusters(d, floor, size), "volumes": volume, "threshold": floor}
+    return Change(distances=d, volumes=volume, threshold=floor, size=size)

@@ -101,3 +101,42 @@ def test_components_without_rounds(spark, monkeypatch):
     monkeypatch.setattr(mesh, "in_rounds", rounds)
     monkeypatch.setattr(mesh, "TOGETHER", 64)
     assert got(chains) == {i: i // 10 * 10 for i in range(3000)}
+
+
+def test_distances_are_bounded_by_corners(spark, sf_dir):
+    """A point meets the faces that are as near as a corner in its cell, in the task that joined them; distances stay exact."""
+    import numpy as np
+
+    from terravox.functions import vectors as V
+    from terravox.operators import mesh, registration
+
+    v = adapters.soup_vertices(spark, "/root/testdata/sf0.01")
+    tri = mesh.triangles(v, adapters.soup_faces(spark, "/root/testdata/sf0.01")).cache()
+    points = v.filter("vid % 5 = 0").select("vid", "x", (v.y + 0.05).alias("y"), "z")
+    r = {row.vid: row.r for row in registration.bounded_by_corners(points, tri, 1.0).collect()}
+    assert sum(x < 0.2 for x in r.values()) > len(r) / 2
+    df = registration.signed_distances(points, tri, 1.0)
+    assert not re.search(r"SortMergeJoin \[fid", static_plan(df))
+    rows = tri.toPandas()
+    a, b, c = (rows[[k + n for n in "xyz"]].to_numpy() for k in "abc")
+    got = {row.vid: row.d for row in df.collect()}
+    for p in points.collect():
+        d = V.triangle_distances(np.tile([p.x, p.y, p.z], (len(a), 1)), a, b, c)
+        k = np.lexsort((rows.fid.to_numpy(), np.abs(d)))[0]
+        assert got[p.vid] == pytest.approx(d[k] if abs(d[k]) <= 1 else 0.0, abs=1e-9)
+        assert abs(d[k]) <= r[p.vid] or r[p.vid] == 1.0
+
+
+def test_clusters_are_sought_when_asked_for(spark, sf_dir, monkeypatch):
+    """Volumes of a change need no cluster; who asks for the clusters has them."""
+    from terravox.operators import registration
+
+    asked = []
+    change = registration.change_clusters
+    monkeypatch.setattr(registration, "change_clusters", lambda *a: asked.append(a) or change(*a))
+    assert registry.QUERIES["diff_pipeline"](spark, sf_dir).count() == 1 and not asked
+    d = adapters.soup_vertices(spark, sf_dir).selectExpr("vid", "x", "y", "z", "y / 10 as d")
+    found = registration.Change(distances=d, threshold=0.02, size=2.0)
+    assert found["clusters"].count() > 0 and len(asked) == 1
+    with pytest.raises(KeyError):
+        found["cluster"]
