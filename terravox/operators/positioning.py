@@ -82,9 +82,21 @@ def horn_yaw(pairs: DataFrame, by: str = "burst_id") -> DataFrame:
     return r.groupBy(by, "yaw", "n", "radius").agg(F.sqrt(F.avg(ex * ex + ey * ey)).alias("rms")).select(by, "n", "yaw", (F.col("rms") / F.col("radius")).alias("sigma"))
 
 
+def long_enough(track: DataFrame, least_length: float = 10.0, by: str = "burst_id") -> DataFrame:
+    """Bursts of three track points or more and `least_length` metres, with length and n."""
+    return track_length(track, by).filter((F.col("n") >= 3) & (F.col("length") >= least_length))
+
+
+def framed(track: DataFrame, fixes: DataFrame, by: str = "burst_id") -> DataFrame:
+    """Bursts that a site's frame can come from, with n, their track points: the place has a supported UTM zone and the track is long enough."""
+    ok = gated(fixes).filter("accepted")
+    place = weighted_median(ok, "latitude", by).join(weighted_median(ok, "longitude", by), by)
+    return long_enough(track, by=by).select(by, "n").join(place.filter(G.fault(F.col("latitude"), F.col("longitude")).isNull()), by, "left_semi")
+
+
 def yaw(track: DataFrame, fixes: DataFrame, least_length: float = 10.0, by: str = "burst_id") -> DataFrame:
     """Yaw of each burst of three track points or more and `least_length` metres."""
-    long = track_length(track, by).filter((F.col("n") >= 3) & (F.col("length") >= least_length)).select(by)
+    long = long_enough(track, least_length, by).select(by)
     origin = fixes.groupBy(by).agg(F.avg("latitude").alias("lat0"), F.avg("longitude").alias("lon0"))
     at = interpolated(track, fixes, by=by).join(long, by, "left_semi").join(origin, by)
     n, e = G.metres(F.col("latitude") - F.col("lat0"), F.col("longitude") - F.col("lon0"), F.col("lat0"))

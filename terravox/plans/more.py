@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..errors import GeoError
 from ..functions import canonical as C
 from ..operators import custody, mesh, positioning, registration, segmentation, store, volume
 from ..sources import records
@@ -84,9 +85,12 @@ def segment_reboxed(spark, sf_dir):
 
 @query()
 def geo_site_frame(spark, sf_dir):
-    """The frame of the burst with the most track points."""
+    """The frame of the burst with the most track points among those that have one; the more users, the farther east the bursts, out of the supported zones."""
     t, f = A.track(spark, sf_dir), A.fixes(spark, sf_dir)
-    burst = t.groupBy("burst_id").count().orderBy(F.desc("count"), "burst_id").first().burst_id
+    most = positioning.framed(t, f).orderBy(F.desc("n"), "burst_id").first()
+    if most is None:
+        raise GeoError("no burst has a frame")
+    burst = most.burst_id
     got = positioning.site_frame(t, f, burst)
     return rounded(spark.createDataFrame([(burst, float(got["yaw"]), float(got["sigma"]), float(got["utm"]["easting"]), float(got["utm"]["northing"]), got["quality"])], "burst_id long, yaw double, sigma double, easting double, northing double, quality string"), 4)
 

@@ -140,3 +140,14 @@ def test_clusters_are_sought_when_asked_for(spark, sf_dir, monkeypatch):
     assert found["clusters"].count() > 0 and len(asked) == 1
     with pytest.raises(KeyError):
         found["cluster"]
+
+
+def test_site_frame_of_a_burst_in_a_supported_zone(spark, sf_dir, tmp_path):
+    """Users far east have no UTM place here; the frame is that of the largest burst that has one."""
+    from pyspark.sql import functions as F
+
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    far = rows.withColumn("user_id", F.lit(5000).cast("long"))
+    rows.unionByName(far).write.parquet(str(tmp_path / "events.parquet"))
+    expected, got = (registry.QUERIES["geo_site_frame"](spark, d).collect() for d in (sf_dir, str(tmp_path)))
+    assert got == expected and len(got) == 1
