@@ -72,11 +72,12 @@ def interpolated(track: DataFrame, fixes: DataFrame, values: tuple[str, ...] = (
 
 def horn_yaw(pairs: DataFrame, by: str = "burst_id") -> DataFrame:
     """yaw (radians), sigma and n of the rotation that best takes (ax, ay) to (gx, gy), both about their means."""
-    m = pairs.groupBy(by).agg(F.count("*").alias("n"), *(F.avg(c).alias("m" + c) for c in ("ax", "ay", "gx", "gy")))
-    c = pairs.join(m, by).select(by, "n", *((F.col(k) - F.col("m" + k)).alias(k) for k in ("ax", "ay", "gx", "gy")))
+    all_ = Window.partitionBy(by)
+    # Windows, as joins back to the sums would work the pairs out again for each.
+    c = pairs.select(by, F.count("*").over(all_).alias("n"), *((F.col(k) - F.avg(k).over(all_)).alias(k) for k in ("ax", "ay", "gx", "gy")))
     num, den = F.sum(F.col("ax") * F.col("gy") - F.col("ay") * F.col("gx")), F.sum(F.col("ax") * F.col("gx") + F.col("ay") * F.col("gy"))
-    yaw = c.groupBy(by).agg(num.alias("num"), den.alias("den"), F.max("n").alias("n"), F.avg(F.sqrt(F.col("ax") ** 2 + F.col("ay") ** 2)).alias("radius")).filter((F.abs("den") > 1e-10) | (F.abs("num") > 1e-10)).withColumn("yaw", F.atan2("num", "den"))
-    r = c.drop("n").join(yaw, by)
+    sums = c.withColumns({"num": num.over(all_), "den": den.over(all_), "radius": F.avg(F.sqrt(F.col("ax") ** 2 + F.col("ay") ** 2)).over(all_)})
+    r = sums.filter((F.abs("den") > 1e-10) | (F.abs("num") > 1e-10)).withColumn("yaw", F.atan2("num", "den"))
     ex = F.cos("yaw") * F.col("ax") - F.sin("yaw") * F.col("ay") - F.col("gx")
     ey = F.sin("yaw") * F.col("ax") + F.cos("yaw") * F.col("ay") - F.col("gy")
     return r.groupBy(by, "yaw", "n", "radius").agg(F.sqrt(F.avg(ex * ex + ey * ey)).alias("rms")).select(by, "n", "yaw", (F.col("rms") / F.col("radius")).alias("sigma"))

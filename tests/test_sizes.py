@@ -151,3 +151,9 @@ def test_site_frame_of_a_burst_in_a_supported_zone(spark, sf_dir, tmp_path):
     rows.unionByName(far).write.parquet(str(tmp_path / "events.parquet"))
     expected, got = (registry.QUERIES["geo_site_frame"](spark, d).collect() for d in (sf_dir, str(tmp_path)))
     assert got == expected and len(got) == 1
+
+
+def test_yaw_works_track_points_out_once(spark, sf_dir):
+    """One pass over the interpolated points, so that a task does not hold them sorted four times."""
+    plan = static_plan(registry.QUERIES["geo_yaw"](spark, sf_dir))
+    assert plan.count("Union") == 1
