@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import StoreError
+from ..sources import bundles
 from .mesh import dropped, scratch
 
 
@@ -24,11 +25,11 @@ FINDING = "findingID string, siteID string, title string, expeditionCode string,
 
 def rebuilt_index(spark: SparkSession, root: str) -> DataFrame:
     """Findings and their scan counts read from a store's folders; unreadable manifests are skipped."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(root).select("path", F.decode("content", "UTF-8").alias("text"))
-    parsed = found.filter(F.col("path").endswith("/finding.json")).select(F.regexp_extract("path", r"([^/]+)/finding\.json$", 1).alias("folder"), F.from_json("text", FINDING, {"columnNameOfCorruptRecord": "_bad"}).alias("f"))
-    good = parsed.filter("f._bad is null and f.findingID is not null")
-    scans = found.filter(F.col("path").endswith("/scan.json")).select(F.regexp_extract("path", r"([^/]+)/scans/[^/]+/scan\.json$", 1).alias("folder")).groupBy("folder").agg(F.count("*").alias("scan_count"))
-    return good.join(scans, "folder", "left").select("f.findingID", "f.title", "f.createdAt", F.coalesce("scan_count", F.lit(0)).alias("scan_count"))
+    found = bundles.read_items(spark, root).filter(F.col("kind").isin("finding", "scan"))
+    text = F.max(F.when(F.col("kind") == "finding", F.decode("content", "UTF-8")))
+    each = found.groupBy("finding_id").agg(text.alias("text"), F.count_if(F.col("kind") == "scan").alias("scan_count"))
+    parsed = each.select(F.from_json("text", FINDING, {"columnNameOfCorruptRecord": "_bad"}).alias("f"), "scan_count")
+    return parsed.filter("f._bad is null and f.findingID is not null").select("f.findingID", "f.title", "f.createdAt", "scan_count")
 
 
 def lineage(scans: DataFrame) -> DataFrame:

@@ -84,6 +84,65 @@ def test_seals(spark, tmp_path):
     assert listed(root) == before
 
 
+def test_a_new_scan_is_moved_at_once(tmp_path, monkeypatch):
+    """A commit's moves grow with the scans, not with their files; where a scan is there already, its new files are moved one by one."""
+    from pyspark.sql import Row
+
+    from terravox.sources import files
+
+    moved, opened = [], files.opened
+
+    class Counted:
+        def __init__(self, store):
+            self.store = store
+
+        def __getattr__(self, name):
+            if name == "move":
+                return lambda a, b: (moved.append(b), self.store.move(a, b))
+            return getattr(self.store, name)
+
+    monkeypatch.setattr(files, "opened", lambda uri: (Counted(opened(uri)[0]), opened(uri)[1]))
+    root = str(tmp_path / "store")
+    rows = [Row(finding_id=f, scan_id=s, kind=k, item_id=i, content=c) for f, s, k, i, c in FIRST]
+    writer = bundles.ItemWriter(root)
+    writer.commit([writer.write(rows[:6]), writer.write(rows[6:])])
+    assert len(moved) == 4 and len(listed(root)) == len(FIRST)
+    writer = bundles.ItemWriter(root)
+    writer.commit([writer.write([Row(finding_id="a", scan_id="s1", kind="media", item_id=f"n{i}", content=b"") for i in range(2)])])
+    assert len(moved) == 6 and len(listed(root)) == len(FIRST) + 2
+
+
+def test_store_query_in_a_new_process(sf_dir, tmp_path):
+    """Sources are found also where nothing has been registered or made active before."""
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.warehouse.dir", "file://{tmp_path}/warehouse").getOrCreate()
+for name in ("store_items_of_some", "store_rebuilt_index"):
+    print("rows", entry.queries()[name](spark, "{sf_dir}").count())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.stdout.count("rows") == 2, done.stderr[-2000:]
+
+
+def test_small_items_are_written_by_all_tasks(spark, tmp_path):
+    """What takes time is the number of files, so few bytes are not put into one task."""
+    from terravox.sessions import own_session
+
+    own = own_session(spark, {"spark.sql.shuffle.partitions": "7"})
+    sc = spark.sparkContext
+    sc.setJobGroup("store", "store")
+    bundles.write_items(some(own, FIRST), str(tmp_path / "store"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    status = sc.statusTracker()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("store") for s in status.getJobInfo(j).stageIds]
+    assert 7 in {s.numTasks for s in stages if s}
+
+
 def test_load_mesh(spark, tmp_path):
     root = str(tmp_path / "store")
     bundles.write_items(some(spark, FIRST), root)
