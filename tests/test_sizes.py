@@ -157,3 +157,8 @@ def test_yaw_works_track_points_out_once(spark, sf_dir):
     """One pass over the interpolated points, so that a task does not hold them sorted four times."""
     plan = static_plan(registry.QUERIES["geo_yaw"](spark, sf_dir))
     assert plan.count("Union") == 1
+
+
+def test_trimmed_pairs_are_found_once(spark, sf_dir):
+    """Trimming reads written pairs and does not join anew at each pass."""
+    assert "Join" not in static_plan(registry.QUERIES["icp_correspondences_trimmed"](spark, sf_dir))
